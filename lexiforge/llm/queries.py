@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import fingerprints, near_dedup
+from lexiforge.llm import fingerprints, near_dedup, suffix_dedup
 from lexiforge.llm.base import table
 
 
@@ -18,6 +18,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_document_fingerprints, op3_near_dedup)}
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats_report(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_document_fingerprints, op3_near_dedup, op8_suffix_dedup)}
+
+ORACLE_SQL: dict[str, str] = {"op8_suffix_dedup": suffix_dedup.ORACLE}
