@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import fingerprints, near_dedup, suffix_dedup
+from lexiforge.llm import fingerprints, language_id, near_dedup, suffix_dedup
 from lexiforge.llm.base import table
 
 
@@ -22,6 +22,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_document_fingerprints, op3_near_dedup, op8_suffix_dedup)}
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_near_dedup, op8_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op8_suffix_dedup": suffix_dedup.ORACLE}
