@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import fingerprints, language_id, near_dedup, suffix_dedup
+from lexiforge.llm import fingerprints, language_id, near_dedup, packing, suffix_dedup
 from lexiforge.llm.base import table
 
 
@@ -26,6 +26,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_near_dedup, op8_suffix_dedup)}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_near_dedup, op4_packing, op8_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op8_suffix_dedup": suffix_dedup.ORACLE}
