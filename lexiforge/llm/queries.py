@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import fingerprints, language_id, near_dedup, packing, suffix_dedup
+from lexiforge.llm import bpe, fingerprints, language_id, near_dedup, packing, suffix_dedup
 from lexiforge.llm.base import table
 
+#: The vocabulary that op5 encodes with; LEXIFORGE_RANKS names another file.
+RANKS = os.environ.get("LEXIFORGE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
@@ -30,6 +34,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_near_dedup, op4_packing, op8_suffix_dedup)}
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_encode(table(spark, sf_dir, "documents"), RANKS)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_near_dedup, op4_packing, op5_bpe, op8_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op8_suffix_dedup": suffix_dedup.ORACLE}
