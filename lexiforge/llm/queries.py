@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import bpe, fingerprints, language_id, near_dedup, packing, suffix_dedup
+from lexiforge.llm import bpe, fingerprints, language_id, near_dedup, packing, pii, suffix_dedup
 from lexiforge.llm.base import table
 
 #: The vocabulary that op5 encodes with; LEXIFORGE_RANKS names another file.
@@ -38,6 +38,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), RANKS)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_near_dedup, op4_packing, op5_bpe, op8_suffix_dedup)}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_near_dedup, op4_packing, op5_bpe, op7_pii, op8_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op8_suffix_dedup": suffix_dedup.ORACLE}
