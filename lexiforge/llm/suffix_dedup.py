@@ -13,6 +13,7 @@ occurrences but the first, in the order of (doc_id, position), are cut; what is
    extensions of neighbours are then checked word by word against the text, so hash collisions have no effect.
    The reversed words before the anchors are sorted in the same way. A run of `length` words is equal to another
    exactly if they share the class of their left part and the class of their right part.
+   A group of over LARGE occurrences is sorted in slices, between which two 64-bit hashes of each run are kept.
 
 Defined cases: a null or empty text, or one of fewer than `length` words, stays as it is. A row with a null doc_id,
 or with a doc_id that stands on rows of different texts, is not compared and stays as it is. Rows that repeat both
@@ -34,8 +35,9 @@ from lexiforge.llm.base import by_keys, discard, long, map_text, saved
 from lexiforge.llm.textops import BASE, INVERSE, IS_SPACE, flat, mix, powers, ragged, run_hash, runs, span_hashes, strings, word_prefix
 
 LENGTH, K = 50, 25
-#: Members of anchor groups that are sorted in one step, unless one group is larger.
-STEP = 20_000
+#: Members of anchor groups that are sorted in one step; members from which one group is handled in slices of so many;
+#: and pairs of contexts compared byte for byte at once.
+STEP, LARGE, SLICE = 4_000, 16_000, 1_000
 TOP = np.iinfo(np.uint64).max
 
 
@@ -165,31 +167,60 @@ class _Suffixes:
         """Common extension of each sorted suffix with the one before, checked against the text; -1 where a group starts."""
         out = np.full(len(order), -1, np.int64)
         at = np.flatnonzero(self.group[order[1:]] == self.group[order[:-1]]) + 1
-        if not len(at):
-            return out
-        i, j = order[at - 1], order[at]
-        n = self.extension(i, j)
-        x, y = ragged(self.start[i], n), ragged(self.start[j], n)
-        size = e[x] - s[x]
-        bad = size != e[y] - s[y]
-        size = np.where(bad, 0, size)
-        differ = data[ragged(s[x], size)] != data[ragged(s[y], size)]
-        if differ.any() or bad.any():
-            ends = np.cumsum(size)
-            total = np.concatenate(([0], np.cumsum(differ)))
-            bad |= total[ends] > total[ends - size]
-            pair = np.repeat(np.arange(len(n)), n)
-            offset = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
-            np.minimum.at(n, pair[bad], offset[bad])
-        out[at] = n
+        for lo in range(0, len(at), SLICE):
+            some = at[lo : lo + SLICE]
+            i, j = order[some - 1], order[some]
+            n = self.extension(i, j)
+            x, y = ragged(self.start[i], n), ragged(self.start[j], n)
+            size = e[x] - s[x]
+            bad = size != e[y] - s[y]
+            bad |= ~_equal(data, s[x], s[y], np.where(bad, 0, size))
+            if bad.any():
+                pair = np.repeat(np.arange(len(n)), n)
+                offset = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+                np.minimum.at(n, pair[bad], offset[bad])
+            out[some] = n
         return out
 
 
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes of the spans at a and at b, of the given sizes, are the same."""
+    differ = data[ragged(a, size)] != data[ragged(b, size)]
+    if not differ.any():
+        return np.ones(len(size), bool)
+    total = np.concatenate(([0], np.cumsum(differ)))
+    ends = np.cumsum(size)
+    return total[ends] == total[ends - size]
+
+
+def _classes(group: np.ndarray, n_left: np.ndarray, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members whose contexts are byte for byte the same: each member's class, and each class's first member, in order."""
+    n, size = len(group), np.diff(offs)
+    key = mix(span_hashes(data, offs[:-1], offs[1:]) + mix(group.astype(np.uint64) << np.uint64(8) | n_left.astype(np.uint64)))
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    rep = first[which]
+    for lo in range(0, n, SLICE):
+        m = np.arange(lo, min(lo + SLICE, n))
+        f = rep[m]
+        same = (size[m] == size[f]) & (group[m] == group[f]) & (n_left[m] == n_left[f])
+        same &= _equal(data, offs[:-1][m], offs[:-1][f], np.where(same, size[m], 0))
+        rep[m[~same]] = m[~same]
+    first, which = np.unique(rep, return_inverse=True)
+    return which, first
+
+
 def repeated_runs(group: np.ndarray, n_left: np.ndarray, data: np.ndarray, offs: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Members (in order of occurrence, groups together) that are not first with some run of `length` words around the anchor.
 
     Returns their numbers, and from how many words before the anchor to how many after it they are repetitions.
+    Members of one and the same context are sorted as one; all of them but the first are repetitions throughout.
     """
+    which, first = _classes(group, n_left, data, offs)
+    is_first = first[which] == np.arange(len(which))
+    size = np.diff(offs)[first]
+    data, offs = data[ragged(offs[:-1][first], size)], np.concatenate(([0], np.cumsum(size)))
+    group, n_left = group[first], n_left[first].astype(np.int64)
+
     s, e, at = runs(data, offs, IS_SPACE)
     words, n = span_hashes(data, s, e), len(group)
     p = at[:-1] + n_left
@@ -197,7 +228,7 @@ def repeated_runs(group: np.ndarray, n_left: np.ndarray, data: np.ndarray, offs:
     r_order = right.sorted()
     r_common = right.neighbours(r_order, data, s, e)
     turned = len(words) - 1 - np.arange(len(words))
-    left = _Suffixes(words[::-1].copy(), len(words) - p, n_left.astype(np.int64), group)
+    left = _Suffixes(words[::-1].copy(), len(words) - p, n_left, group)
     l_order = left.sorted()
     l_common = left.neighbours(l_order, data, s[turned], e[turned])
 
@@ -213,52 +244,107 @@ def repeated_runs(group: np.ndarray, n_left: np.ndarray, data: np.ndarray, offs:
         again = ok[o[1:][key[o[1:]] == key[o[:-1]]]]
         near[again] = np.where(near[again] < 0, l, near[again])
         far[again] = l
+    low, high = np.maximum(0, length - right.size), np.minimum(left.size, length - k)
+    low, high = np.where(low <= high, low, -1), np.where(low <= high, high, -1)
+    far, near = np.where(is_first, far[which], high[which]), np.where(is_first, near[which], low[which])
     hit = np.flatnonzero(far >= 0)
     return hit, far[hit], length - near[hit]
 
 
+class _Seen:
+    """Runs of `length` words met so far in one anchor group that is handled in slices: two hashes of each, by offset."""
+
+    def __init__(self, length: int, k: int):
+        self.length, self.k = length, k
+        self.had = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64)) for _ in range(length - k + 1)]
+
+    def again(self, n_left: np.ndarray, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As repeated_runs, for runs of earlier slices; the slice's own runs are then remembered."""
+        s, e, at = runs(data, offs, IS_SPACE)
+        words = span_hashes(data, s, e)
+        one, two = word_prefix(words), word_prefix(mix(words ^ np.uint64(0xD6E8FEB86659FD93)))
+        p, right = at[:-1] + n_left, at[1:] - at[:-1] - n_left
+        far, near = np.full(len(p), -1, np.int64), np.full(len(p), -1, np.int64)
+        for l in range(self.length - self.k + 1):
+            ok = np.flatnonzero((n_left >= l) & (right >= self.length - l))
+            a, b = run_hash(one, p[ok] - l, self.length), run_hash(two, p[ok] - l, self.length)
+            keys, check = self.had[l]
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, a), len(keys) - 1)
+                hit = ok[(keys[i] == a) & (check[i] == b)]
+                near[hit] = np.where(near[hit] < 0, l, near[hit])
+                far[hit] = l
+            new, i = np.unique(np.concatenate((keys, a)), return_index=True)
+            self.had[l] = new, np.concatenate((check, b))[i]
+        hit = np.flatnonzero(far >= 0)
+        return hit, far[hit], self.length - near[hit]
+
+
 def _cuts(length: int, k: int):
-    def work(b: pa.RecordBatch) -> pa.RecordBatch:
-        h = b.column("h").to_numpy()
-        group = np.cumsum(np.concatenate(([0], h[1:] != h[:-1])))
-        data, offs = flat(b.column("text"))
-        hit, before, after = repeated_runs(group, b.column("n_left").to_numpy().astype(np.int64), data, offs, length, k)
+    def rows(b: pa.RecordBatch, hit: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
         pos = b.column("pos").to_numpy().astype(np.int64)[hit]
         return pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(hit)), pa.array((pos - before).astype(np.int32)), pa.array((pos + after).astype(np.int32))], ["doc_id", "lo", "hi"])
 
+    def work(b: pa.RecordBatch, seen: _Seen | None) -> Iterator[pa.RecordBatch]:
+        h, n_left = b.column("h").to_numpy(), b.column("n_left").to_numpy().astype(np.int64)
+        group = np.cumsum(np.concatenate(([0], h[1:] != h[:-1])))
+        data, offs = flat(b.column("text"))
+        yield rows(b, *repeated_runs(group, n_left, data, offs, length, k))
+        if seen is not None:
+            yield rows(b, *seen.again(n_left, data, offs))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole groups, about STEP members at once; a group of more than LARGE members in slices that remember."""
         kept: list[pa.RecordBatch] = []
-        rows = 0
+        count, seen, hot = 0, None, None
+
+        def take(n: int) -> pa.RecordBatch:
+            nonlocal kept, count
+            whole = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+            kept, count = [whole.slice(n)], whole.num_rows - n
+            return whole.slice(0, n)
+
+        def step(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal seen, hot
+            whole = take(count)
+            h = whole.column("h").to_numpy()
+            at = 0
+            while at < len(h):
+                if hot is not None and h[at] == hot:  # on with a large group
+                    to = min(at + LARGE, int(np.searchsorted(h, hot, "right")))
+                    yield from work(whole.slice(at, to - at), seen)
+                    at = to
+                    continue
+                seen = hot = None
+                to = min(at + STEP, len(h))
+                if to < len(h) or not last:
+                    edge = h[to] if to < len(h) else h[-1]
+                    start, end = int(np.searchsorted(h, edge, "left")), int(np.searchsorted(h, edge, "right"))
+                    if start > at:
+                        to = start
+                    elif end - at > LARGE:
+                        seen, hot = _Seen(length, k), edge
+                        continue
+                    elif end < len(h) or last:
+                        to = end
+                    else:
+                        break  # its end is yet to come
+                yield from work(whole.slice(at, to - at), None)
+                at = to
+            kept[:] = [whole.slice(at)]
+
         for b in batches:
             kept.append(b)
-            rows += b.num_rows
-            if rows >= STEP:
-                whole = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
-                h = whole.column("h").to_numpy()
-                cut = int(np.searchsorted(h, h[-1], "left"))  # the last group may go on
-                for lo, hi in _steps(h[:cut]):
-                    yield work(whole.slice(lo, hi - lo))
-                kept, rows = [whole.slice(cut)], whole.num_rows - cut
-        if rows:
-            whole = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
-            for lo, hi in _steps(whole.column("h").to_numpy()):
-                yield work(whole.slice(lo, hi - lo))
+            count += b.num_rows
+            if count >= 2 * LARGE:
+                yield from step(False)
+                count = sum(x.num_rows for x in kept)
+        if count:
+            yield from step(True)
 
     return run
 
 
-def _steps(h: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of whole groups of about STEP members."""
-    lo = 0
-    while lo < len(h):
-        hi = min(lo + STEP, len(h))
-        if hi < len(h):
-            start = int(np.searchsorted(h, h[hi], "left"))
-            hi = start if start > lo else int(np.searchsorted(h, h[hi], "right"))
-        yield lo, hi
-        lo = hi
-
-
 def compared(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, text) of the documents that take part, one row each; the ids that stand on several rows, if any."""
     ids = docs.select(long("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
