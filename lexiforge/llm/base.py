@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Most keys that are broadcast; a longer list is joined by shuffling.
 BROADCAST_KEYS = 2_000_000
 #: Bytes of text handled in one numpy step (one longer text is a step of its own).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import bpe, fingerprints, language_id, near_dedup, packing, pii, suffix_dedup
+from lexiforge.llm import bpe, fingerprints, language_id, near_dedup, packing, pii, suffix_dedup, token_rollup, topk, url_filter
 from lexiforge.llm.base import table
 
 #: The vocabulary that op5 encodes with; LEXIFORGE_RANKS names another file.
@@ -42,6 +42,18 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_near_dedup, op4_packing, op5_bpe, op7_pii, op8_suffix_dedup)}
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.corpus_rollup(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {"op8_suffix_dedup": suffix_dedup.ORACLE}
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(url_filter.page_captures(spark, sf_dir), url_filter.page_entries(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_near_dedup, op4_packing, op5_bpe, op6_token_rollup, op7_pii, op8_suffix_dedup, op9_topk, op10_url_filter)}
+
+ORACLE_SQL: dict[str, str] = {"op10_url_filter": url_filter.ORACLE, "op9_topk": topk.ORACLE, "op6_token_rollup": token_rollup.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE}
