@@ -1,19 +1,49 @@
-"""The corpus pipeline: language, near duplicates, repeated passages, personal data, packing."""
+"""The corpus pipeline over the documents table: language, near duplicates, repeated passages, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept; all but the last return
+the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import near_dedup
+from lexiforge.llm import language_id, near_dedup, packing, pii, suffix_dedup
 from lexiforge.llm.base import saved, table
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of no determined language go, and those whose text clearly refutes their label."""
+    return language_id.keep_identified(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return near_dedup.near_dedup(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat an earlier one are cut out of the texts; n_chars follows."""
+    return suffix_dedup.remove_repeats(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets in the texts are replaced by their labels; n_chars follows."""
+    return pii.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training windows of the documents, in order."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("personal_data", personal_data),
+    ("packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The stages hash, sort suffixes, and run models and dynamic programmes, which SQL does not express.
+#: SQL expresses neither the classifiers nor the sketches nor the dynamic programme; the tests use brute force.
 ORACLE_SQL = None
