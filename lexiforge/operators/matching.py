@@ -75,7 +75,7 @@ def trigram(column: str, term: str, o: dict[str, Any]) -> Column:
 def by_metaphone(column: str, term: str, o: dict[str, Any]) -> Column:
     """Equality with the shadow column; see add_shadow_column. The DataFrame's columns are checked where they are known."""
     shadow = f"{column}_metaphone"
-    if (there := o.get("columns")) is not None and shadow not in there:
+    if (there := o.get("available")) is not None and shadow not in there:
         raise InvalidConfig(f"metaphone needs the column {shadow}: add_shadow_column(df, {column!r}) makes it", column=shadow)
     return F.col(shadow) == F.lit(metaphone(term))
 
@@ -131,11 +131,11 @@ def fuzzy_match_any(columns: Sequence[str], term: str, algorithm: str | None = N
 
 
 def where_fuzzy(column: str, term: str, algorithm: str | None = None, **options: Any):
-    return lambda df: df.where(fuzzy_match(column, term, algorithm, columns=df.columns, **options))
+    return lambda df: df.where(fuzzy_match(column, term, algorithm, available=df.columns, **options))
 
 
 def where_fuzzy_multiple(columns: Sequence[str], term: str, algorithm: str | None = None, **options: Any):
-    return lambda df: df.where(fuzzy_match_any(columns, term, algorithm, columns=df.columns, **options))
+    return lambda df: df.where(fuzzy_match_any(columns, term, algorithm, available=df.columns, **options))
 
 
 def where_any(columns: str | Sequence[str], term: str, **options: Any):

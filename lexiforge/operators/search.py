@@ -362,7 +362,7 @@ class Search:
             return None
         words = term.split() if self.tokens else [term]
         each = [T.with_synonyms(w, self.synonyms, self.groups) for w in words]
-        options = {**self.options_, "accent_insensitive": self.accents, "columns": self.df.columns}
+        options = {**self.options_, "accent_insensitive": self.accents, "available": self.df.columns}
         options.setdefault("max_distance", self.settings.max_distance)
         hit = lambda t: reduce(or_, [fuzzy_match(c, t, self._algorithm, self.settings, **options) for c in self.weights])
         if self.tokens and self.all_tokens:
