@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 #: Most keys that are broadcast; a longer list is joined by shuffling.
 BROADCAST_KEYS = 2_000_000
 #: Bytes of text handled in one numpy step (one longer text is a step of its own).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Bounds of the batches that go to Python and back.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -91,8 +93,25 @@ def _offsets(arr: pa.Array):
     return np.frombuffer(arr.buffers()[1], kind)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64)
 
 
-def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow of fn over slices of bounded text size; df has a column `text`."""
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow in batches of few rows, since rows hold whole texts; memory that Arrow keeps goes back after each task."""
+    conf = df.sparkSession.conf
+    for key, most in BATCH.items():
+        now = str(conf.get(key))
+        if not now.removesuffix("b").isdigit() or not 0 < int(now.removesuffix("b")) <= most:
+            conf.set(key, str(most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
+def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
+    """map_arrow of fn over slices of bounded text size; df has a column `text`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches):
@@ -100,7 +119,7 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.base import long, map_text
+from lexiforge.llm.base import long, map_arrow, map_text
 from lexiforge.llm.textops import flat, ragged, span_hashes
 
 LONG = 64
@@ -302,4 +302,4 @@ def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """encoded with `decoded`, the text of its tokens; bytes that are no UTF-8 become U+FFFD; null tokens give ''."""
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(load_ranks(ranks_path)))
     schema = encoded.withColumn("decoded", F.lit("")).schema
-    return encoded.mapInArrow(_decode_rows(shared, encoded.columns), schema)
+    return map_arrow(encoded, _decode_rows(shared, encoded.columns), schema)

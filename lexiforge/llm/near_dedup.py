@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.base import by_keys, long, map_text, saved, with_small
+from lexiforge.llm.base import by_keys, long, map_arrow, map_text, saved, with_small
 from lexiforge.llm.pairs import band_edges, components, representatives, set_keys, verified
 from lexiforge.llm.textops import flat, mix, shingle_sets
 
@@ -120,7 +120,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, p: int = P, r
     nodes = saved(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
     sk = by_keys(sketches, "doc_id", nodes, True).select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id"])
     pairs = edges.join(sk.toDF("a", "na", "ra"), "a").join(sk.toDF("b", "nb", "rb"), "b")
-    likely = saved(pairs.mapInArrow(_likely(max(0.01, threshold - SLACK), p, r), "a long, b long"), "likely")
+    likely = saved(map_arrow(pairs, _likely(max(0.01, threshold - SLACK), p, r), "a long, b long"), "likely")
     near = verified(docs, likely, shingle, threshold).select("a", "b")
     same = reps.where("doc_id > rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     return saved(components(near.unionByName(same)), "groups")

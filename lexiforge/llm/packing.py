@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.base import long, map_text
+from lexiforge.llm.base import long, map_arrow, map_text
 from lexiforge.llm.textops import IS_BREAK, IS_SPACE, flat
 
 CAPACITY, SHARD, TRUNCATION, INSIDE = 2048, 1024, 4, 32
@@ -163,4 +163,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, truncati
     """
     texts = docs.select(long("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     sizes = map_text(texts, _sentences, "doc_id long, tie long, sizes array<int>").withColumn("shard", F.floor(F.col("doc_id") / F.lit(shard)).cast("long"))
-    return sizes.repartition("shard").sortWithinPartitions("shard", "doc_id", "tie").mapInArrow(_pack(capacity, truncation, inside), SCHEMA)
+    return map_arrow(sizes.repartition("shard").sortWithinPartitions("shard", "doc_id", "tie"), _pack(capacity, truncation, inside), SCHEMA)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.base import by_keys, discard, map_text, saved
+from lexiforge.llm.base import by_keys, discard, map_arrow, map_text, saved
 from lexiforge.llm.textops import flat, mix, shingle_sets
 
 #: Parts that the members of one bucket's smallest id are spread over for verification.
@@ -96,7 +96,7 @@ def verified(docs: DataFrame, edges: DataFrame, k: int, least: float) -> DataFra
     hubs = salted.select("a", "salt").distinct().join(one, F.col("a") == one["doc_id"]).select("a", "salt", F.lit(None).cast("long").alias("b"), "words")
     members = salted.join(one, F.col("b") == one["doc_id"]).select("a", "salt", "b", "words")
     rows = hubs.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    out = saved(rows.mapInArrow(_verify(least), "a long, b long, jaccard double"), "verified")
+    out = saved(map_arrow(rows, _verify(least), "a long, b long, jaccard double"), "verified")
     discard(nodes), discard(sets)
     return out
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.base import long, saved
+from lexiforge.llm.base import long, map_arrow, saved
 
 TOP, BUCKET = 10, 2048
 SLACK = 1e-9
@@ -175,7 +175,7 @@ def top_k(vectors: DataFrame, k: int = TOP, bucket: int = BUCKET) -> DataFrame:
     v = saved(v, "vectors")
     parts = max(1, -(-v.count() // bucket))
     ordered = v.repartitionByRange(parts, "dim", F.col("norm").desc(), "vec_id").sortWithinPartitions("dim", F.col("norm").desc(), "vec_id")
-    blocks = ordered.select("vec_id", "v").mapInArrow(_blocks(bucket), BLOCK).withColumn("block", F.monotonically_increasing_id())
+    blocks = map_arrow(ordered.select("vec_id", "v"), _blocks(bucket), BLOCK).withColumn("block", F.monotonically_increasing_id())
     blocks = saved(blocks, "blocks")
     first = blocks.groupBy("dim").agg(F.max(F.struct("longest", -F.col("block"))).alias("m")).select("dim", (-F.col("m.col2")).alias("head"))
     first = blocks.select("dim", "block").join(F.broadcast(first), "dim").select("block", F.explode(F.array_distinct(F.array("block", "head"))).alias("other"))
@@ -183,15 +183,15 @@ def top_k(vectors: DataFrame, k: int = TOP, bucket: int = BUCKET) -> DataFrame:
     p = blocks.select(F.col("dim").alias("pdim"), F.col("block").alias("pb"), F.col("ids").alias("p_ids"), F.col("vectors").alias("p_vectors"))
     spread = max(parts, v.sparkSession.sparkContext.defaultParallelism)
     seeds = first.join(q, F.col("block") == F.col("qb")).join(p, F.col("other") == F.col("pb")).select("dim", "q_ids", "q_vectors", "p_ids", "p_vectors").repartition(spread)
-    seeded = saved(_ranked(seeds.mapInArrow(_pairs(k), FOUND), k), "seeds")
+    seeded = saved(_ranked(map_arrow(seeds, _pairs(k), FOUND), k), "seeds")
     theta = seeded.groupBy("vec_id").agg(F.min("score").alias("theta"), F.count("*").alias("n")).where(F.col("n") == k)
-    owner = saved(blocks.select("block", "ids").mapInArrow(_owners, "block long, vec_id long"), "owners")
+    owner = saved(map_arrow(blocks.select("block", "ids"), _owners, "block long, vec_id long"), "owners")
     lists = theta.join(owner, "vec_id").groupBy("block").agg(F.collect_list(F.struct("vec_id", "theta")).alias("thetas"))
-    bounds = saved(blocks.select("dim", "block", "ids").join(lists, "block", "left").select("dim", "block", "ids", "thetas").mapInArrow(_bounds(k), "dim int, block long, theta binary"), "bounds")
+    bounds = saved(map_arrow(blocks.select("dim", "block", "ids").join(lists, "block", "left").select("dim", "block", "ids", "thetas"), _bounds(k), "dim int, block long, theta binary"), "bounds")
     done = first.select(F.col("block").alias("fb"), F.col("other").alias("fo"))
     pairs = q.select("dim", "qb").crossJoin(p.select("pdim", "pb")).where("dim = pdim").join(F.broadcast(done), (F.col("qb") == F.col("fb")) & (F.col("pb") == F.col("fo")), "left_anti")
     rest = pairs.select("qb", "pb").repartition(spread, "qb", "pb").join(q, "qb").join(bounds.select(F.col("block").alias("qb"), "theta"), "qb").join(p, "pb")
-    found = rest.select("dim", "q_ids", "q_vectors", "p_ids", "p_vectors", "theta").repartition(4 * spread).mapInArrow(_pairs(k), FOUND)
+    found = map_arrow(rest.select("dim", "q_ids", "q_vectors", "p_ids", "p_vectors", "theta").repartition(4 * spread), _pairs(k), FOUND)
     return _ranked(found.unionByName(seeded.drop("rank")), k).select("vec_id", F.col("rank").cast("int").alias("rank"), "match_id", "score")
 
 
