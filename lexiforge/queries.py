@@ -190,9 +190,9 @@ def fuzzy_ranked(spark, d):
 # -- predicates
 
 
-@query(f"select p_partkey, p_name, p_type from part where {any_like('p_name', P.fuzzy_patterns('brass', False))} or {any_like('p_type', P.fuzzy_patterns('brass', False))}")
+@query(f"select p_partkey, p_name, p_type from part where {any_like('p_name', P.fuzzy_patterns('promo', False))} or {any_like('p_type', P.fuzzy_patterns('promo', False))}")
 def multi_column_or(spark, d):
-    return table(spark, d, "part").transform(M.where_fuzzy_multiple(["p_name", "p_type"], "brass", "fuzzy")).select("p_partkey", "p_name", "p_type")
+    return table(spark, d, "part").transform(M.where_fuzzy_multiple(["p_name", "p_type"], "promo", "fuzzy")).select("p_partkey", "p_name", "p_type")
 
 
 @query(f"select p_partkey, p_name, p_size from part where p_size < 5 or {has('p_name', 'gear')}")
@@ -315,9 +315,9 @@ def without_relevance(spark, d):
 # -- boolean queries
 
 
-@query(f"select p_partkey, p_name, p_type from part where ({has('p_name', 'ring')} or {has('p_type', 'ring')}) and (({has('p_name', 'red')} or {has('p_type', 'red')}) or ({has('p_name', 'small')} or {has('p_type', 'small')})) and not ({has('p_name', 'brass')} or {has('p_type', 'brass')})")
+@query(f"select p_partkey, p_name, p_type from part where ({has('p_name', 'ring')} or {has('p_type', 'ring')}) and (({has('p_name', 'red')} or {has('p_type', 'red')}) or ({has('p_name', 'small')} or {has('p_type', 'small')})) and not ({has('p_name', 'promo')} or {has('p_type', 'promo')})")
 def ext_and_or_not(spark, d):
-    return part(spark, d).search_in(["p_name", "p_type"]).extended("ring (red | small) !brass").matched().select("p_partkey", "p_name", "p_type")
+    return part(spark, d).search_in(["p_name", "p_type"]).extended("ring (red | small) !promo").matched().select("p_partkey", "p_name", "p_type")
 
 
 @query("select p_partkey, p_name from part where lower(p_name) in ('redring', '''small''') or (starts_with(lower(p_name), 'red') and not ends_with(lower(p_name), 'ring')) or contains(lower(p_name), 'e g')")
