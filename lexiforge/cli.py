@@ -1,6 +1,7 @@
-"""python -m lexiforge STORE status | rebuild NAME TABLE KEY COLUMNS | flush NAME | clear | explain TABLE KEY COLUMNS TERM | benchmark TABLE KEY COLUMNS TERM [RUNS]
+"""python -m lexiforge STORE status | rebuild NAME TABLE KEY COLUMNS | flush NAME | clear | explain TABLE KEY COLUMNS TERM | benchmark TABLE KEY COLUMNS TERM [RUNS] | content NAME TABLE KEY COLUMNS OUT | shadow TABLE COLUMN OUT
 
-TABLE is a Parquet path, COLUMNS are names with commas between.
+TABLE and OUT are Parquet paths, COLUMNS are names with commas between. content writes the columns as one text per
+row, replacing what OUT has of that name; shadow writes the table with a column of the sound of COLUMN.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ import time
 
 from pyspark.sql import SparkSession
 
+from lexiforge.operators.matching import add_shadow_column
 from lexiforge.operators.search import Search
-from lexiforge.sources.index import IndexStore
+from lexiforge.sources.index import IndexStore, content_table
 
 
 def benchmark(s: Search, runs: int = 10) -> dict[str, float | str]:
@@ -52,6 +54,11 @@ def main(args: list[str]) -> int:
         s.take(5).get().show(truncate=False)
     elif verb == "benchmark" and len(rest) in (4, 5):
         print(json.dumps(benchmark(search(*rest[:4]), int(rest[4]) if len(rest) == 5 else 10)))
+    elif verb == "content" and len(rest) == 5:
+        rows = content_table(spark.read.parquet(rest[1]), rest[0], rest[2], rest[3].split(","))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(rest[4])
+    elif verb == "shadow" and len(rest) == 3:
+        add_shadow_column(spark.read.parquet(rest[0]), rest[1]).write.mode("overwrite").parquet(rest[2])
     else:
         print(__doc__)
         return 2

@@ -273,3 +273,10 @@ def weighted_distance_udf(insert: int, replace: int, delete: int):
         return pd.Series([None if x is None or y is None else weighted_distance(x, y, insert, replace, delete) for x, y in zip(a, b)], dtype="Int32")
 
     return distance
+
+
+def register_sql(spark) -> None:
+    """Makes similar_text(a, b), metaphone(s) and porter2(s) available to SQL."""
+    spark.udf.register("similar_text", similar_text_udf)
+    spark.udf.register("metaphone", metaphone_udf)
+    spark.udf.register("porter2", porter2_udf)

@@ -248,7 +248,7 @@ class IndexEngine:
     def map(self, results: DataFrame, c: Corpus) -> DataFrame:
         """The corpus's rows of the results, best first, with _score."""
         key = c.search("x").key
-        return c.df.join(F.broadcast(results), F.col(key).cast("string") == F.col("model_id")).withColumnRenamed("score", "_score").orderBy(F.desc("_score"), "model_id").drop("model_id")
+        return c.df.join(results, F.col(key).cast("string") == F.col("model_id")).withColumnRenamed("score", "_score").orderBy(F.desc("_score"), "model_id").drop("model_id")
 
     lazy_map = map
 

@@ -143,6 +143,18 @@ def where_any(columns: str | Sequence[str], term: str, **options: Any):
     return where_fuzzy_multiple([columns] if isinstance(columns, str) else columns, term, None, **options)
 
 
+def where_levenshtein(columns: Sequence[str], term: str, max_distance: int = 3):
+    return where_fuzzy_multiple(columns, term, "levenshtein", max_distance=max_distance)
+
+
+def where_soundex(columns: Sequence[str], term: str):
+    return where_fuzzy_multiple(columns, term, "soundex")
+
+
+def where_similar(columns: Sequence[str], term: str):
+    return where_fuzzy_multiple(columns, term, "similar_text")
+
+
 def or_where_fuzzy(before: Column, column: str, term: str, algorithm: str | None = None, **options: Any) -> Column:
     """before OR the match: to be given to where()."""
     return before | fuzzy_match(column, term, algorithm, **options)

@@ -400,8 +400,15 @@ class Search:
     def candidates(self) -> DataFrame:
         return self.matched().orderBy(*self._recall()).limit(self.settings.max_candidates)
 
+    def _all_contain(self) -> bool:
+        """Whether each candidate is sure to contain the term, so that no similarity has to be computed."""
+        one = len(self.weights) == 1 and self.query is None and not self.synonyms and not self.groups and not self.tokens
+        plain = self._algorithm in ("simple", "similar_text") and not self.options_.get("native", self.settings.use_native)
+        return one and plain and self.processed_term().lower() == self.term.lower()
+
     def _scored(self, df: DataFrame) -> DataFrame:
-        parts = {c: column_score(c, w, self.term, self.boost, self.typos) for c, w in self.weights.items()}
+        similar = not self._all_contain()
+        parts = {c: column_score(c, w, self.term, self.boost, self.typos, similar) for c, w in self.weights.items()}
         names = {c: f"_score_{i}" for i, c in enumerate(parts)}
         for c, s in parts.items():
             df = df.withColumn(names[c], s)

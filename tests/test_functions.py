@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiforge.functions import expressions as X
 from lexiforge.functions import patterns as P
 from lexiforge.functions import terms as T
-from lexiforge.functions.phonetic import metaphone, porter2, similar_text, weighted_distance
+from lexiforge.functions.phonetic import metaphone, porter2, register_sql, similar_text, weighted_distance
 from lexiforge.operators.matching import levenshtein_distance
 from lexiforge.sources.index import Analyzer, tokenize_term
 
@@ -131,3 +131,8 @@ def test_trigram_similarity(spark):
     got = spark.createDataFrame([(v,) for v in vals], "v string").select(X.trigram_similarity(F.col("v"), "john snow")).collect()
     want = [len(grams(v) & grams("john snow")) / len(grams(v) | grams("john snow")) for v in vals]
     assert [r[0] for r in got] == pytest.approx(want)
+
+
+def test_functions_in_sql(spark):
+    register_sql(spark)
+    assert tuple(spark.sql("select similar_text('World', 'Word'), metaphone('Steven'), porter2('running')").first()) == (pytest.approx(88.888889), "STFN", "run")

@@ -142,6 +142,11 @@ def test_command_line(spark, tmp_path, data, capsys):
     assert main([at, "rebuild", "part", f"{data}/part.parquet", "p_partkey", "p_name"]) == 0
     assert IndexStore(spark, at).read("part").meta.first()["total_docs"] == spark.read.parquet(f"{data}/part.parquet").count()
     assert main([at, "status"]) == 0 and main([at, "explain", f"{data}/part.parquet", "p_partkey", "p_name", "ring"]) == 0
+    for name in ("x", "y", "x"):
+        assert main([at, "content", name, f"{data}/part.parquet", "p_partkey", "p_name,p_brand", f"{at}-c"]) == 0
+    n = spark.read.parquet(f"{data}/part.parquet").count()
+    assert {r["model"]: r["count"] for r in spark.read.parquet(f"{at}-c").groupBy("model").count().collect()} == {"x": n, "y": n}
+    assert main([at, "shadow", f"{data}/part.parquet", "p_name", f"{at}-s"]) == 0 and "p_name_metaphone" in spark.read.parquet(f"{at}-s").columns
     assert main([at, "flush", "part"]) == 0 and main([at, "clear"]) == 0 and main([]) == 2 and main([at, "nope"]) == 2
 
 

@@ -208,6 +208,7 @@ def test_predicates_of_their_own(users):
     assert ids(shadow.transform(M.where_fuzzy("name", "Jon Sno", "metaphone"))) == [3]
     with pytest.raises(InvalidConfig, match="name_metaphone"):
         users.transform(M.where_fuzzy("name", "x", "metaphone"))
+    assert 1 in ids(users.transform(M.where_levenshtein(["name"], "jhn"))) and 1 in ids(users.transform(M.where_soundex(["name"], "john"))) and ids(users.transform(M.where_similar(["name", "email"], "alice"))) == [5]
     M.register_algorithm("ends", lambda c, t, o: F.col(c).endswith(t))
     assert ids(users.transform(M.where_fuzzy("name", "Snow", "ends"))) == [3]
     del M.ALGORITHMS["ends"]
