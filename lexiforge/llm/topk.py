@@ -31,7 +31,7 @@ from lexiforge.llm.base import long, map_arrow, saved
 
 TOP, BUCKET = 10, 2048
 #: Vectors of up to so many bytes in all are broadcast to the tasks of the block pairs; more are joined by shuffling.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 SLACK = 1e-9
 #: Local cosine threshold from which coordinates prune better than lengths; coordinates that are looked at.
 HIGH, FOCUS = 0.9, 4
@@ -180,13 +180,14 @@ def top_k(vectors: DataFrame, k: int = TOP, bucket: int = BUCKET) -> DataFrame:
     blocks = map_arrow(ordered.select("vec_id", "v"), _blocks(bucket), BLOCK).withColumn("block", F.monotonically_increasing_id())
     blocks = saved(blocks, "blocks")
     first = blocks.groupBy("dim").agg(F.max(F.struct("longest", -F.col("block"))).alias("m")).select("dim", (-F.col("m.col2")).alias("head"))
-    first = blocks.select("dim", "block").join(first, "dim").select("block", F.explode(F.array_distinct(F.array("block", "head"))).alias("other"))
-    q = blocks.select("dim", F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    p = blocks.select(F.col("dim").alias("pdim"), F.col("block").alias("pb"), F.col("ids").alias("p_ids"), F.col("vectors").alias("p_vectors"))
+    first = blocks.select("dim", "block").join(first, "dim").select("dim", "block", F.explode(F.array_distinct(F.array("block", "head"))).alias("other"))
+    # of one form, so that one broadcast serves both
+    q = blocks.select(F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    p = blocks.select(F.col("block").alias("pb"), F.col("ids").alias("p_ids"), F.col("vectors").alias("p_vectors"))
     spread = max(parts, v.sparkSession.sparkContext.defaultParallelism)
     small = v.agg(F.coalesce(F.sum("dim"), F.lit(0))).first()[0] * 8 <= BROADCAST_BYTES
     q, p = (F.broadcast(q), F.broadcast(p)) if small else (q, p)
-    seeds = first.select("block", "other").repartition(spread, "block", "other").join(q, F.col("block") == F.col("qb")).join(p, F.col("other") == F.col("pb")).select("dim", "q_ids", "q_vectors", "p_ids", "p_vectors")
+    seeds = first.repartition(spread, "block", "other").join(q, F.col("block") == F.col("qb")).join(p, F.col("other") == F.col("pb")).select("dim", "q_ids", "q_vectors", "p_ids", "p_vectors")
     seeded = saved(_ranked(map_arrow(seeds, _pairs(k), FOUND), k), "seeds")
     theta = seeded.groupBy("vec_id").agg(F.min("score").alias("theta"), F.count("*").alias("n")).where(F.col("n") == k)
     owner = saved(map_arrow(blocks.select("block", "ids"), _owners, "block long, vec_id long"), "owners")
@@ -196,7 +197,7 @@ def top_k(vectors: DataFrame, k: int = TOP, bucket: int = BUCKET) -> DataFrame:
     numbers = blocks.select("dim", F.col("block").alias("qb"))
     pairs = numbers.join(numbers.toDF("pdim", "pb"), F.col("dim") == F.col("pdim")).join(done, (F.col("qb") == F.col("fb")) & (F.col("pb") == F.col("fo")), "left_anti")
     theta = bounds.select(F.col("block").alias("qb"), "theta")
-    rest = pairs.select("qb", "pb").repartition(4 * spread, "qb", "pb").join(F.broadcast(theta) if small else theta, "qb").join(q, "qb").join(p, "pb")
+    rest = pairs.select("dim", "qb", "pb").repartition(4 * spread, "qb", "pb").join(F.broadcast(theta) if small else theta, "qb").join(q, "qb").join(p, "pb")
     found = map_arrow(rest.select("dim", "q_ids", "q_vectors", "p_ids", "p_vectors", "theta"), _pairs(k), FOUND)
     return _ranked(found.unionByName(seeded.drop("rank")), k).select("vec_id", F.col("rank").cast("int").alias("rank"), "match_id", "score")
 
