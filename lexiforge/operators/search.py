@@ -398,7 +398,12 @@ class Search:
         return [key]
 
     def candidates(self) -> DataFrame:
-        return self.matched().orderBy(*self._recall()).limit(self.settings.max_candidates)
+        """The best matches by recall order, in one partition, as a top-k.
+
+        coalesce(1) moves nothing, since a top-k has one partition; without it the optimiser moves the scores below the
+        limit, which turns the top-k into a sort of all matches and runs the similarity UDF on more than the candidates.
+        """
+        return self.matched().orderBy(*self._recall()).limit(self.settings.max_candidates).coalesce(1)
 
     def _all_contain(self) -> bool:
         """Whether each candidate is sure to contain the term, so that no similarity has to be computed."""
@@ -545,7 +550,7 @@ class Search:
             total = bm25.count(index, s.analyzer.terms(s.term)) if index else 0
             return Page(s._decorated(s._indexed_rows(page * per_page, (page - 1) * per_page, per_page)), page, per_page, total)
         rows = s.matched()
-        some = rows.orderBy(*s._recall()).offset((page - 1) * per_page).limit(per_page)
+        some = rows.orderBy(*s._recall()).offset((page - 1) * per_page).limit(per_page).coalesce(1)
         return Page(s._(start=0, size=per_page)._ranked(some), page, per_page, rows.count())
 
     def simple_paginate(self, per_page: int = 15, page: int = 1) -> Page:

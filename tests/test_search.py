@@ -47,6 +47,13 @@ def test_typos(corpus):
     assert corpus.search("jonh").using("levenshtein").typo_tolerance(0).get().isEmpty()
 
 
+def test_candidates_are_a_top_k(corpus):
+    for s in (corpus.search("jonh"), corpus.search("john").highlight().debug_score(), corpus.search("a | b").extended()):
+        plan = s.get()._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan and plan.count("TakeOrderedAndProject") == 2
+        assert plan.index("ArrowEvalPython") < plan.rindex("TakeOrderedAndProject")
+
+
 def test_rank_before_limit(spark):
     s = names(spark, *[f"johnxxx{i}" for i in range(5)], "john").search("john")
     assert ids(s.take(3).get())[0] == 6
