@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_KEYS = 2_000_000
 #: Bytes of text handled in one numpy step (one longer text is a step of its own).
 CHUNK_BYTES = 1 << 19
-#: Bounds of the batches that go to Python and back.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+#: Bounds of the batches that go to Python and back, and of those that come from Parquet: rows hold whole texts.
+BATCH = {"spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +43,14 @@ def saved(df: DataFrame, what: str = "part") -> DataFrame:
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df persisted on the executors' disks, for a table that is read again within one operator and then unpersisted.
+
+    What a lost executor held is computed again from the input. It costs no files in the shared folder.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table from saved() that no result reads any more."""
     path = getattr(df, "_lexiforge_path", None)

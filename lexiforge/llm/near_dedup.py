@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.base import by_keys, long, map_arrow, map_text, saved, with_small
+from lexiforge.llm.base import by_keys, discard, kept, long, map_arrow, map_text, saved, with_small
 from lexiforge.llm.pairs import band_edges, components, representatives, set_keys, verified
 from lexiforge.llm.textops import flat, mix, shingle_sets
 
@@ -112,7 +112,7 @@ def _likely(least: float, p: int, r: int):
 def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, p: int = P, r: int = R, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, group_id) of every document that has a near or exact copy; a saved() table, group_id the smallest id."""
     docs = docs.select(long("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = saved(map_text(docs, _sketch(shingle, p, r, rows), SKETCH), "sketch")
+    sketches = kept(map_text(docs, _sketch(shingle, p, r, rows), SKETCH))
     reps = saved(representatives(sketches), "reps")
     only = reps.where("doc_id = rep").select("doc_id")
     firsts = sketches.where("n_shingles > 0").select("doc_id", F.explode("bands").alias("band")).join(only, "doc_id", "left_semi")
@@ -121,6 +121,8 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, p: int = P, r
     sk = by_keys(sketches, "doc_id", nodes, True).select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id"])
     pairs = edges.join(sk.toDF("a", "na", "ra"), "a").join(sk.toDF("b", "nb", "rb"), "b")
     likely = saved(map_arrow(pairs, _likely(max(0.01, threshold - SLACK), p, r), "a long, b long"), "likely")
+    sketches.unpersist()
+    discard(nodes), discard(edges)
     near = verified(docs, likely, shingle, threshold).select("a", "b")
     same = reps.where("doc_id > rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     return saved(components(near.unionByName(same)), "groups")
@@ -130,9 +132,9 @@ def near_dedup(docs: DataFrame, **params) -> DataFrame:
     """docs without all but the smallest doc_id of each near-duplicate group; the same columns."""
     groups = near_duplicate_groups(docs, **params)
     gone = saved(groups.where("doc_id <> group_id").select("doc_id"), "gone")
-    kept = by_keys(docs, "doc_id", gone, False)
+    stay = by_keys(docs, "doc_id", gone, False)
     twice = saved(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    return by_keys(kept, "doc_id", twice, False).unionByName(by_keys(kept, "doc_id", twice, True).dropDuplicates(["doc_id"]))
+    return by_keys(stay, "doc_id", twice, False).unionByName(by_keys(stay, "doc_id", twice, True).dropDuplicates(["doc_id"]))
 
 
 def dedup_report(docs: DataFrame, **params) -> DataFrame:

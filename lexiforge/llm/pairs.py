@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.base import by_keys, discard, map_arrow, map_text, saved
+from lexiforge.llm.base import by_keys, discard, kept, map_arrow, map_text, saved
 from lexiforge.llm.textops import flat, mix, shingle_sets
 
 #: Parts that the members of one bucket's smallest id are spread over for verification.
@@ -90,14 +90,15 @@ def verified(docs: DataFrame, edges: DataFrame, k: int, least: float) -> DataFra
     that stands under an id more than once counts once. The larger id's set is sent to its partner's, one row per edge.
     """
     nodes = saved(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
-    sets = saved(map_text(by_keys(docs.select("doc_id", "text"), "doc_id", nodes, True), _sets(k), "doc_id long, words binary"), "sets")
+    sets = kept(map_text(by_keys(docs.select("doc_id", "text"), "doc_id", nodes, True), _sets(k), "doc_id long, words binary"))
     one = sets.dropDuplicates(["doc_id"])
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)))
     hubs = salted.select("a", "salt").distinct().join(one, F.col("a") == one["doc_id"]).select("a", "salt", F.lit(None).cast("long").alias("b"), "words")
     members = salted.join(one, F.col("b") == one["doc_id"]).select("a", "salt", "b", "words")
     rows = hubs.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     out = saved(map_arrow(rows, _verify(least), "a long, b long, jaccard double"), "verified")
-    discard(nodes), discard(sets)
+    sets.unpersist()
+    discard(nodes)
     return out
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.base import by_keys, discard, long, map_arrow, map_text, saved
+from lexiforge.llm.base import by_keys, discard, kept, long, map_arrow, map_text, saved
 from lexiforge.llm.textops import BASE, INVERSE, IS_SPACE, flat, mix, powers, ragged, run_hash, runs, span_hashes, strings, word_prefix
 
 LENGTH, K = 50, 25
@@ -360,13 +360,14 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, k: int = K) -> Data
     """(doc_id, lo, hi): word ranges, possibly overlapping, that repeat an earlier passage; a saved() table."""
     texts, _ = compared(docs)
     rows = map_text(texts, _anchor_rows(length, k), "h long, doc_id long, pos int").withColumn("n", F.expr("count(*) over (partition by h)"))
-    again = saved(rows.where("n > 1").drop("n"), "anchors")
+    again = kept(rows.where("n > 1").drop("n"))
     ids = saved(again.select("doc_id").distinct(), "ids")
     per_doc = again.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("pos", "h")).alias("at"))
     found = by_keys(texts, "doc_id", ids, True).join(per_doc.hint("shuffle_merge"), F.col("doc_id") == F.col("id")).drop("id")
     ctx = map_text(found, _contexts(length, k), "h long, doc_id long, pos int, n_left int, text string")
     out = saved(map_arrow(ctx.repartition("h").sortWithinPartitions("h", "doc_id", "pos"), _cuts(length, k), "doc_id long, lo int, hi int"), "cuts")
-    discard(again), discard(ids)
+    again.unpersist()
+    discard(ids)
     return out
 
 
