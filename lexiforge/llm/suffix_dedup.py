@@ -357,7 +357,7 @@ def compared(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """(doc_id, lo, hi): word ranges, possibly overlapping, that repeat an earlier passage; a saved() table."""
+    """(doc_id, cuts): of each document with repeated passages, their word ranges (lo, hi), which may overlap; a saved() table."""
     texts, _ = compared(docs)
     rows = map_text(texts, _anchor_rows(length, k), "h long, doc_id long, pos int").withColumn("n", F.expr("count(*) over (partition by h)"))
     again = kept(rows.where("n > 1").drop("n"))
@@ -365,7 +365,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, k: int = K) -> Data
     per_doc = again.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("pos", "h")).alias("at"))
     found = by_keys(texts, "doc_id", ids, True).join(per_doc.hint("shuffle_merge"), F.col("doc_id") == F.col("id")).drop("id")
     ctx = map_text(found, _contexts(length, k), "h long, doc_id long, pos int, n_left int, text string")
-    out = saved(map_arrow(ctx.repartition("h").sortWithinPartitions("h", "doc_id", "pos"), _cuts(length, k), "doc_id long, lo int, hi int"), "cuts")
+    cuts = map_arrow(ctx.repartition("h").sortWithinPartitions("h", "doc_id", "pos"), _cuts(length, k), "doc_id long, lo int, hi int")
+    out = saved(cuts.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts")), "cuts")
     again.unpersist()
     discard(ids)
     return out
@@ -403,9 +404,9 @@ def _without(docs: DataFrame, length: int, k: int) -> DataFrame:
     """docs with the cuts made and the number of words lost in __lost."""
     cuts = repeated_passages(docs, length, k)
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    hit = saved(cuts.select("doc_id").distinct(), "hit")
+    hit = cuts.select("doc_id")
     names = [*docs.columns, "__lost"]
-    per_doc = cuts.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("lo", "hi")).alias("__cuts"))
+    per_doc = cuts.select(F.col("doc_id").alias("__id"), F.col("cuts").alias("__cuts"))
     changed = by_keys(docs, "doc_id", hit, True).join(per_doc.hint("shuffle_merge"), F.col("doc_id") == F.col("__id")).drop("__id")
     schema = docs.withColumn("__lost", F.lit(0)).schema
     rest = by_keys(docs, "doc_id", hit, False).withColumn("__lost", F.lit(0))
