@@ -134,6 +134,8 @@ def near_dedup(docs: DataFrame, **params) -> DataFrame:
     gone = saved(groups.where("doc_id <> group_id").select("doc_id"), "gone")
     stay = by_keys(docs, "doc_id", gone, False)
     twice = saved(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return stay
     return by_keys(stay, "doc_id", twice, False).unionByName(by_keys(stay, "doc_id", twice, True).dropDuplicates(["doc_id"]))
 
 
