@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.base import saved, shared_dir
+from lexiforge.llm.base import kept, shared_dir
 
 GROUP = ("source", "lang", "tokenizer_version")
 SCHEMA = "source string, lang string, tokenizer_version string, docs long, tokens long"
@@ -138,7 +138,7 @@ def corpus_rollup(docs: DataFrame) -> DataFrame:
             for v in COUNTS
         ])).alias("c"),
     )
-    counted = saved(counted.select("doc_id", "source", "lang", "same", "there", "c.*"), "counted")
+    counted = kept(counted.select("doc_id", "source", "lang", "same", "there", "c.*"))
     w = Window.partitionBy("tokenizer_version", "same").orderBy("doc_id", "source", "lang")
     copies = counted.where("there").withColumn("i", F.row_number().over(w))
     store = Rollup(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/lexiforge-rollup-{uuid.uuid4().hex}")
@@ -146,6 +146,7 @@ def corpus_rollup(docs: DataFrame) -> DataFrame:
     store.commit("delete-1", deleted(copies.where("i > 1")))
     store.commit("delete-1", deleted(copies.where("i > 1")))
     store.commit("revise-1", revised(copies.where("i = 1 and tokens <> revised"), "tokens", "revised"))
+    counted.unpersist()
     return store.totals()
 
 
