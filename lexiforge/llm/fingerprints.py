@@ -2,11 +2,13 @@
 
 Method: a family of universal hash functions (multiply, add, take the high word) over the distinct word shingles
 of each text, evaluated for a whole chunk of texts at once in numpy; the least value per function is the
-signature. Bands of the signature are the keys of a Spark window that brings candidates together; Jaccard
-similarity is then verified on the full shingle sets (see pairs.py).
+signature. Bands of the signature are the keys of buckets; all pairs of different sets in a bucket are
+candidates, whose Jaccard similarity is then verified on the full shingle sets (see pairs.py). Copies with one
+and the same set are one candidate, and its pairs are given to each of them.
 
-Defined cases: a null or empty text, or one without words, has n_shingles 0, a null signature and no match. A row
-with a null doc_id gets its signature and no match. Repeated rows of one doc_id each get a row. Of equally
+Defined cases: a null or empty text, or one without words, has n_shingles 0, a null signature and no partners. A row
+with a null doc_id gets its signature and no partners. Repeated rows of one doc_id each get a row, with the partners
+of its own text; a doc_id is no partner of itself. Of equally
 similar partners the smallest id is reported. An empty table gives an empty result. Further columns are ignored.
 """
 
@@ -17,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.base import long, map_text, saved, with_small
-from lexiforge.llm.pairs import band_edges, representatives, set_keys, verified
+from lexiforge.llm.base import by_keys, discard, long, map_text, saved
+from lexiforge.llm.pairs import band_pairs, representatives, set_keys, verified
 from lexiforge.llm.textops import flat, mix, shingle_sets
 
 SHINGLE, PERMUTATIONS, ROWS, THRESHOLD = 3, 128, 4, 0.5
@@ -57,21 +59,31 @@ def _sketch(k: int, permutations: int):
 
 
 def document_fingerprints(docs: DataFrame, shingle: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, signature, match_id, jaccard.
+    """One row per row of docs: doc_id, n_shingles, signature, match_id, jaccard, partners.
 
-    match_id is, of the smaller ids linked with the document by an equal set or by a band bucket, the one of
-    highest verified Jaccard similarity, at least `threshold`; null without such. Every document of a group of
-    near copies but the smallest therefore names a partner.
+    partners has, in the order of their ids, (doc_id, jaccard) of all other documents, smaller and larger, with an
+    equal shingle set or with a band bucket in common and a verified Jaccard similarity of at least `threshold`.
+    match_id and jaccard are the most similar partner of smaller id; null without such.
     """
     docs = docs.select(long("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = saved(map_text(docs, _sketch(shingle, permutations), SKETCH), "sketch")
     reps = saved(representatives(sketches), "reps")
-    only = reps.where("doc_id = rep").select("doc_id")
     keys = [F.xxhash64(F.lit(i), F.slice("signature", 1 + i * rows, rows)) for i in range(permutations // rows)]
-    firsts = sketches.where("n_shingles > 0").select("doc_id", "signature").join(only, "doc_id", "left_semi")
-    edges = saved(band_edges(firsts.select("doc_id", F.explode(F.array(*keys)).alias("band")).distinct()), "edges")
-    near = verified(docs, edges, shingle, threshold).select(F.col("b").alias("doc_id"), F.col("a").alias("match_id"), "jaccard")
-    same = reps.where("doc_id > rep").select("doc_id", F.col("rep").alias("match_id"), F.lit(1.0).alias("jaccard"))
-    best = near.unionByName(same).groupBy("doc_id").agg(F.max(F.struct("jaccard", -F.col("match_id"))).alias("m"))
-    best = saved(best.select("doc_id", (-F.col("m.col2")).alias("match_id"), F.col("m.jaccard").alias("jaccard")), "best")
-    return with_small(sketches.drop("set_key"), "doc_id", best).select("doc_id", "n_shingles", "signature", "match_id", "jaccard")
+    named = sketches.where(F.col("doc_id").isNotNull())
+    edges = saved(band_pairs(named.where("n_shingles > 0").select("set_key", F.explode(F.array(*keys)).alias("band"))), "edges")
+    near = verified(docs, reps, edges, shingle, threshold)
+    discard(edges)
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
+    others = both.join(reps, F.col("b") == F.col("set_key")).groupBy("a").agg(F.collect_list(F.struct("jaccard", "members")).alias("near"))
+    every = reps.join(others, F.col("set_key") == F.col("a"), "left").where("near is not null or size(members) > 1")
+    each = F.flatten(F.transform(F.concat(F.array(F.struct(F.lit(1.0).alias("jaccard"), "members")), F.coalesce("near", F.array())), lambda g: F.transform(g["members"], lambda i: F.struct(i.alias("doc_id"), g["jaccard"].alias("jaccard")))))
+    lists = saved(every.select("set_key", F.sort_array(each).alias("partners")), "lists")
+    discard(near)
+    with_any = saved(lists.select("set_key"), "keys")
+    hit = by_keys(named, "set_key", with_any, True).join(lists, "set_key").withColumn("partners", F.filter("partners", lambda p: p["doc_id"] != F.col("doc_id")))
+    none = F.array().cast("array<struct<doc_id:bigint,jaccard:double>>")
+    rest = by_keys(named, "set_key", with_any, False).unionByName(sketches.where("doc_id is null")).withColumn("partners", none)
+    smaller = F.filter("partners", lambda p: p["doc_id"] < F.col("doc_id"))
+    best = F.array_max(F.transform(smaller, lambda p: F.struct(p["jaccard"].alias("jaccard"), (-p["doc_id"]).alias("id"))))
+    out = hit.unionByName(rest).withColumn("m", best)
+    return out.select("doc_id", "n_shingles", "signature", (-F.col("m.id")).alias("match_id"), F.col("m.jaccard").alias("jaccard"), "partners")

@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiforge.llm.base import by_keys, discard, kept, long, map_arrow, map_text, saved, with_small
@@ -114,18 +114,26 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, p: int = P, r
     docs = docs.select(long("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = kept(map_text(docs, _sketch(shingle, p, r, rows), SKETCH))
     reps = saved(representatives(sketches), "reps")
-    only = reps.where("doc_id = rep").select("doc_id")
-    firsts = sketches.where("n_shingles > 0").select("doc_id", F.explode("bands").alias("band")).join(only, "doc_id", "left_semi")
-    edges = saved(band_edges(firsts), "edges")
+    bands = sketches.where("doc_id is not null and n_shingles > 0").select("set_key", F.explode("bands").alias("band"))
+    edges = saved(band_edges(bands), "edges")
     nodes = saved(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
-    sk = by_keys(sketches, "doc_id", nodes, True).select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id"])
+    sk = by_keys(sketches, "set_key", nodes, True).select("set_key", "n_shingles", "registers").dropDuplicates(["set_key"])
     pairs = edges.join(sk.toDF("a", "na", "ra"), "a").join(sk.toDF("b", "nb", "rb"), "b")
     likely = saved(map_arrow(pairs, _likely(max(0.01, threshold - SLACK), p, r), "a long, b long"), "likely")
     sketches.unpersist()
     discard(nodes), discard(edges)
-    near = verified(docs, likely, shingle, threshold).select("a", "b")
-    same = reps.where("doc_id > rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    return saved(components(near.unionByName(same)), "groups")
+    near = verified(docs, reps, likely, shingle, threshold)
+    roots = saved(components(near.select("a", "b")), "roots")
+    return _groups(reps, roots)
+
+
+def _groups(reps: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, group_id) from the ids of each shingle set and the root of each connected one."""
+    sets = with_small(reps, "set_key", roots).select(F.coalesce("root", "set_key").alias("root"), "members")
+    w = Window.partitionBy("root")
+    sets = sets.withColumn("group_id", F.min(F.col("members")[0]).over(w)).withColumn("n", F.sum(F.size("members")).over(w)).where("n > 1")
+    ids = sets.select(F.explode("members").alias("doc_id"), "group_id")
+    return saved(ids.groupBy("doc_id").agg(F.min("group_id").alias("group_id")), "groups")
 
 
 def near_dedup(docs: DataFrame, **params) -> DataFrame:

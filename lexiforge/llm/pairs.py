@@ -1,9 +1,9 @@
 """What both near-duplicate operators share: candidate edges from band keys, exact verification, groups.
 
-Documents of a large group are not paired all with all, which would grow with the square of the group. In each
-band bucket a document is linked with the bucket's smallest id and with the next smaller id; a link counts only
-once its Jaccard similarity is verified on the full shingle sets. Groups are the connected components of the
-verified links. Documents with one and the same shingle set are collapsed beforehand and linked to the smallest.
+A node is one shingle set, named by its set key: documents with one and the same set are one node. band_pairs pairs
+all nodes of a band bucket, which grows with the square of a group, as a list of pairs does. band_edges links a node
+only with the bucket's smallest and the next smaller one. Either counts only once its Jaccard similarity is
+verified on the full shingle sets. Groups are the connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.base import by_keys, discard, kept, map_arrow, map_text, saved
+from lexiforge.llm.base import by_keys, discard, map_arrow, map_text, saved, with_small
 from lexiforge.llm.textops import flat, mix, shingle_sets
 
-#: Parts that the members of one bucket's smallest id are spread over for verification.
-SALT = 8
+#: Nodes that share a smallest neighbour and are verified in one block, about.
+BLOCK = 256
 
 
 def set_keys(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -32,23 +32,27 @@ def set_keys(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def representatives(sketches: DataFrame) -> DataFrame:
-    """(doc_id, rep): rep is the smallest id with the same set key. Ids without shingles or null are left out."""
-    w = Window.partitionBy("set_key")
-    return (
-        sketches.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-        .select("doc_id", F.col("set_key"))
-        .select("doc_id", F.min("doc_id").over(w).alias("rep"))
-        .distinct()
-    )
+    """(set_key, doc_id, members) of each shingle set: its smallest id and all its ids. Texts without shingles or with a null id are left out."""
+    sets = sketches.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("set_key").agg(F.sort_array(F.collect_set("doc_id")).alias("members"))
+    return sets.select("set_key", F.col("members")[0].alias("doc_id"), "members")
+
+
+def band_pairs(bands: DataFrame) -> DataFrame:
+    """Distinct candidate edges (a, b), a < b, from rows (set_key, band): all pairs of each bucket."""
+    w = Window.partitionBy("band")
+    shared = bands.select("set_key", "band", (F.min("set_key").over(w) < F.max("set_key").over(w)).alias("more")).where("more")
+    buckets = shared.groupBy("band").agg(F.sort_array(F.collect_set("set_key")).alias("m"))
+    each = buckets.select("m", F.posexplode("m").alias("i", "a"))
+    return each.select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b")).distinct()
 
 
 def band_edges(bands: DataFrame) -> DataFrame:
-    """Distinct candidate edges (a, b), a < b, from rows (doc_id, band): each with the first and the previous of its bucket."""
-    w = Window.partitionBy("band").orderBy("doc_id")
-    linked = bands.select("doc_id", F.first("doc_id").over(w).alias("hub"), F.lag("doc_id").over(w).alias("prev"))
+    """Distinct candidate edges (a, b), a < b, from rows (set_key, band): each with the first and the previous of its bucket."""
+    w = Window.partitionBy("band").orderBy("set_key")
+    linked = bands.select("set_key", F.first("set_key").over(w).alias("hub"), F.lag("set_key").over(w).alias("prev"))
     return (
-        linked.where(F.col("doc_id") > F.col("hub"))
-        .select(F.explode(F.array("hub", "prev")).alias("a"), F.col("doc_id").alias("b"))
+        linked.where(F.col("set_key") > F.col("hub"))
+        .select(F.explode(F.array("hub", "prev")).alias("a"), F.col("set_key").alias("b"))
         .where(F.col("a") < F.col("b"))
         .distinct()
     )
@@ -59,51 +63,59 @@ def _sets(k: int):
         h, at = shingle_sets(*flat(batch.column("text")), k)
         low = (mix(h) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         parts = [np.sort(low[at[i] : at[i + 1]]).tobytes() for i in range(batch.num_rows)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(parts, pa.binary())], ["doc_id", "words"])
+        return pa.RecordBatch.from_arrays([pa.array(set_keys(h, at).view(np.int64)), pa.array(parts, pa.binary())], ["set_key", "words"])
 
     return run
 
 
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_set = None, None
+        now, sets = None, {}
         for batch in batches:
             a, b, j = [], [], []
-            for x, y, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                words = np.frombuffer(raw.as_buffer(), np.uint32)
+            for cell, x, y, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                if cell != now:
+                    now, sets = cell, {}
                 if y is None:
-                    hub, hub_set = x, words.copy()
-                elif hub == x:
-                    both = len(np.intersect1d(hub_set, words, assume_unique=True))
-                    sim = both / max(1, len(hub_set) + len(words) - both)
-                    if sim >= least:
-                        a.append(x), b.append(y), j.append(sim)
+                    sets[x] = np.frombuffer(raw.as_py(), np.uint32)
+                    continue
+                one, two = sets[x], sets[y]
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                sim = both / max(1, len(one) + len(two) - both)
+                if sim >= least:
+                    a.append(x), b.append(y), j.append(sim)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64())], ["a", "b", "jaccard"])
 
     return run
 
 
-def verified(docs: DataFrame, edges: DataFrame, k: int, least: float) -> DataFrame:
+def verified(docs: DataFrame, reps: DataFrame, edges: DataFrame, k: int, least: float) -> DataFrame:
     """Edges (a, b, jaccard) whose exact Jaccard similarity over k-word shingles is at least `least`.
 
-    docs has (doc_id, text); edges is a saved() table. Only texts that an edge names are shingled again; a text
-    that stands under an id more than once counts once. The larger id's set is sent to its partner's, one row per edge.
+    docs has (doc_id, text), reps is a saved() table of representatives(), edges one of set keys. Only documents whose
+    set an edge names are shingled again. Nodes fall into blocks of about BLOCK by their smallest neighbour; a set
+    is sent once to each pair of blocks with an edge of it, not once to each edge.
     """
-    nodes = saved(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
-    sets = kept(map_text(by_keys(docs.select("doc_id", "text"), "doc_id", nodes, True), _sets(k), "doc_id long, words binary"))
-    one = sets.dropDuplicates(["doc_id"])
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)))
-    hubs = salted.select("a", "salt").distinct().join(one, F.col("a") == one["doc_id"]).select("a", "salt", F.lit(None).cast("long").alias("b"), "words")
-    members = salted.join(one, F.col("b") == one["doc_id"]).select("a", "salt", "b", "words")
-    rows = hubs.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    roots = both.groupBy("a").agg(F.min("b").alias("r")).select(F.col("a").alias("id"), F.least("a", "r").alias("root"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.count("*").over(Window.partitionBy("root")) / BLOCK))
+    nodes = saved(roots.select("id", F.xxhash64("root", part).alias("block")), "nodes")
+    one = with_small(edges, "a", nodes.toDF("a", "one"))
+    two = with_small(one, "b", nodes.toDF("b", "two"))
+    cells = saved(two.select("a", "b", F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("cell")), "cells")
+    ids = saved(reps.join(nodes, F.col("set_key") == F.col("id"), "left_semi").select("doc_id").distinct(), "ids")
+    sets = map_text(by_keys(docs.select("doc_id", "text"), "doc_id", ids, True), _sets(k), "set_key long, words binary").dropDuplicates(["set_key"])
+    need = cells.select("cell", F.explode(F.array("a", "b")).alias("set_key")).distinct()
+    full = need.join(sets, "set_key").select("cell", F.col("set_key").alias("a"), F.lit(None).cast("long").alias("b"), "words")
+    rows = full.unionByName(cells.select("cell", "a", "b", F.lit(None).cast("binary").alias("words")))
+    rows = rows.repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first())
     out = saved(map_arrow(rows, _verify(least), "a long, b long, jaccard double"), "verified")
-    sets.unpersist()
-    discard(nodes)
+    discard(nodes), discard(cells), discard(ids)
     return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(doc_id, group_id) of every id in the edges (a, b): group_id is the smallest id connected with it.
+    """(set_key, root) of every node in the edges (a, b): root is the smallest one connected with it.
 
     Alternating large-star and small-star steps; each is saved, and the loop ends when the edges no longer change.
     """
@@ -119,4 +131,4 @@ def components(edges: DataFrame) -> DataFrame:
         now, last = new, mark
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if mark == last:
-            return now.select(F.col("b").alias("doc_id"), F.col("a").alias("group_id")).unionByName(now.select(F.col("a").alias("doc_id"), F.col("a").alias("group_id")).distinct())
+            return now.select(F.col("b").alias("set_key"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("set_key"), F.col("a").alias("root")).distinct())

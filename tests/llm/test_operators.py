@@ -121,6 +121,23 @@ def test_fingerprints_find_the_near_copies(documents, texts):
     assert np.mean([abs((sig[a] == sig[b]).mean() - j) for (a, b), j in pairs.items()]) < 0.05
 
 
+def test_fingerprints_give_all_pairs(documents, texts):
+    pairs = brute_pairs(texts, fingerprints.THRESHOLD)
+    rows = fingerprints.document_fingerprints(documents).collect()
+    got = {(r["doc_id"], p["doc_id"]): p["jaccard"] for r in rows for p in r["partners"]}
+    assert len(got) == sum(len(r["partners"]) for r in rows) and all((b, a) in got for a, b in got)
+    found = {p: j for p, j in got.items() if p[0] < p[1]}
+    assert len(found) >= 0.9 * len(pairs) > 0 and all(j == pytest.approx(pairs[p]) for p, j in found.items())
+
+
+def test_copies_name_each_other(spark):
+    base = prose(3, 200)
+    near = base + " and one more word"
+    rows = [(i, base) for i in range(1, 7)] + [(i, near) for i in range(7, 11)] + [(11, prose(4, 200)), (11, base)]
+    got = {(r["doc_id"], r["n_shingles"], tuple(p["doc_id"] for p in r["partners"])) for r in fingerprints.document_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(i, ps) for i, _, ps in got} == {(i, tuple(j for j in range(1, 12) if j != i)) for i in range(1, 12)} | {(11, ())}
+
+
 def test_near_duplicate_groups(documents, texts):
     want = brute_groups(texts, near_dedup.THRESHOLD)
     got = {r["doc_id"]: r["group_id"] for r in near_dedup.dedup_report(documents).collect()}
