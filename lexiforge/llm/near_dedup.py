@@ -4,7 +4,8 @@ Method: each shingle hash falls into one of 2**p buckets; per bucket the least r
 as its count of leading zeros and the r mantissa bits behind them, two bytes in all. Bands of these registers are
 the candidate keys. For candidates the share of equal registers, corrected by the number expected to collide by
 chance, estimates Jaccard similarity; candidates well below the threshold go, the rest are verified on the full
-shingle sets, and one document of each connected group stays (see pairs.py).
+shingle sets, and one document of each connected group stays (see pairs.py). First each document is compared with the
+smallest and the previous one of its bucket; then, within each bucket, all pairs that this left in different groups.
 
 Defined cases: a null or empty text, or one without words, is in no group, and is kept. A row with a null doc_id is
 kept and in no group. Rows that repeat a doc_id count as one document; one of them stays. The smallest doc_id of a
@@ -13,6 +14,7 @@ group stays. An empty table gives an empty result. Further columns pass through.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +29,8 @@ from lexiforge.llm.textops import flat, mix, shingle_sets
 SHINGLE, P, R, ROWS, THRESHOLD = 3, 7, 10, 4, 0.5
 #: Candidates whose estimate is so far below the threshold are dropped (six standard errors at 128 registers are 0.26).
 SLACK = 0.25
+#: Registers that are compared in one numpy step.
+ACROSS = 1 << 22
 
 SKETCH = "doc_id long, n_shingles int, set_key long, registers binary, bands array<long>"
 
@@ -109,6 +113,66 @@ def _likely(least: float, p: int, r: int):
     return run
 
 
+def _across(least: float, width: int):
+    """Pairs of one bucket with different roots and at least this share of equal registers. Rows come by bucket."""
+
+    def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, root = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in ("set_key", "root"))
+        reg = np.concatenate([np.frombuffer(b"".join(r.column("codes").to_pylist()), np.uint8).reshape(-1, width) for r in rows])
+        full, step = (reg > 0).sum(axis=1), max(1, ACROSS // (len(reg) * width))
+        for i in range(0, len(reg), step):
+            x, rest = reg[i : i + step, None], reg[None, i:]
+            both = ((x > 0) & (rest > 0)).sum(axis=2)
+            equal = ((x == rest) & (x > 0)).sum(axis=2)
+            ok = (equal >= least * (full[i : i + step, None] + full[None, i:] - both)) & (root[i : i + step, None] != root[None, i:])
+            a, b = np.nonzero(np.triu(ok))
+            a, b = key[i + a], key[i + b]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            band = batch.column("band").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(band)) + 1).tolist(), len(band)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    if held and band[lo] != now:
+                        yield from pairs(held)
+                        held = []
+                    now = band[lo]
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from pairs(held)
+
+    return run
+
+
+def _codes(width: int):
+    """One byte a register, 0 where empty: equal registers have equal bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column("registers").to_pylist()), np.uint16).reshape(-1, width)
+            codes = np.where(x > 0, 1 + x % 255, 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([b.column("set_key"), pa.array([c.tobytes() for c in codes], pa.binary())], ["set_key", "codes"])
+
+    return run
+
+
+def _between(sketches: DataFrame, bands: DataFrame, roots: DataFrame, least: float, p: int) -> DataFrame:
+    """Distinct pairs (a, b) of a common bucket that the links left in different components; a saved() table."""
+    w = Window.partitionBy("band")
+    rooted = with_small(bands.distinct(), "set_key", roots).withColumn("root", F.coalesce("root", "set_key"))
+    mixed = saved(rooted.withColumn("more", F.min("root").over(w) < F.max("root").over(w)).where("more").select("band", "set_key", "root"), "mixed")
+    nodes = saved(mixed.select("set_key").distinct(), "nodes")
+    codes = map_arrow(by_keys(sketches.select("set_key", "registers"), "set_key", nodes, True).dropDuplicates(["set_key"]), _codes(1 << p), "set_key long, codes binary")
+    rows = mixed.join(codes, "set_key").repartition("band").sortWithinPartitions("band")
+    out = saved(map_arrow(rows.select("band", "set_key", "root", "codes"), _across(least, 1 << p), "a long, b long").distinct(), "between")
+    discard(mixed), discard(nodes)
+    return out
+
+
 def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, p: int = P, r: int = R, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, group_id) of every document that has a near or exact copy; a saved() table, group_id the smallest id."""
     docs = docs.select(long("doc_id"), F.col("text").cast("string").alias("text"))
@@ -120,10 +184,14 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, p: int = P, r
     sk = by_keys(sketches, "set_key", nodes, True).select("set_key", "n_shingles", "registers").dropDuplicates(["set_key"])
     pairs = edges.join(sk.toDF("a", "na", "ra"), "a").join(sk.toDF("b", "nb", "rb"), "b")
     likely = saved(map_arrow(pairs, _likely(max(0.01, threshold - SLACK), p, r), "a long, b long"), "likely")
-    sketches.unpersist()
     discard(nodes), discard(edges)
     near = verified(docs, reps, likely, shingle, threshold)
     roots = saved(components(near.select("a", "b")), "roots")
+    between = _between(sketches, bands, roots, max(0.01, threshold - SLACK), p)
+    sketches.unpersist()
+    more = verified(docs, reps, between, shingle, threshold).select("a", "b")
+    if not more.isEmpty():
+        roots = saved(components(roots.select(F.col("root").alias("a"), F.col("set_key").alias("b")).where("a < b").unionByName(more)), "roots")
     return _groups(reps, roots)
 
 

@@ -146,6 +146,20 @@ def test_near_duplicate_groups(documents, texts):
     assert all(want[i] == want[g] for i, g in got.items())
 
 
+def test_near_copies_that_share_a_passage_with_others(spark):
+    """Pairs of Jaccard 0.61, among documents of which any two have 0.48 from one passage."""
+    r = random.Random(6)
+    words = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    passage, texts = words(260), {}
+    for i in range(300):
+        pair = words(44)
+        texts |= {j: f"{passage} {pair} {words(96)}" for j in (i, 1000 + i)}
+    got = {r["doc_id"]: r["group_id"] for r in near_dedup.near_duplicate_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert set(brute_pairs(texts, near_dedup.THRESHOLD)) == {(i, 1000 + i) for i in range(300)}
+    assert all(g == i % 1000 for i, g in got.items())
+    assert sum(got.get(i) == got.get(1000 + i) == i for i in range(300)) >= 0.97 * 300
+
+
 @pytest.mark.parametrize("r", [2, 10])
 def test_collision_correction(r):
     rng = np.random.default_rng(5)
