@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import language_id, near_dedup, packing, pii, suffix_dedup
+from lexiforge.llm import bpe, language_id, near_dedup, packing, pii, suffix_dedup
 from lexiforge.llm.base import saved, table
 
 
@@ -34,7 +34,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training windows of the documents, in order."""
-    return packing.pack(docs)
+    return packing.pack(docs, bpe.RANKS)
 
 
 STAGES = [

@@ -2,9 +2,9 @@
 
 Method: contiguous rank arrays. A word is its byte parts and the ranks of its adjacent pairs, side by side in arrays;
 the least rank is searched by scanning, the boundary there is deleted, and the ranks to its left and right are
-refreshed, until no pair has a rank. Words of one length are rows of one matrix, so that each step treats all of them
-in numpy; after every step each row that goes on has one part less, so that the matrix stays rectangular. Only the
-distinct words of a chunk are encoded. A word of over LONG bytes is merged with a heap instead, to the same result,
+refreshed, until no pair has a rank. Words of about one length are rows of one matrix, so that each step treats all of
+them in numpy; with every step each row that goes on has one part less, so that the matrix stays rectangular. Only the
+distinct words of a chunk are encoded, and each worker remembers up to MEMO of them. A word of over LONG bytes is merged with a heap instead, to the same result,
 since scanning it would take quadratic time.
 
 Texts are first split as by the public pattern of the rank files
@@ -13,15 +13,19 @@ boundaries of character classes, without a regular expression. No special tokens
 
 Defined cases: a null or empty text has no tokens. Null doc_ids and repeated rows are treated like any other row.
 Strings of special tokens are ordinary text. Ties of rank go to the leftmost pair. An empty table gives an empty
-result. Further columns are ignored.
+result. A doc_id that is no whole number counts as null. Further columns are ignored (bpe_encode) or pass through
+(bpe_decode, which gives the text in `decoded`, or `decoded_` if there is such a column). A null list of tokens decodes
+to an empty text; a null within one, or a number that is no token, stands for nothing.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import os
 import sys
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +33,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.base import long, map_arrow, map_text
+from lexiforge.llm.base import long, map_arrow, map_text, operator, unused
 from lexiforge.llm.textops import flat, ragged, span_hashes
 
-LONG = 64
+LONG, MEMO, CHUNK = 64, 300_000, 1 << 20
+#: Words of up to so many bytes are rows of one matrix.
+WIDTHS = (2, 4, 6, 8, 11, 14, 18, 24, 32, 48, LONG)
 NONE = np.int64(1 << 40)
+#: The rank file that queries and the pipeline use; LEXIFORGE_RANKS names another.
+RANKS = os.environ.get("LEXIFORGE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 
 
@@ -71,7 +79,7 @@ class Vocabulary:
             rest = np.ones(len(key), bool)
             rest[put] = False
             key, rank, slot = key[rest], rank[rest], (slot[rest] + 1) & (len(self.keys) - 1)
-        size = max(ranks.values()) + 1
+        self.size = size = max(ranks.values()) + 1
         words = [b""] * size
         for token, r in ranks.items():
             words[r] = token
@@ -99,20 +107,21 @@ class Vocabulary:
         return out
 
 
-def merge_rows(v: Vocabulary, parts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Encodes rows of byte parts, all of one length: pairs of row numbers and their token matrix."""
+def merge_rows(v: Vocabulary, parts: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Encodes rows of byte parts, of which each row has its first `size`: row numbers, token matrix and sizes, of rows that end together."""
     rows, done = np.arange(len(parts)), []
     if parts.shape[1] < 2:
-        return [(rows, parts)]
+        return [(rows, parts, size)]
     ranks = v.pair(parts[:, :-1].ravel(), parts[:, 1:].ravel()).reshape(len(parts), -1)
+    ranks[np.arange(parts.shape[1] - 1) >= (size - 1)[:, None]] = NONE
     while True:
         at = ranks.argmin(axis=1)
         each = np.arange(len(rows))
         least = ranks[each, at]
         go = least < NONE
         if not go.all():
-            done.append((rows[~go], parts[~go]))
-            rows, parts, ranks, at, least = rows[go], parts[go], ranks[go], at[go], least[go]
+            done.append((rows[~go], parts[~go], size[~go]))
+            rows, parts, ranks, size, at, least = rows[go], parts[go], ranks[go], size[go], at[go], least[go]
             each = np.arange(len(rows))
         if not len(rows):
             return done
@@ -120,13 +129,14 @@ def merge_rows(v: Vocabulary, parts: np.ndarray) -> list[tuple[np.ndarray, np.nd
         parts[each, at] = least
         cols = np.arange(width)
         parts = parts[cols != (at + 1)[:, None]].reshape(len(rows), width - 1)
+        size = size - 1
         if width == 2:
-            done.append((rows, parts))
+            done.append((rows, parts, size))
             return done
         ranks = ranks[cols[:-1] != at[:, None]].reshape(len(rows), width - 2)
         left = np.flatnonzero(at > 0)
         ranks[left, at[left] - 1] = v.pair(parts[left, at[left] - 1], parts[left, at[left]])
-        right = np.flatnonzero(at < width - 2)
+        right = np.flatnonzero(at < size - 1)
         ranks[right, at[right]] = v.pair(parts[right, at[right]], parts[right, at[right] + 1])
 
 
@@ -222,32 +232,76 @@ def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lead[at], np.searchsorted(at, text)
 
 
-def encode(v: Vocabulary, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all texts and len+1 offsets."""
+class Memo:
+    """Tokens of words by their hash, for all chunks of one worker; it starts anew when it holds over `most` words."""
+
+    def __init__(self, most: int = MEMO):
+        self.most, self.rows, self.parts, self.size = most, {}, [np.zeros(0, np.int64)], 0
+        self.start, self.count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(self, keys: np.ndarray, tokens: np.ndarray, count: np.ndarray) -> None:
+        n = len(self.rows)
+        self.rows.update(zip(keys.tolist(), range(n, n + len(keys))))
+        self.start.append(self.size + np.cumsum(count) - count)
+        self.count.append(count)
+        self.parts.append(tokens)
+        self.size += len(tokens)
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens, and the start and number of each word's."""
+        for x in (self.parts, self.start, self.count):
+            if len(x) > 1:
+                x[:] = [np.concatenate(x)]
+        return self.parts[0], self.start[0], self.count[0]
+
+
+def merge_words(v: Vocabulary, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of words, one after the other, and how many each has."""
+    count = np.ones(len(start), np.int64)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for low, high in zip((0, *WIDTHS), WIDTHS):
+        rows = np.flatnonzero((size > low) & (size <= high))
+        if len(rows):
+            at = np.minimum(start[rows][:, None] + np.arange(size[rows].max()), len(data) - 1)
+            found += [(rows[r], p, n) for r, p, n in merge_rows(v, v.bytes[data[at]], size[rows])]
+    for r in np.flatnonzero(size > LONG).tolist():
+        word = merge_long(v, data[start[r] : start[r] + size[r]])
+        found.append((np.array([r]), word[None, :], np.array([len(word)])))
+    for rows, _, n in found:
+        count[rows] = n
+    to = np.concatenate(([0], np.cumsum(count)))
+    tokens = np.empty(to[-1], np.int64)
+    for rows, p, n in found:
+        cols = np.arange(p.shape[1])
+        real = cols < n[:, None]
+        tokens[(to[rows][:, None] + cols)[real]] = p[real]
+    return tokens, count
+
+
+def encode_pieces(v: Vocabulary, data: np.ndarray, offs: np.ndarray, memo: Memo | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token ids of all texts; the byte starts of the pieces, len+1 token offsets of these, and len+1 piece offsets of the texts."""
     start, at = pieces(data, offs)
     if not len(start):
-        return np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
+        return np.zeros(0, np.int64), start, np.zeros(1, np.int64), at
     end = np.append(start[1:], len(data))
-    _, first, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-    s, size = start[first], (end - start)[first]
-    count = np.ones(len(first), np.int64)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for n in np.unique(size).tolist():
-        rows = np.flatnonzero(size == n)
-        if n > LONG:
-            for r in rows.tolist():
-                found.append((np.array([r]), merge_long(v, data[s[r] : s[r] + n])[None, :]))
-        else:
-            found += [(rows[r], p) for r, p in merge_rows(v, v.bytes[data[s[rows][:, None] + np.arange(n)]])]
-    for rows, p in found:
-        count[rows] = p.shape[1]
-    to = np.concatenate(([0], np.cumsum(count)))
-    tokens = np.empty(to[-1], np.int64)
-    for rows, p in found:
-        tokens[to[rows][:, None] + np.arange(p.shape[1])] = p
-    out = tokens[ragged(to[which], count[which])]
-    total = np.concatenate(([0], np.cumsum(count[which])))
-    return out, total[at]
+    keys, first, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+    memo = Memo() if memo is None else memo
+    if len(memo.rows) > memo.most:
+        memo.__init__(memo.most)
+    row = np.fromiter(map(memo.rows.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
+    new = np.flatnonzero(row < 0)
+    if len(new):
+        row[new] = len(memo.rows) + np.arange(len(new))
+        memo.add(keys[new], *merge_words(v, data, start[first[new]], (end - start)[first[new]]))
+    tokens, begin, count = memo.flat()
+    row = row[which]
+    return tokens[ragged(begin[row], count[row])], start, np.concatenate(([0], np.cumsum(count[row]))), at
+
+
+def encode(v: Vocabulary, data: np.ndarray, offs: np.ndarray, memo: Memo | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all texts and len+1 offsets."""
+    tokens, _, total, at = encode_pieces(v, data, offs, memo)
+    return tokens, total[at]
 
 
 def decode(v: Vocabulary, tokens: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,11 +311,17 @@ def decode(v: Vocabulary, tokens: np.ndarray, offs: np.ndarray) -> tuple[np.ndar
     return v.text[ragged(v.offsets[tokens], size)], total[offs]
 
 
+@lru_cache(maxsize=2)
+def worker_memo(v: Vocabulary) -> Memo:
+    """This process's memo of a vocabulary."""
+    return Memo()
+
+
 def _encode_rows(shared):
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         v = shared.value
         data, offs = flat(b.column("text"))
-        tokens, at = encode(v, data, offs)
+        tokens, at = encode(v, data, offs, worker_memo(v))
         back, where = decode(v, tokens, at)
         same = np.diff(where) == np.diff(offs)
         if same.all():
@@ -280,26 +340,35 @@ def _decode_rows(shared, names: list[str]):
         v = shared.value
         for b in batches:
             lists = b.column("tokens")
-            if lists.null_count:
-                lists = pa.array([x or [] for x in lists.to_pylist()], pa.list_(pa.int32()))
-            ids = lists.flatten().to_numpy().astype(np.int64)
-            data, offs = decode(v, ids, np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy())))))
+            n = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()), 0)
+            ids = lists.flatten()
+            valid = ids.is_valid().to_numpy(zero_copy_only=False) if ids.null_count else np.ones(len(ids), bool)
+            ids = ids.fill_null(-1).to_numpy().astype(np.int64)
+            good = valid & (ids >= 0) & (ids < len(v.offsets) - 1)
+            left = np.concatenate(([0], np.cumsum(good)))
+            data, offs = decode(v, ids[good], left[np.concatenate(([0], np.cumsum(n)))])
             raw = data.tobytes()
             text = pa.array([raw[offs[i] : offs[i + 1]].decode("utf-8", "replace") for i in range(b.num_rows)], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, text], [*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, text], names)
 
     return run
 
 
+def coder(df: DataFrame, ranks_path: str):
+    """The vocabulary, broadcast; a rank file has some 10,000 to 200,000 lines."""
+    return df.sparkSession.sparkContext.broadcast(Vocabulary(load_ranks(ranks_path)))
+
+
+@operator
 def bpe_encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, n_tokens, tokens (array of int) and round_trip, 1 where decoding gives the text's bytes again, of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(load_ranks(ranks_path)))
     texts = docs.select(long("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_text(texts, _encode_rows(shared), "doc_id long, n_tokens int, tokens array<int>, round_trip int")
+    return map_text(texts, _encode_rows(coder(docs, ranks_path)), "doc_id long, n_tokens int, tokens array<int>, round_trip int", CHUNK)
 
 
+@operator
 def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """encoded with `decoded`, the text of its tokens; bytes that are no UTF-8 become U+FFFD; null tokens give ''."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(load_ranks(ranks_path)))
-    schema = encoded.withColumn("decoded", F.lit("")).schema
-    return map_arrow(encoded, _decode_rows(shared, encoded.columns), schema)
+    """encoded with `decoded`, the text of its tokens; bytes that are no UTF-8 become U+FFFD."""
+    (name,) = unused(encoded, "decoded")
+    schema = encoded.withColumn(name, F.lit("")).schema
+    return map_arrow(encoded, _decode_rows(coder(encoded, ranks_path), [*encoded.columns, name]), schema)

@@ -1,7 +1,8 @@
 """Operator 4, packing of documents into training windows of bounded length, in order.
 
-Method: the documents of a shard (a range of doc_id) form one sequence of sentences. Windows are consecutive
-sentences; dynamic programming chooses the cuts. With P the running token count, a window from cut i to cut j costs
+Method: the documents, in the order of doc_id, form one sequence of sentences, whose lengths are counted in tokens of
+the byte-pair encoding (operator 5). Windows are consecutive sentences; dynamic programming chooses the cuts. With P the
+running token count, a window from cut i to cut j costs
   capacity - (P[j] - P[i])                 padding, if it fits,
   truncation * (P[j] - P[i] - capacity)    for the tokens that are lost, if it does not,
   + inside                                 if cut j lies within a document.
@@ -9,13 +10,24 @@ A fitting window starts at a cut with P[i] >= P[j] - capacity, so the best one i
 window that only moves forward: a monotone queue keeps it, and each cut enters and leaves the queue once. For windows
 that do not fit, the minimum of best[i] - truncation * P[i] over the cuts that left is kept. All is linear.
 
-Tokens are runs of letters, digits and non-ASCII bytes, and every other mark by itself; a sentence ends with . ! or ?
-before white space, or with a line. Shards bound what one task holds; no window crosses a shard.
+Shards bound what one task holds: a shard is the documents that begin within one range of `shard` tokens of the whole
+sequence, so it has the same amount of tokens whatever the ids are. No window crosses a shard, which costs less than one
+window's padding in `shard` tokens (0.05 % with 2 ** 22).
 
-Defined cases: a null or empty text, or one without tokens, is one sentence of 0 tokens, so every document belongs to
-a window. Null doc_ids form a shard of their own (shard is null). Rows with the same doc_id stand next to each other, by
-text hash. Of equally cheap cuts the earliest start wins. A sentence longer than the capacity gets a window, and its
-tokens beyond the capacity count as truncated. An empty table gives an empty result. Further columns are ignored.
+1. Texts are encoded and written once, with their sentence lengths, tokens as 2- or 4-byte numbers.
+2. Only (doc_id, text hash, row number, token count) are sorted over all documents, and added up; the first document of
+   each shard is a bound. Bounds are counted: up to LIMIT of them are broadcast and each row finds its shard by binary
+   search; beyond that, rows are joined with their shard.
+3. The tokens are shuffled once, by shard, and cut into windows.
+
+A sentence ends with . ! or ? before white space, or before a line break, at the next boundary between pieces of the
+encoding; so tokens are never split, and the tokens of all windows, with what was truncated, are those of all texts.
+
+Defined cases: a null or empty text is one sentence of 0 tokens, so every document belongs to a window. Null doc_ids (and
+ids that are no whole numbers) come first. Rows with the same doc_id stand next to each other, by text hash. Of equally
+cheap cuts the earliest start wins. A sentence longer than the capacity gets a window, and its tokens beyond the capacity
+count as truncated. A document longer than a shard is in one shard as a whole. An empty table gives an empty result.
+Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,53 +40,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.base import long, map_arrow, map_text
-from lexiforge.llm.textops import IS_BREAK, IS_SPACE, flat
+from lexiforge.llm.base import discard, long, map_arrow, map_text, operator, saved
+from lexiforge.llm.bpe import CHUNK, coder, encode_pieces, worker_memo
+from lexiforge.llm.textops import IS_SPACE, flat
 
-CAPACITY, SHARD, TRUNCATION, INSIDE = 2048, 1024, 4, 32
+CAPACITY, SHARD, TRUNCATION, INSIDE = 2048, 1 << 22, 4, 32
+#: Most bounds of shards that are broadcast, at 24 bytes each.
+LIMIT = 1_000_000
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[33, 46, 63]] = True
-SCHEMA = "shard long, window int, first_doc long, first_sentence int, last_doc long, last_sentence int, tokens int, padding int, truncated int, doc_ids array<long>"
+SCHEMA = "shard long, window int, first_doc long, first_sentence int, last_doc long, last_sentence int, n_tokens int, padding int, truncated int, doc_ids array<long>, tokens array<int>"
+
 
+def sentences(data: np.ndarray, offs: np.ndarray, piece: np.ndarray, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token counts of the sentences of every text, and len+1 offsets; a text has at least one sentence.
 
-def sentence_tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token counts of the sentences of every text, and len+1 offsets; a text has at least one sentence."""
+    piece: byte starts of the pieces; tokens: their len+1 token offsets; at: len+1 piece offsets of the texts.
+    """
     n = len(offs) - 1
     if not len(data):
         return np.zeros(n, np.int64), np.arange(n + 1)
-    brk, space = IS_BREAK[data], IS_SPACE[data]
-    word = ~brk
-    token = word.copy()
-    token[1:] &= brk[:-1]
-    first = offs[:-1][np.diff(offs) > 0]
-    token[first] = word[first]
-    token |= brk & ~space
     cut = data == 10  # a cut lies before the byte
-    cut[1:] |= space[1:] & _ENDS[data[:-1]]
-    cut[first] = False
-    count = np.concatenate(([0], np.cumsum(token)))
-    # only cuts between tokens: a sentence begins at its first token
-    inner = np.flatnonzero(cut)
-    bounds = np.concatenate((offs[:-1], inner))
-    bounds.sort(kind="stable")
-    at = np.searchsorted(bounds, offs[:-1])  # empty texts share an offset with the next one
-    at = at + (np.arange(n) - np.searchsorted(offs[:-1], offs[:-1], "left"))
-    size = np.diff(np.append(count[bounds], count[-1]))
-    starts = np.zeros(len(bounds), bool)
-    starts[at] = True
-    keep = (size > 0) | starts
-    # tokens of a kept sentence: up to the next kept one; a text's first sentence may be empty
-    kept = np.flatnonzero(keep)
-    empty_first = starts[kept] & (size[kept] == 0)
-    sizes = size[kept]
-    owner = np.cumsum(starts[kept]) - 1
-    drop = np.zeros(len(kept), bool)
-    nxt = np.flatnonzero(empty_first)
-    more = nxt[nxt + 1 < len(kept)]
-    drop[more] = owner[more + 1] == owner[more]
-    sizes, owner = sizes[~drop], owner[~drop]
-    return sizes, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
+    cut[1:] |= IS_SPACE[data[1:]] & _ENDS[data[:-1]]
+    cut[offs[:-1][np.diff(offs) > 0]] = False
+    # at the first piece from there on; a cut in the last piece of a text falls on the text's end
+    inner = np.unique(np.searchsorted(piece, np.flatnonzero(cut)))
+    inner = inner[~np.isin(inner, at)]
+    text = np.searchsorted(at, inner, "right") - 1
+    count = np.bincount(text, minlength=n) + 1
+    to = np.concatenate(([0], np.cumsum(count)))
+    begin = np.empty(to[-1] + 1, np.int64)
+    begin[to[:-1]] = tokens[at[:-1]]
+    begin[-1] = tokens[at[-1]]
+    begin[np.arange(len(inner)) + text + 1] = tokens[inner]
+    return np.diff(begin), to
 
 
 def best_cuts(sizes: list[int], doc_end: list[bool], capacity: int, truncation: int, inside: int) -> tuple[list[int], int]:
@@ -116,51 +116,134 @@ def best_cuts(sizes: list[int], doc_end: list[bool], capacity: int, truncation:
     return ends[::-1], best[n]
 
 
-def _sentences(b: pa.RecordBatch) -> pa.RecordBatch:
-    sizes, at = sentence_tokens(*flat(b.column("text")))
-    return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sizes.astype(np.int32)))], ["doc_id", "tie", "sizes"])
+def _lists(values: np.ndarray, offs: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(values))
+
+
+def _encoded(shared):
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        v = shared.value
+        data, offs = flat(b.column("text"))
+        tokens, piece, number, at = encode_pieces(v, data, offs, worker_memo(v))
+        raw = tokens.astype(np.uint16 if v.size <= 1 << 16 else np.uint32)
+        sizes, to = sentences(data, offs, piece, number, at)
+        bounds = (number[at] * raw.itemsize).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), _lists(sizes.astype(np.int32), to), pa.array(np.diff(number[at])), packed], ["doc_id", "tie", "sizes", "n", "packed"])
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to sorted rows their partition's number and the tokens before them in it."""
+    from pyspark import TaskContext
+
+    part, before = TaskContext.get().partitionId(), 0
+    for b in batches:
+        n = b.column("n").to_numpy()
+        total = before + np.cumsum(n)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(total - n)], [*b.schema.names, "part", "before"])
+        before = int(total[-1]) if len(n) else before
+
+
+def _order(doc: np.ndarray, null: np.ndarray, tie: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """A structured array that sorts by null doc_ids first, doc_id, tie and row."""
+    out = np.empty(len(doc), [("some", np.int8), ("doc", np.int64), ("tie", np.int64), ("row", np.int64)])
+    out["some"], out["doc"], out["tie"], out["row"] = ~null, np.where(null, 0, doc), tie, row
+    return out
+
+
+def _keys(b: pa.RecordBatch) -> np.ndarray:
+    doc = b.column("doc_id")
+    return _order(doc.fill_null(0).to_numpy(), ~doc.is_valid().to_numpy(zero_copy_only=False), b.column("tie").to_numpy(), b.column("row").to_numpy())
+
+
+def _sharded(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds, shards = shared.value
+        for b in batches:
+            yield b.append_column("shard", pa.array(shards[np.searchsorted(bounds, _keys(b), "right") - 1]))
+
+    return run
+
+
+def _shards(encoded: DataFrame, shard: int, limit: int) -> DataFrame:
+    """encoded with the shard of each row."""
+    spark = encoded.sparkSession
+    light = encoded.select("doc_id", "tie", "row", "n")
+    ordered = light.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
+    summed = saved(map_arrow(ordered, _summed, "doc_id long, tie long, row long, n long, part int, before long"), "sums")
+    totals = sorted(map(tuple, summed.groupBy("part").agg(F.max(F.col("before") + F.col("n"))).collect()))  # a row a partition
+    at = dict(zip((p for p, _ in totals), np.concatenate(([0], np.cumsum([t for _, t in totals])))[:-1].tolist()))
+    offsets = F.broadcast(spark.createDataFrame(list(at.items()), "part int, offset long"))
+    placed = summed.join(offsets, "part").select("doc_id", "tie", "row", F.floor((F.col("offset") + F.col("before")) / F.lit(shard)).cast("long").alias("shard"))
+    firsts = saved(placed.groupBy("shard").agg(F.min(F.struct("doc_id", "tie", "row")).alias("k")).select("shard", "k.*"), "bounds")
+    if firsts.count() <= limit:
+        b = firsts.toArrow()
+        discard(firsts, summed)
+        keys = _order(b["doc_id"].fill_null(0).to_numpy(), ~b["doc_id"].is_valid().to_numpy(), b["tie"].to_numpy(), b["row"].to_numpy())
+        by = np.argsort(keys)
+        shared = spark.sparkContext.broadcast((keys[by], b["shard"].to_numpy()[by]))
+        return map_arrow(encoded, _sharded(shared), "doc_id long, tie long, sizes array<int>, n long, packed binary, row long, shard long")
+    return encoded.join(placed.select("row", "shard").hint("shuffle_merge"), "row")
 
 
 def _pack(capacity: int, truncation: int, inside: int):
-    def shard_rows(shard, docs, lists, out):
-        sizes = [x for s in lists for x in s]
-        owner = [i for i, s in enumerate(lists) for _ in s]
-        number = [k for s in lists for k in range(len(s))]
-        ends = [i + 1 == len(owner) or owner[i + 1] != owner[i] for i in range(len(owner))]
-        cuts, _ = best_cuts(sizes, ends, capacity, truncation, inside)
-        at = 0
-        for w, to in enumerate(cuts):
-            t = sum(sizes[at:to])
-            out.append((shard, w, docs[owner[at]], number[at], docs[owner[to - 1]], number[to - 1], min(t, capacity), max(0, capacity - t), max(0, t - capacity), docs[owner[at] : owner[to - 1] + 1]))
-            at = to
+    def shard_rows(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        shard = t["shard"][0].as_py()
+        docs, sizes = t["doc_id"].combine_chunks(), t["sizes"].combine_chunks()
+        per_doc = np.diff(sizes.offsets.to_numpy())
+        sizes = sizes.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(per_doc)), per_doc)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+        raw = b"".join(t["packed"].to_pylist())
+        tokens = np.frombuffer(raw, np.uint16 if 2 * sizes.sum() == len(raw) else np.uint32)
+        ends = np.append(owner[1:] != owner[:-1], True)
+        cuts, _ = best_cuts(sizes.tolist(), ends.tolist(), capacity, truncation, inside)
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        to = np.array(cuts)
+        at = np.concatenate(([0], to[:-1]))
+        n = total[to] - total[at]
+        first, last = owner[at], owner[to - 1]
+        for lo in range(0, len(to), 256):
+            w = np.arange(lo, min(lo + 256, len(to)))
+            used, ids = np.minimum(n[w], capacity), last[w] - first[w] + 1
+            some = np.concatenate([tokens[total[a] : total[a] + k] for a, k in zip(at[w], used)]).astype(np.int32)
+            members = docs.take(pa.array(np.concatenate([np.arange(a, b + 1) for a, b in zip(first[w], last[w])])))
+            columns = [
+                pa.array(np.full(len(w), shard)), pa.array(w.astype(np.int32)), docs.take(pa.array(first[w])), pa.array(number[at[w]].astype(np.int32)), docs.take(pa.array(last[w])), pa.array(number[to[w] - 1].astype(np.int32)),
+                pa.array(used.astype(np.int32)), pa.array(np.maximum(0, capacity - n[w]).astype(np.int32)), pa.array(np.maximum(0, n[w] - capacity).astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(ids))).astype(np.int32)), members), _lists(some, np.concatenate(([0], np.cumsum(used)))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("shard", pa.int64()), ("window", pa.int32()), ("first_doc", pa.int64()), ("first_sentence", pa.int32()), ("last_doc", pa.int64()), ("last_sentence", pa.int32()), ("tokens", pa.int32()), ("padding", pa.int32()), ("truncated", pa.int32()), ("doc_ids", pa.list_(pa.int64()))])
-        shard, docs, lists, out, any_ = None, [], [], [], False
+        now, held = None, []
         for b in batches:
-            for s, d, x in zip(b.column("shard").to_pylist(), b.column("doc_id").to_pylist(), b.column("sizes").to_pylist()):
-                if any_ and s != shard:
-                    shard_rows(shard, docs, lists, out)
-                    docs, lists = [], []
-                shard, any_ = s, True
-                docs.append(d)
-                lists.append(x)
-            if len(out) > 2000:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
-                out = []
-        if any_:
-            shard_rows(shard, docs, lists, out)
-        if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
+            s = b.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(s)) + 1).tolist(), len(s)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    if held and s[lo] != now:
+                        yield from shard_rows(held)
+                        held = []
+                    now = s[lo]
+                    held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from shard_rows(held)
 
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, truncation: int = TRUNCATION, inside: int = INSIDE) -> DataFrame:
-    """The windows: shard, window (from 0), first and last document and sentence, tokens, padding, truncated, doc_ids.
+@operator
+def pack(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, shard: int = SHARD, truncation: int = TRUNCATION, inside: int = INSIDE, limit: int = LIMIT) -> DataFrame:
+    """The windows: shard, window (from 0 in each shard), first and last document and sentence, n_tokens, padding, truncated, doc_ids, tokens.
 
-    shard is the number of consecutive doc_ids packed together. Only sentence lengths are shuffled, not texts.
+    ranks_path: the vocabulary of the encoding. tokens has the window's n_tokens tokens, padding not included.
     """
     texts = docs.select(long("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    sizes = map_text(texts, _sentences, "doc_id long, tie long, sizes array<int>").withColumn("shard", F.floor(F.col("doc_id") / F.lit(shard)).cast("long"))
-    return map_arrow(sizes.repartition("shard").sortWithinPartitions("shard", "doc_id", "tie"), _pack(capacity, truncation, inside), SCHEMA)
+    rows = map_text(texts, _encoded(coder(docs, ranks_path)), "doc_id long, tie long, sizes array<int>, n long, packed binary", CHUNK)
+    encoded = saved(rows.withColumn("row", F.monotonically_increasing_id()), "encoded")
+    sharded = _shards(encoded, shard, limit).select("shard", "doc_id", "tie", "row", "sizes", "packed")
+    return map_arrow(sharded.repartition("shard").sortWithinPartitions("shard", "doc_id", "tie", "row"), _pack(capacity, truncation, inside), SCHEMA)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lexiforge.llm import bpe, fingerprints, language_id, near_dedup, packing, pii, suffix_dedup, token_rollup, topk, url_filter
 from lexiforge.llm.base import table
 
-#: The vocabulary that op5 encodes with; LEXIFORGE_RANKS names another file.
-RANKS = os.environ.get("LEXIFORGE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: The vocabulary that the queries encode with.
+RANKS = bpe.RANKS
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +30,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), RANKS)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +45,11 @@ def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.corpus_rollup(table(spark, sf_dir, "documents"))
 
 
+def bpe_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 on the tokens of operator 5."""
+    return token_rollup.corpus_rollup(table(spark, sf_dir, "documents"), {"bpe-50k": RANKS})
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -54,6 +58,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(url_filter.page_captures(spark, sf_dir), url_filter.page_entries(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_near_dedup, op4_packing, op5_bpe, op6_token_rollup, op7_pii, op8_suffix_dedup, op9_topk, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_near_dedup, op4_packing, op5_bpe, op6_token_rollup, op7_pii, op8_suffix_dedup, op9_topk, op10_url_filter, bpe_token_rollup)}
 
 ORACLE_SQL: dict[str, str] = {"op10_url_filter": url_filter.ORACLE, "op9_topk": topk.ORACLE, "op6_token_rollup": token_rollup.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE}

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 from fixtures import prose
 from hypothesis import given, settings
@@ -36,7 +37,7 @@ def test_sql(spark, data, name):
 
 
 def test_all_ten_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in queries.QUERIES if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
 
 
 # -- 1
@@ -226,53 +227,96 @@ def test_cuts_are_the_cheapest(units, c, lost, inside):
     assert cuts[-1] == len(sizes) and cost == cost_of(cuts, sizes, ends, c, lost, inside) == brute_cost(sizes, ends, c, lost, inside)
 
 
-def brute_sentences(t):
-    count = lambda s: len(re.findall(rb"[A-Za-z0-9\x80-\xff]+|[^\sA-Za-z0-9\x80-\xff]", s))
-    return [n for n in map(count, re.split(rb"(?<=[.!?])(?=\s)|(?=\n)", (t or "").encode())) if n] or [0]
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@pytest.fixture(scope="module")
+def coder():
+    ranks = bpe.load_ranks(queries.RANKS)
+    return bpe.Vocabulary(ranks), tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def brute_sentences(enc, t):
+    """Token lists of the sentences, piece by piece."""
+    t = t or ""
+    cuts = {m.start() for m in re.finditer(r"(?<=[.!?])[ \t\n\v\f\r]|\n", t)} - {0}
+    out = [[]]
+    for m in regex.finditer(PATTERN, t):
+        if m.start() and any(m.start() == c or before < c < m.start() for c in cuts):
+            out.append([])
+        out[-1] += enc.encode_ordinary(m.group())
+        before = m.start()
+    return out
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.one_of(st.none(), st.text("ab.!? \n\té1,", max_size=25)), max_size=8))
-def test_sentences(t):
-    sizes, at = packing.sentence_tokens(*flat(pa.array(t, pa.string())))
-    assert [sizes[at[i] : at[i + 1]].tolist() for i in range(len(t))] == list(map(brute_sentences, t))
+@given(t=st.lists(st.one_of(st.none(), st.text("ab.!? \n\té1,", max_size=25)), max_size=8))
+def test_sentences(coder, t):
+    v, enc = coder
+    data, offs = flat(pa.array(t, pa.string()))
+    _, piece, number, at = bpe.encode_pieces(v, data, offs)
+    sizes, to = packing.sentences(data, offs, piece, number, at)
+    assert [sizes[to[i] : to[i + 1]].tolist() for i in range(len(t))] == [list(map(len, brute_sentences(enc, x))) for x in t]
 
 
-def check_packed(rows, texts, shard=packing.SHARD):
-    """Windows cover all sentences in order at the least cost."""
-    by = defaultdict(list)
+def check_packed(rows, texts, enc, shard=packing.SHARD):
+    """Windows cover the sentences of each shard in order, at the least cost, with their tokens."""
+    by, total, want = defaultdict(list), 0, defaultdict(list)
     for r in rows:
         by[r["shard"]].append(r)
-    assert set(by) == {i // shard for i in texts}
+    for i in sorted(texts):
+        z = brute_sentences(enc, texts[i])
+        want[total // shard] += [(i, n, s, n + 1 == len(z)) for n, s in enumerate(z)]
+        total += sum(map(len, z))
+    assert set(by) == set(want)
     for s, windows in by.items():
         windows.sort(key=lambda r: r["window"])
-        units = [(i, n, size, n + 1 == len(z)) for i in sorted(texts) if i // shard == s for z in [brute_sentences(texts[i])] for n, size in enumerate(z)]
+        units = want[s]
         place = {(i, n): k for k, (i, n, _, _) in enumerate(units)}
         cuts, at = [], 0
         for w in windows:
             assert place[w["first_doc"], w["first_sentence"]] == at
-            at = place[w["last_doc"], w["last_sentence"]] + 1
+            begin, at = at, place[w["last_doc"], w["last_sentence"]] + 1
             cuts.append(at)
-            assert w["doc_ids"] == sorted({units[k][0] for k in range(place[w["first_doc"], w["first_sentence"]], at)})
+            tokens = [x for u in units[begin:at] for x in u[2]]
+            assert w["doc_ids"] == sorted({u[0] for u in units[begin:at]}) and w["tokens"] == tokens[: packing.CAPACITY]
+            assert w["n_tokens"] == len(w["tokens"]) == packing.CAPACITY - w["padding"] and w["truncated"] == len(tokens) - w["n_tokens"]
         assert at == len(units)
-        sizes, ends = [u[2] for u in units], [u[3] for u in units]
-        args = sizes, ends, packing.CAPACITY, packing.TRUNCATION, packing.INSIDE
+        args = [len(u[2]) for u in units], [u[3] for u in units], packing.CAPACITY, packing.TRUNCATION, packing.INSIDE
         assert cost_of(cuts, *args) == packing.best_cuts(*args)[1]
 
 
-def test_packing_of_the_documents(documents, texts):
-    check_packed(packing.pack(documents).collect(), texts)
+@pytest.mark.parametrize("shard,limit", [(packing.SHARD, 9), (10_000, 1000), (10_000, 0)])
+def test_packing_of_the_documents(documents, texts, coder, shard, limit):
+    rows = packing.pack(documents, queries.RANKS, shard=shard, limit=limit).collect()
+    assert len({r["shard"] for r in rows}) > 9 or shard == packing.SHARD
+    check_packed(rows, texts, coder[1], shard)
 
 
-# -- 5
+def test_windows_dont_depend_on_what_the_ids_are(documents):
+    key = lambda rows: sorted((r["shard"], r["window"], r["n_tokens"], r["padding"], r["truncated"], len(r["doc_ids"]), tuple(r["tokens"])) for r in rows)
+    pack = lambda d: key(packing.pack(d, queries.RANKS, shard=50_000).collect())
+    want = pack(documents)
+    assert want == pack(documents.withColumn("doc_id", F.col("doc_id") * 1_000_003 - 10**12).repartition(7))
+    assert want == pack(documents.withColumn("doc_id", F.col("doc_id").cast("string")))
+    nulls = pack(documents.withColumn("doc_id", F.lit(None)))
+    assert sum(r[2] + r[4] for r in nulls) == sum(r[2] + r[4] for r in want)
 
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+def test_many_copies_of_one_row(spark):
+    """Rows of one id and text are spread over the shards like others."""
+    rows = spark.range(300).select(F.lit(5).alias("doc_id"), F.lit("One two. Three four five.").alias("text"))
+    got = packing.pack(rows, queries.RANKS, capacity=64, shard=200).collect()
+    n = len(tiktoken_count(rows.first()["text"]))
+    assert sum(r["n_tokens"] + r["truncated"] for r in got) == 300 * n and len({r["shard"] for r in got}) == -(-300 * n // 200)
 
-@pytest.fixture(scope="module")
-def coder():
+
+def tiktoken_count(t):
     ranks = bpe.load_ranks(queries.RANKS)
-    return bpe.Vocabulary(ranks), tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(t)
+
+
+# -- 5
 
 
 @settings(max_examples=300, deadline=None)
@@ -322,6 +366,75 @@ def test_batches_count_once(spark, tmp_path):
     assert not store.commit("b2", token_rollup.revised(change, "x", "y"))
 
 
+def changes(spark, *rows):
+    return token_rollup.inserted(spark.createDataFrame(list(rows), "source string, lang string, tokenizer_version string, tokens long"))
+
+
+def test_an_interrupted_commit_can_be_delivered_again(spark, tmp_path, monkeypatch):
+    """A crash after the part was written, after the draft was written, and in the middle of the draft."""
+    store = token_rollup.Rollup(spark, str(tmp_path / "r"))
+    rows = changes(spark, ("s", "en", "v", 10))
+    real = token_rollup.Rollup._mark
+
+    def crash(*a):
+        raise RuntimeError
+
+    def half(self, name, content):
+        fs, p = self._at("drafts/half")
+        fs.create(p, True).close()
+        raise RuntimeError
+
+    for n, broken in enumerate((crash, half)):
+        monkeypatch.setattr(token_rollup.Rollup, "_mark", broken)
+        with pytest.raises(RuntimeError):
+            store.commit(f"b{n}", rows)
+        monkeypatch.setattr(token_rollup.Rollup, "_mark", real)
+        assert len(store.committed()) == n and store.totals().count() == (1 if n else 0)
+        assert store.commit(f"b{n}", rows) and not store.commit(f"b{n}", rows)
+        assert tuple(store.totals().first())[3:] == (n + 1, 10 * (n + 1))
+    assert not store._mark("commits/b1", "other") and store._read("commits/b1") != "other"
+    assert store.vacuum(0) == 3 and tuple(store.totals().first())[3:] == (2, 20)
+
+
+def test_a_commit_during_a_compaction_counts_once(spark, tmp_path, monkeypatch):
+    store = token_rollup.Rollup(spark, str(tmp_path / "r"))
+    rows = changes(spark, ("s", "en", "v", 5))
+    store.commit("b1", rows), store.commit("b2", rows)
+    real = token_rollup.Rollup._write
+
+    def between(self, sums, part):
+        monkeypatch.setattr(token_rollup.Rollup, "_write", real)
+        store.commit("b3", rows)
+        real(self, sums, part)
+
+    monkeypatch.setattr(token_rollup.Rollup, "_write", between)
+    assert store.compact()
+    for _ in range(2):
+        assert tuple(store.totals().first())[3:] == (3, 15)
+        store.compact()
+    assert not store.compact() and store.committed() == ["b1", "b2", "b3"]
+
+
+def test_commits_compact_themselves(spark, tmp_path):
+    store = token_rollup.Rollup(spark, str(tmp_path / "r"), fold=3)
+    for i in range(7):
+        store.commit(f"b{i}", changes(spark, ("s", "en", "v", i)))
+    assert len(store._state()[1]) == 1 and tuple(store.totals().first())[3:] == (7, 21)
+    assert store.vacuum(0) == 7 and tuple(store.totals().first())[3:] == (7, 21)  # six batches and the first fold
+
+
+def test_counts_of_the_encoding(documents, texts, coder):
+    got = {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in token_rollup.corpus_rollup(documents, {"bpe-50k": queries.RANKS}).collect()}
+    want = defaultdict(lambda: [0, 0])
+    seen = set()
+    for r in sorted(documents.collect(), key=lambda r: r["doc_id"]):
+        if r["text"] not in seen:
+            seen.add(r["text"])
+            want[r["source"], r["lang"]][0] += 1
+            want[r["source"], r["lang"]][1] += len(coder[1].encode_ordinary("\n".join(dict.fromkeys(r["text"].split("\n")))))
+    assert got == {k: tuple(v) for k, v in want.items()}
+
+
 # -- 7
 
 
