@@ -1,11 +1,13 @@
 """Operator 7, personal data: a skip-chain conditional random field that labels and redacts tokens.
 
-Nodes are the tokens (between white space) with a digit or an @, or behind an equals sign; every other token is fixed
-to the label O, so that a document falls into short chains. Potentials: features of a token and its surroundings;
+Nodes are the tokens (between white space) with a digit or an @, those of 16 bytes or more behind an equals sign, and
+those of any length behind the name of a credential and an equals sign or a colon; every other token is fixed to the
+label O, so that a document falls into short chains. Potentials: features of a token and its surroundings;
 pairs of labels of adjacent tokens; and, over skips of any length, pairs of labels of equal tokens and of tokens of
 equal shape in the same document, consecutive occurrences being linked, so that a document's labels agree. The graph has
-loops; sum-product messages run over all documents of a chunk at once, in numpy, for up to ROUNDS damped rounds, and
-every node takes its most likely label.
+loops; damped sum-product messages run over all documents of a chunk at once, in numpy, but each document stops by
+itself, when its own messages have settled or after ROUNDS rounds, so that no document depends on its neighbours in the
+chunk. Every node takes its most likely label.
 
 The weights are trained here, by pseudo-likelihood over generated, labelled text (`examples`), once per process on
 the driver, and broadcast. Generated text holds all kinds of entities in several notations, repeated within a text, and
@@ -16,8 +18,9 @@ around it; adjacent tokens of a phone number are one entity.
 
 Defined cases: a null text stays null and an empty one empty, both without entities. Rows with a null doc_id and
 repeated rows are treated like any other. Of equally likely labels the first in the order O, EMAIL, PHONE, CARD, IP,
-SSN, SECRET is taken. A text without a digit, an @ or an = never changes. An empty table gives an empty result.
-Further columns pass through (redact) or are ignored (pii_report).
+SSN, SECRET is taken. A text without a digit, an @, an = or a colon never changes. An empty table gives an empty result.
+Further columns pass through (redact), whatever their names are, or are ignored (pii_report), where a doc_id that is no
+whole number is null.
 """
 
 from __future__ import annotations
@@ -32,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.base import long, map_text
+from lexiforge.llm.base import long, map_text, operator
 from lexiforge.llm.textops import IS_SPACE, flat, runs
 
 LABELS = ("O", "EMAIL", "PHONE", "CARD", "IP", "SSN", "SECRET")
 K = len(LABELS)
-ROUNDS, DAMPING, TEXTS = 20, 0.3, 1500
+ROUNDS, DAMPING, SETTLED, TEXTS = 200, 0.3, 1e-4, 1500
 
 _EDGE = b"\"'`!#$%&*|,;:<>[]{}=?"
 _TRIGGER = np.zeros(256, bool)
@@ -47,6 +50,7 @@ _RUNS = re.compile(rb"\d+")
 _EMAIL = re.compile(rb"[\w.+%-]+@[\w-]+(\.[\w-]+)*\.[A-Za-z]{2,}", re.ASCII)
 _HEX = re.compile(rb"[0-9a-f]{16,}|[0-9A-F]{16,}")
 _KEY = re.compile(rb"[A-Za-z0-9_+/\-]{16,}={0,2}")
+_NAME = re.compile(rb"(?i)([\w.-]*[_.-])?(token|key|apikey|secret|passw(or)?d|passphrase|pwd|credentials?)")
 
 
 def core(token: bytes) -> tuple[int, int]:
@@ -58,8 +62,6 @@ def core(token: bytes) -> tuple[int, int]:
 
 def shape(word: bytes) -> bytes:
     """Digit runs as their lengths, letters as a: what tokens have in common that are alike."""
-    if len(word) > 64:
-        return b"long"
     return re.sub(rb"[A-Za-z\x80-\xff]+", b"a", _RUNS.sub(lambda m: b"<%d>" % len(m.group()) if len(m.group()) < 16 else b"<n>", word))
 
 
@@ -67,6 +69,13 @@ def _bucket(n: int) -> int:
     return n if n < 6 else 8 if n < 10 else 12 if n < 13 else 16 if n < 20 else 32 if n < 36 else 64
 
 
+def behind_name(before2: bytes, before: bytes) -> bool:
+    """Whether a token stands behind the name of a credential and an equals sign or a colon: "name =", "name=", "name:"."""
+    if before in (b"=", b":", b":="):
+        return _NAME.fullmatch(before2.strip(_EDGE)) is not None
+    return before[-1:] in (b"=", b":") and _NAME.fullmatch(before.strip(_EDGE)) is not None
+
+
 def features(token: bytes, before2: bytes, before: bytes, after: bytes) -> list[str]:
     """Names of the features of a token and its neighbours."""
     lo, hi = core(token)
@@ -98,6 +107,8 @@ def features(token: bytes, before2: bytes, before: bytes, after: bytes) -> list[
     f.append("after" + shape(a).decode("latin-1") if any(48 <= c < 58 for c in a) and len(a) < 16 else "afterword")
     if before.endswith(b"=") and re.search(rb"(?i)token|key|secret|passw|auth|credential", before2 + before):
         f.append("credential")
+    if behind_name(before2, before):
+        f.append("named" if len(w) > 5 else "namedshort")
     return f
 
 
@@ -133,13 +144,18 @@ def graph(data: np.ndarray, offs: np.ndarray, names: dict[str, int], grow: bool
     behind = behind[behind < len(s)]
     behind = behind[(e - s)[behind] >= 16]
     node[behind] = True
+    raw = data.tobytes() if len(s) else b""
+    get = lambda i: raw[s[i] : e[i]]
+    text = np.repeat(np.arange(len(offs) - 1), np.diff(at))
+    sign = np.flatnonzero(np.isin(data[e - 1], (58, 61))) if len(e) else np.zeros(0, np.int64)
+    for i in sign[sign + 1 < len(s)].tolist():
+        if text[i + 1] == text[i] and behind_name(get(i - 1) if i and text[i - 1] == text[i] else b"", get(i)):
+            node[i + 1] = True
     at_node = np.flatnonzero(node)
-    doc = np.searchsorted(at, at_node, "right") - 1
-    raw = data.tobytes() if len(at_node) else b""
+    doc = text[at_node]
     first, last = at[doc], at[doc + 1]
     rows, cols, edges = [], [], []
     seen: dict[tuple, int] = {}
-    get = lambda i: raw[s[i] : e[i]] if e[i] - s[i] < 4096 else raw[s[i] : s[i] + 4096]
     for n, (i, d, lo, hi) in enumerate(zip(at_node.tolist(), doc.tolist(), first.tolist(), last.tolist())):
         token = raw[s[i] : e[i]]
         for f in features(token, get(i - 2) if i - 2 >= lo else b"", get(i - 1) if i > lo else b"", get(i + 1) if i + 1 < hi else b""):
@@ -178,7 +194,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def infer(m: Model, g: Graph, rounds: int = ROUNDS) -> np.ndarray:
-    """Labels of the nodes by loopy sum-product over chain and skip edges."""
+    """Labels of the nodes by loopy sum-product over chain and skip edges; every document stops by itself."""
     belief = _unary(m, g)
     if not len(belief):
         return np.zeros(0, np.int64)
@@ -190,15 +206,19 @@ def infer(m: Model, g: Graph, rounds: int = ROUNDS) -> np.ndarray:
         pot = np.concatenate((psi, psi.transpose(0, 2, 1)))
         back = np.concatenate((np.arange(len(i)) + len(i), np.arange(len(i))))
         msg = np.zeros((len(src), K))
+        owner = g.doc[src]
+        go = np.arange(len(src))  # messages of documents that go on
         for _ in range(rounds):
-            new = _lse((belief[src] - msg[back])[:, :, None] + pot, 1)
+            new = _lse((belief[src[go]] - msg[back[go]])[:, :, None] + pot[go], 1)
             new -= _lse(new, 1)[:, None]
-            new = DAMPING * msg + (1 - DAMPING) * new
-            change = np.abs(new - msg).max()
-            msg = new
+            new = DAMPING * msg[go] + (1 - DAMPING) * new
+            change = np.zeros(int(g.doc[-1]) + 1)
+            np.maximum.at(change, owner[go], np.abs(new - msg[go]).max(axis=1))
+            msg[go] = new
             belief = base.copy()
             np.add.at(belief, dst, msg)
-            if change < 1e-4:
+            go = go[change[owner[go]] >= SETTLED]
+            if not len(go):
                 break
     return belief.argmax(axis=1)
 
@@ -226,12 +246,16 @@ def examples(n: int = TEXTS, seed: int = 11) -> list[tuple[str, list[tuple[int,
             return kind, "", ".".join(str(r.randint(0, 255)) for _ in range(4)), ""
         if kind == "SSN":
             return kind, "", f"{digits(3)}-{digits(2)}-{digits(4)}", ""
+        if r.random() < 0.15:  # letters only, which its name alone tells
+            name = r.choice(["token", "secret", "password", "api_key", "PASSWORD", "passwd", "db_password"])
+            value = r.choice(["".join(ascii_word() for _ in range(r.randint(2, 4))), ascii_word() + "-" + ascii_word() + "-" + ascii_word(), ascii_word().title() + ascii_word()])
+            return kind, *r.choice([(f"{name} = ", value, ""), (f"{name}: ", value, ""), (f'{name} = "', value, '"'), (f"{name}= ", value, "")])
         value = r.choice([hexa(40), hexa(40), hexa(32), hexa(64), "".join(r.choice("ABCDEFGHabcdefghijk0123456789_-") for _ in range(r.randint(20, 44)))])
         name = r.choice(["token", "key", "secret", "password", "api_key", ascii_word()])
         return kind, *r.choice([(f'{name} = "', value, '"'), (f"{name} = ", value, ""), ('"', value, '"')])
 
     def number() -> str:
-        return r.choice([str(r.randint(0, 9)) + ".", str(r.randint(1, 99)), str(r.randint(1900, 2030)), digits(3), digits(5), f"{r.randint(0, 9)}.{r.randint(0, 9)}", f"{r.randint(0, 9)}.{r.randint(0, 9)}.{r.randint(0, 99)}", f"${r.randint(1, 999)}.{digits(2)}", f"{r.randint(1, 999)},{digits(3)}", f"20{digits(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(1, 28)}/{r.randint(1, 12)}/{r.randint(1990, 2029)}", f"{r.randint(0, 23)}:{digits(2)}", f"{r.randint(1, 99)}%", word() + digits(1), digits(1) + "th", f"({r.randint(1, 20)})", digits(2) + "-" + digits(2), digits(7), "v" + digits(1), "= " + digits(2), "@" + ascii_word(), f"{word()}=", digits(1) + "x" + digits(2), "4.0.", "2.0."])
+        return r.choice([str(r.randint(0, 9)) + ".", str(r.randint(1, 99)), str(r.randint(1900, 2030)), digits(3), digits(5), f"{r.randint(0, 9)}.{r.randint(0, 9)}", f"{r.randint(0, 9)}.{r.randint(0, 9)}.{r.randint(0, 99)}", f"${r.randint(1, 999)}.{digits(2)}", f"{r.randint(1, 999)},{digits(3)}", f"20{digits(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(1, 28)}/{r.randint(1, 12)}/{r.randint(1990, 2029)}", f"{r.randint(0, 23)}:{digits(2)}", f"{r.randint(1, 99)}%", word() + digits(1), digits(1) + "th", f"({r.randint(1, 20)})", digits(2) + "-" + digits(2), digits(7), "v" + digits(1), "= " + digits(2), "@" + ascii_word(), f"{word()}=", f"{ascii_word()} = {ascii_word()}", f"{ascii_word()}: {word()}", f"{word()} = {ascii_word()}{ascii_word()}{ascii_word()}", digits(1) + "x" + digits(2), "4.0.", "2.0."])
 
     out = []
     for _ in range(n):
@@ -363,6 +387,7 @@ def _report_rows(shared):
     return run
 
 
+@operator
 def redact(docs: DataFrame) -> DataFrame:
     """docs with the entities of text replaced by their labels; n_chars, where there is one, is counted anew."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
@@ -370,6 +395,7 @@ def redact(docs: DataFrame) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
+@operator
 def pii_report(docs: DataFrame) -> DataFrame:
     """doc_id, redacted text, n_entities and entities (label, start and end in characters of the text before) of every row."""
     texts = docs.select(long("doc_id"), F.col("text").cast("string").alias("text"))

@@ -51,13 +51,54 @@ def test_language_on_held_out_documents(documents):
     assert np.mean([m.languages[i] == r["lang"] for i, r in zip(best, b)]) > 0.97
 
 
-def test_language_scores_are_naive_bayes():
-    m = language_id.train(["abc abd", "xyz"], ["p", "q"])
-    docs, buckets = language_id.grams(*flat(pa.array(["ab z"])))
-    want = m.prior + sum(m.weights[b].sum(axis=0, dtype=float) for b in buckets)
-    _, margin, n = language_id.score(m, *flat(pa.array(["ab z"])))
-    assert n[0] == sum(map(len, buckets)) == 4 + 3 + 2
-    assert margin[0] == pytest.approx(abs(want[0] - want[1]), rel=1e-5)
+def brute_bayes(labelled, texts):
+    """Naive Bayes written out: n-grams of strings, counts in dictionaries; the best language and its margin of each text."""
+
+    def grams(t):
+        import unicodedata
+
+        t = re.sub(r"\0+", " ", "".join(c.lower() if len(c.lower()) == 1 else c for c in ("".join(c if unicodedata.category(c)[0] in "LM" else "\0" for c in t)).lstrip("\0")))
+        for n in (1, 2, 3):
+            for i in range(len(t) - n + 1):
+                code = 0
+                for c in t[i : i + n]:
+                    code = code << 21 | (0 if c == " " else ord(c))
+                yield n, code * 0x9E3779B97F4A7C15 % 2**64 >> 64 - language_id.BITS
+
+    languages = sorted({l for _, l in labelled})
+    counts = {l: defaultdict(int) for l in languages}
+    for t, l in labelled:
+        for g in grams(t):
+            counts[l][g] += 1
+    sums = {(l, n): sum(v for (m, _), v in counts[l].items() if m == n) for l in languages for n in (1, 2, 3)}
+    prior = {l: sum(x == l for _, x in labelled) + 1 for l in languages}
+    out = []
+    for t in texts:
+        found = list(grams(t))
+        if not found:
+            out.append(("und", None))
+            continue
+        s = {l: np.log(prior[l] / sum(prior.values())) + sum(np.log((counts[l][n, h] + 0.5) / (sums[l, n] + 0.5 * 2**language_id.BITS)) for n, h in found) for l in languages}
+        rank = sorted(languages, key=lambda l: (-s[l], l))
+        out.append((rank[0], s[rank[0]] - s[rank[1]]))
+    return out
+
+
+def test_language_report_is_naive_bayes(spark, documents):
+    """All rows of a table that is its own sample, odd texts among them."""
+    rows = [(r["doc_id"], r["text"][:300], r["lang"]) for r in documents.orderBy("doc_id").limit(60).collect()]
+    rows += [(1000, "ÀÉÎ ÇA là ÉTÉ", "fr"), (1001, "ДОБРЫЙ день, дом", "ru"), (1002, "добрый ДЕНЬ", None), (1003, "12 34", "fr"), (1004, "", None), (1005, "été", "xx"), (1006, "İ ſ ß ẞ", None)]
+    # one row per share, so that the sample takes all
+    got = {r["doc_id"]: r for r in language_id.language_report(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 10**6).collect()}
+    want = brute_bayes([(t, l) for _, t, l in rows if l], [t for _, t, _ in rows])
+    for (i, _, _), (lang, margin) in zip(rows, want):
+        assert got[i]["predicted"] == lang and (got[i]["margin"] is None if margin is None else got[i]["margin"] == pytest.approx(margin, abs=0.05, rel=1e-4)), i
+
+
+def test_rare_languages_are_sampled(spark):
+    rows = [(i, prose(i, 20), "en") for i in range(3000)] + [(10_000 + i, "der die und ist nicht ein zu", "de") for i in range(5)]
+    m = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100)
+    assert m.languages == ("de", "en")
 
 
 def test_refuted_labels_are_rejected(spark):
@@ -462,6 +503,106 @@ def test_messages_are_exact_on_a_tree():
     assert pii.infer(m, g, 200).tolist() == marg.argmax(axis=1).tolist()
 
 
+def brute_labels(m, g, d):
+    """Damped sum-product in dictionaries, over one document: labels of its nodes and their marginals."""
+    mine = np.flatnonzero(g.doc == d).tolist()
+    u = {n: np.zeros(pii.K) for n in mine}
+    for n, c in zip(g.rows.tolist(), g.cols.tolist()):
+        if n in u:
+            u[n] = u[n] + m.unary[c]
+    for n in mine:
+        u[n] = u[n] + g.left_free[n] * m.chain[0] + g.right_free[n] * m.chain[:, 0]
+    edges = [e for e in g.edges.tolist() if e[0] in u]
+    psi, msg = {}, {}
+    for x, (i, j, k) in enumerate(edges):
+        p = (m.chain, m.same, m.alike)[k]
+        psi[i, j, x], psi[j, i, x] = p, p.T
+        msg[i, j, x] = msg[j, i, x] = np.zeros(pii.K)
+    into = defaultdict(list)
+    for key in msg:
+        into[key[1]].append(key)
+    belief = lambda n: u[n] + sum((msg[k] for k in into[n]), np.zeros(pii.K))
+    norm = lambda v: v - v.max() - np.log(np.exp(v - v.max()).sum())
+    for _ in range(pii.ROUNDS):
+        new = {}
+        for (i, j, x), old in msg.items():
+            h = belief(i) - msg[j, i, x]
+            t = np.array([np.logaddexp.reduce(h + psi[i, j, x][:, b]) for b in range(pii.K)])
+            new[i, j, x] = pii.DAMPING * old + (1 - pii.DAMPING) * norm(t)
+        change = max((np.abs(new[k] - msg[k]).max() for k in msg), default=0)
+        msg = new
+        if change < pii.SETTLED:
+            break
+    marginals = {n: np.exp(norm(belief(n))) for n in mine}
+    return {n: int(v.argmax()) for n, v in marginals.items()}, marginals, u, edges
+
+
+def test_loopy_messages_against_dictionaries_and_enumeration():
+    m = pii.train()
+    r, close, nodes = random.Random(4), 0, 0
+    for seed in range(40):
+        t = " ".join(r.choice(["10.0.0.1", "10.0.0.1", "212-555-7788", "212-555-7788", "call", "17", "555-77", "2.0", "a@b.org"]) for _ in range(r.randint(3, 9)))
+        g = pii.graph(*flat(pa.array([t])), m.names)
+        if not len(g.doc) or len(g.doc) > 6:
+            continue
+        labels, marginals, u, edges = brute_labels(m, g, 0)
+        assert pii.infer(m, g).tolist() == [labels[n] for n in range(len(g.doc))], t
+        exact = np.zeros((len(g.doc), pii.K))
+        for y in itertools.product(range(pii.K), repeat=len(g.doc)):
+            w = np.exp(sum(u[i][y[i]] for i in u) + sum((m.chain, m.same, m.alike)[k][y[i], y[j]] for i, j, k in edges) - 60)
+            for i in range(len(g.doc)):
+                exact[i, y[i]] += w
+        exact /= exact.sum(axis=1, keepdims=True)
+        nodes += len(g.doc)
+        close += sum(exact[i].argmax() == labels[i] for i in range(len(g.doc)))
+    assert nodes > 60 and close >= 0.97 * nodes
+
+
+def test_report_rows_by_brute_force(documents, texts):
+    """Every row of the report, its labels found in one document alone and its text cut by hand."""
+    m = pii.train()
+    rows = {r["doc_id"]: r for r in pii.pii_report(documents).collect()}
+    assert set(rows) == set(texts) and any(r["n_entities"] for r in rows.values())
+    for i, t in texts.items():
+        data, offs = flat(pa.array([t]))
+        g = pii.graph(data, offs, m.names)
+        labels, raw, spans = brute_labels(m, g, 0)[0], t.encode(), []
+        for n in range(len(g.doc)):
+            token = raw[g.start[n] : g.end[n]]
+            lo = len(token) - len(token.lstrip(b"\"'`!#$%&*|,;:<>[]{}=?"))
+            hi = lo + len(token[lo:].rstrip(b"\"'`!#$%&*|,;:<>[]{}=?."))
+            k = pii.LABELS[labels[n]]
+            if k == "O" or lo == hi:
+                continue
+            joined = n and not g.left_free[n] and labels[n - 1] == labels[n] and spans and token[:1] != b"+" and (k == "PHONE" or k == "CARD" and hi - lo <= 4)
+            if joined:
+                spans[-1][1] = int(g.start[n]) + hi
+            else:
+                spans.append([int(g.start[n]) + lo, int(g.start[n]) + hi, k])
+        want = [(k, len(raw[:a].decode()), len(raw[:b].decode())) for a, b, k in spans]
+        assert [(e["label"], e["start"], e["end"]) for e in rows[i]["entities"]] == want and rows[i]["n_entities"] == len(want)
+        for a, b, k in reversed(spans):
+            raw = raw[:a] + f"[{k}]".encode() + raw[b:]
+        assert rows[i]["text"] == raw.decode()
+
+
+def test_documents_dont_depend_on_each_other():
+    m = pii.train()
+    t = [x for x, _ in pii.examples(120, seed=5)]
+    one = [[(s, e, k) for _, s, e, k in pii.entities(m, *flat(pa.array([x])))] for x in t]
+    data, offs = flat(pa.array(t))
+    both = [[] for _ in t]
+    for d, s, e, k in pii.entities(m, data, offs):
+        both[d].append((s - int(offs[d]), e - int(offs[d]), k))
+    assert one == both
+
+
+def test_secrets_of_letters_and_long_neighbours(spark):
+    t = ["password = correcthorse", "Set db_password: open-sesame-now here", "the key: of the matter", "x" * 6000 + "= " + "ab12" * 10, "secret = " + "q" * 9000]
+    got = [r["text"] for r in pii.pii_report(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["password = [SECRET]", "Set db_password: [SECRET] here", t[2], "x" * 6000 + "= [SECRET]", "secret = [SECRET]"]
+
+
 def test_equal_tokens_share_their_label():
     m = pii.train()
     data, offs = flat(pa.array(["x"]))
