@@ -13,17 +13,23 @@ occurrences but the first, in the order of (doc_id, position), are cut; what is
    extensions of neighbours are then checked word by word against the text, so hash collisions have no effect.
    The reversed words before the anchors are sorted in the same way. A run of `length` words is equal to another
    exactly if they share the class of their left part and the class of their right part.
-   A group of over LARGE occurrences is sorted in slices, between which two 64-bit hashes of each run are kept.
-
-Defined cases: a null or empty text, or one of fewer than `length` words, stays as it is. A row with a null doc_id,
-or with a doc_id that stands on rows of different texts, is not compared and stays as it is. Rows that repeat both
-doc_id and text are one document: each gets the same cuts. Runs repeated within one text are cut as well. A text that
-is a repetition from end to end becomes empty; its row stays. An empty table gives an empty result. Further columns
-pass through. White space before the first kept word goes only in texts that are cut.
+4. An anchor of more than LARGE occurrences, such as those of a licence text, is spread over several cells of about that
+   size by the hash of (doc_id, position), so that no task holds it alone. Within a cell all but the first occurrence of
+   a run are cut as above. The first ones of each cell give the key of the run, without words; keys that several cells
+   have are found by a partial aggregation, and only for these the words are gathered, at most once a cell and run,
+   streamed in order of occurrence and compared word by word. So the result is the same at every size.
+
+Defined cases: a null or empty text, or one of fewer than `length` words, stays as it is. A row with a null doc_id (or one
+that is no whole number), or with a doc_id that stands on rows of different texts, is not compared and stays as it is.
+Rows that repeat both doc_id and text are one document: each gets the same cuts. Runs repeated within one text are cut
+as well. A text that is a repetition from end to end becomes empty; its row stays. An empty table gives an empty result.
+Further columns pass through, whatever their names are. White space before the first kept word goes only in texts that
+are cut.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.base import by_keys, discard, kept, long, map_arrow, map_text, saved
+from lexiforge.llm.base import by_keys, discard, kept, long, map_arrow, map_text, operator, saved, unused
 from lexiforge.llm.textops import BASE, INVERSE, IS_SPACE, flat, mix, powers, ragged, run_hash, runs, span_hashes, strings, word_prefix
 
 LENGTH, K = 50, 25
-#: Members of anchor groups that are sorted in one step; members from which one group is handled in slices of so many;
-#: and pairs of contexts compared byte for byte at once.
+#: Members of anchor groups that are sorted in one step; members of a cell of a larger group, about; and pairs of
+#: contexts compared byte for byte at once.
 STEP, LARGE, SLICE = 4_000, 16_000, 1_000
 TOP = np.iinfo(np.uint64).max
 
@@ -96,7 +102,7 @@ def _contexts(length: int, k: int):
         last = np.minimum(at[1:][doc], a + length)
         size = e[last - 1] - s[first]
         ctx = strings(data[ragged(s[first], size)], np.concatenate(([0], np.cumsum(size))))
-        return pa.RecordBatch.from_arrays([h, b.column("doc_id").take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array((a - first).astype(np.int32)), ctx], ["h", "doc_id", "pos", "n_left", "text"])
+        return pa.RecordBatch.from_arrays([h, items.field("cell"), b.column("doc_id").take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array((a - first).astype(np.int32)), ctx], ["h", "cell", "doc_id", "pos", "n_left", "text"])
 
     return run
 
@@ -209,11 +215,12 @@ def _classes(group: np.ndarray, n_left: np.ndarray, data: np.ndarray, offs: np.n
     return which, first
 
 
-def repeated_runs(group: np.ndarray, n_left: np.ndarray, data: np.ndarray, offs: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_runs(group: np.ndarray, n_left: np.ndarray, data: np.ndarray, offs: np.ndarray, length: int = LENGTH, k: int = K, leaders: np.ndarray | None = None):
     """Members (in order of occurrence, groups together) that are not first with some run of `length` words around the anchor.
 
     Returns their numbers, and from how many words before the anchor to how many after it they are repetitions.
     Members of one and the same context are sorted as one; all of them but the first are repetitions throughout.
+    leaders: whether the first member of each run is wanted, by group; they follow, as member, words before, and run hash.
     """
     which, first = _classes(group, n_left, data, offs)
     is_first = first[which] == np.arange(len(which))
@@ -233,6 +240,7 @@ def repeated_runs(group: np.ndarray, n_left: np.ndarray, data: np.ndarray, offs:
     l_common = left.neighbours(l_order, data, s[turned], e[turned])
 
     far, near = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    lead: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for l in range(length - k + 1):
         r = length - l
         rc, lc = np.empty(n, np.int64), np.empty(n, np.int64)
@@ -241,106 +249,101 @@ def repeated_runs(group: np.ndarray, n_left: np.ndarray, data: np.ndarray, offs:
         ok = np.flatnonzero((right.size >= r) & (left.size >= l))
         key = rc[ok] * (n + 1) + lc[ok]
         o = np.argsort(key, kind="stable")
-        again = ok[o[1:][key[o[1:]] == key[o[:-1]]]]
+        same = np.concatenate((np.zeros(min(1, len(o)), bool), key[o[1:]] == key[o[:-1]]))
+        again = ok[o[same]]
         near[again] = np.where(near[again] < 0, l, near[again])
         far[again] = l
+        if leaders is not None:
+            head = ok[o[~same]]
+            head = head[leaders[group[head]]]
+            lead.append((first[head], np.full(len(head), l), run_hash(right.pre, p[head] - l, length)))
     low, high = np.maximum(0, length - right.size), np.minimum(left.size, length - k)
     low, high = np.where(low <= high, low, -1), np.where(low <= high, high, -1)
     far, near = np.where(is_first, far[which], high[which]), np.where(is_first, near[which], low[which])
     hit = np.flatnonzero(far >= 0)
-    return hit, far[hit], length - near[hit]
+    out = hit, far[hit], length - near[hit]
+    return out if leaders is None else (*out, *map(np.concatenate, zip(*lead)))
 
 
-class _Seen:
-    """Runs of `length` words met so far in one anchor group that is handled in slices: two hashes of each, by offset."""
+CUTS = "doc_id long, lo int, hi int, h long, l int, run long"
 
-    def __init__(self, length: int, k: int):
-        self.length, self.k = length, k
-        self.had = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64)) for _ in range(length - k + 1)]
 
-    def again(self, n_left: np.ndarray, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """As repeated_runs, for runs of earlier slices; the slice's own runs are then remembered."""
-        s, e, at = runs(data, offs, IS_SPACE)
-        words = span_hashes(data, s, e)
-        one, two = word_prefix(words), word_prefix(mix(words ^ np.uint64(0xD6E8FEB86659FD93)))
-        p, right = at[:-1] + n_left, at[1:] - at[:-1] - n_left
-        far, near = np.full(len(p), -1, np.int64), np.full(len(p), -1, np.int64)
-        for l in range(self.length - self.k + 1):
-            ok = np.flatnonzero((n_left >= l) & (right >= self.length - l))
-            a, b = run_hash(one, p[ok] - l, self.length), run_hash(two, p[ok] - l, self.length)
-            keys, check = self.had[l]
-            if len(keys):
-                i = np.minimum(np.searchsorted(keys, a), len(keys) - 1)
-                hit = ok[(keys[i] == a) & (check[i] == b)]
-                near[hit] = np.where(near[hit] < 0, l, near[hit])
-                far[hit] = l
-            new, i = np.unique(np.concatenate((keys, a)), return_index=True)
-            self.had[l] = new, np.concatenate((check, b))[i]
-        hit = np.flatnonzero(far >= 0)
-        return hit, far[hit], self.length - near[hit]
+def _cuts(length: int, k: int):
+    """Ranges to cut, and, of large groups, the runs that are first in their cell (h is not null there, lo is the anchor)."""
+
+    def work(b: pa.RecordBatch) -> pa.RecordBatch:
+        h, cell = b.column("h").to_numpy(), b.column("cell").to_numpy()
+        group = np.cumsum(np.concatenate(([0], (h[1:] != h[:-1]) | (cell[1:] != cell[:-1]))))
+        large = np.zeros(int(group[-1]) + 1, bool)
+        large[group] = cell > 0
+        pos = b.column("pos").to_numpy().astype(np.int64)
+        hit, before, after, head, l, run = repeated_runs(group, b.column("n_left").to_numpy().astype(np.int64), *flat(b.column("text")), length, k, large)
+        n, m = len(hit), len(head)
+        docs = b.column("doc_id").take(pa.array(np.concatenate((hit, head))))
+        lo, hi = np.concatenate((pos[hit] - before, pos[head])), np.concatenate((pos[hit] + after, pos[head]))
+        cut = np.arange(n + m) < n
+        some = lambda x, kind: pa.array(np.concatenate((np.zeros(n, kind), x.astype(kind, copy=False).view(kind))), mask=cut)
+        return pa.RecordBatch.from_arrays([docs, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), some(h[head], np.int64), some(l, np.int32), some(run.view(np.int64), np.int64)], ["doc_id", "lo", "hi", "h", "l", "run"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole groups, about STEP members at once."""
+        held: list[pa.RecordBatch] = []
+        count, last = 0, None
+        for b in batches:
+            h, cell = b.column("h").to_numpy(), b.column("cell").to_numpy()
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (cell[1:] != cell[:-1])))
+            new[0] = last is None or last != (h[0], cell[0])
+            last, at = (h[-1], cell[-1]), 0
+            for to in np.flatnonzero(new).tolist():  # here a group ends
+                if count + to - at >= STEP:
+                    held.append(b.slice(at, to - at))
+                    yield work(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    held, count, at = [], 0, to
+            held.append(b.slice(at))
+            count += b.num_rows - at
+        if count:
+            yield work(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
+    return run
 
-def _cuts(length: int, k: int):
-    def rows(b: pa.RecordBatch, hit: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
-        pos = b.column("pos").to_numpy().astype(np.int64)[hit]
-        return pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(hit)), pa.array((pos - before).astype(np.int32)), pa.array((pos + after).astype(np.int32))], ["doc_id", "lo", "hi"])
 
-    def work(b: pa.RecordBatch, seen: _Seen | None) -> Iterator[pa.RecordBatch]:
-        h, n_left = b.column("h").to_numpy(), b.column("n_left").to_numpy().astype(np.int64)
-        group = np.cumsum(np.concatenate(([0], h[1:] != h[:-1])))
+def _run_words(length: int):
+    """The words of runs: of each text, a list `at` of (h, l, run, pos)."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
         data, offs = flat(b.column("text"))
-        yield rows(b, *repeated_runs(group, n_left, data, offs, length, k))
-        if seen is not None:
-            yield rows(b, *seen.again(n_left, data, offs))
+        s, e, at = runs(data, offs, IS_SPACE)
+        lists = b.column("at")
+        doc = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+        items = lists.flatten()
+        pos = items.field("pos").to_numpy()
+        i = at[:-1][doc] + pos - items.field("l").to_numpy()
+        n = np.full(len(i), length)
+        size = e[ragged(i, n)] - s[ragged(i, n)]
+        words = data[ragged(s[ragged(i, n)], size)]
+        # the words and, before them, their sizes: white space doesn't count
+        text = pa.array([size[x * length : (x + 1) * length].astype(np.int32).tobytes() + words[a:z].tobytes() for x, (a, z) in enumerate(itertools.pairwise(np.concatenate(([0], np.cumsum(size)))[::length].tolist()))], pa.binary())
+        return pa.RecordBatch.from_arrays([items.field("h"), items.field("l"), items.field("run"), b.column("doc_id").take(pa.array(doc)), items.field("pos"), text], ["h", "l", "run", "doc_id", "pos", "words"])
+
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole groups, about STEP members at once; a group of more than LARGE members in slices that remember."""
-        kept: list[pa.RecordBatch] = []
-        count, seen, hot = 0, None, None
-
-        def take(n: int) -> pa.RecordBatch:
-            nonlocal kept, count
-            whole = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
-            kept, count = [whole.slice(n)], whole.num_rows - n
-            return whole.slice(0, n)
-
-        def step(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal seen, hot
-            whole = take(count)
-            h = whole.column("h").to_numpy()
-            at = 0
-            while at < len(h):
-                if hot is not None and h[at] == hot:  # on with a large group
-                    to = min(at + LARGE, int(np.searchsorted(h, hot, "right")))
-                    yield from work(whole.slice(at, to - at), seen)
-                    at = to
-                    continue
-                seen = hot = None
-                to = min(at + STEP, len(h))
-                if to < len(h) or not last:
-                    edge = h[to] if to < len(h) else h[-1]
-                    start, end = int(np.searchsorted(h, edge, "left")), int(np.searchsorted(h, edge, "right"))
-                    if start > at:
-                        to = start
-                    elif end - at > LARGE:
-                        seen, hot = _Seen(length, k), edge
-                        continue
-                    elif end < len(h) or last:
-                        to = end
-                    else:
-                        break  # its end is yet to come
-                yield from work(whole.slice(at, to - at), None)
-                at = to
-            kept[:] = [whole.slice(at)]
 
+def _later(length: int):
+    """Of rows (h, l, run, doc_id, pos, words) in order, the ranges of those whose words were there before with their key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, set()
         for b in batches:
-            kept.append(b)
-            count += b.num_rows
-            if count >= 2 * LARGE:
-                yield from step(False)
-                count = sum(x.num_rows for x in kept)
-        if count:
-            yield from step(True)
+            docs, lo = [], []
+            for *key, doc, pos, words in zip(*(b.column(c).to_pylist() for c in ("h", "l", "run", "doc_id", "pos", "words"))):
+                if key != now:
+                    now, seen = key, set()
+                if words in seen:
+                    docs.append(doc)
+                    lo.append(pos - key[1])
+                seen.add(words)  # one, but for colliding hashes
+            lo = np.array(lo, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(lo), pa.array(lo + np.int32(length))], ["doc_id", "lo", "hi"])
 
     return run
 
@@ -356,19 +359,42 @@ def compared(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return by_keys(ids, "doc_id", twice, False).unionByName(by_keys(several, "doc_id", unclear, False)), twice
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+def _gathered(texts: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """The texts that rows name, each with a list `at` of its rows' columns. A list is at most as long as its text."""
+    ids = saved(rows.select("doc_id").distinct(), "ids")
+    per_doc = rows.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct(*columns)).alias("at"))
+    return by_keys(texts, "doc_id", ids, True).join(per_doc.hint("shuffle_merge"), F.col("doc_id") == F.col("id")).drop("id")
+
+
+def repeated_passages(docs: DataFrame, length: int = LENGTH, k: int = K, large: int = LARGE) -> DataFrame:
     """(doc_id, cuts): of each document with repeated passages, their word ranges (lo, hi), which may overlap; a saved() table."""
     texts, _ = compared(docs)
-    rows = map_text(texts, _anchor_rows(length, k), "h long, doc_id long, pos int").withColumn("n", F.expr("count(*) over (partition by h)"))
-    again = kept(rows.where("n > 1").drop("n"))
-    ids = saved(again.select("doc_id").distinct(), "ids")
-    per_doc = again.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("pos", "h")).alias("at"))
-    found = by_keys(texts, "doc_id", ids, True).join(per_doc.hint("shuffle_merge"), F.col("doc_id") == F.col("id")).drop("id")
-    ctx = map_text(found, _contexts(length, k), "h long, doc_id long, pos int, n_left int, text string")
-    cuts = map_arrow(ctx.repartition("h").sortWithinPartitions("h", "doc_id", "pos"), _cuts(length, k), "doc_id long, lo int, hi int")
-    out = saved(cuts.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts")), "cuts")
+    rows = kept(map_text(texts, _anchor_rows(length, k), "h long, doc_id long, pos int"))
+    often = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    again = kept(rows.join(often.hint("shuffle_merge"), "h").select("h", "doc_id", "pos", "n"))
+    # cells are counted from 1 in large groups
+    cell = F.when(F.col("n") > large, F.pmod(F.xxhash64("doc_id", "pos"), F.ceil(F.col("n") / F.lit(large))).cast("int") + 1).otherwise(0)
+    found = _gathered(texts, again.select("doc_id", "pos", "h", cell.alias("cell")), "pos", "h", "cell")
+    ctx = map_text(found, _contexts(length, k), "h long, cell int, doc_id long, pos int, n_left int, text string")
+    cuts = map_arrow(ctx.repartition("h", "cell").sortWithinPartitions("h", "cell", "doc_id", "pos"), _cuts(length, k), CUTS)
+    hot = not again.where(F.col("n") > large).isEmpty()
+    rows.unpersist()
+    if hot:
+        cuts = saved(cuts, "cuts")
+        runs_ = cuts.where("h is not null").select("h", "l", "run", "doc_id", F.col("lo").alias("pos"))
+        at = F.struct("doc_id", "pos")
+        shared = runs_.groupBy("h", "l", "run").agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a < z").select("h", "l", "run")
+        members = kept(runs_.join(shared, ["h", "l", "run"]))
+        words = map_text(_gathered(texts, members, "h", "l", "run", "pos"), _run_words(length), "h long, l int, run long, doc_id long, pos int, words binary")
+        more = map_arrow(words.repartition("h", "l", "run").sortWithinPartitions("h", "l", "run", "doc_id", "pos"), _later(length), "doc_id long, lo int, hi int")
+        ranges = cuts.where("h is null").select("doc_id", "lo", "hi").unionByName(more)
+    else:
+        ranges = cuts.select("doc_id", "lo", "hi")
+    out = saved(ranges.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts")), "ranges")
     again.unpersist()
-    discard(ids)
+    if hot:
+        members.unpersist()
+        discard(cuts)
     return out
 
 
@@ -388,40 +414,44 @@ def cut_words(data: np.ndarray, offs: np.ndarray, doc: np.ndarray, lo: np.ndarra
     return data[ragged(s[keep], size)], out, np.bincount(owner[~keep], minlength=len(offs) - 1)
 
 
-def _apply(names: list[str]):
+def _apply(names: list[str], cuts: str, lost: str):
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        lists = b.column("__cuts")
+        lists = b.column(cuts)
         items = lists.flatten()
         doc = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-        data, offs, lost = cut_words(*flat(b.column("text")), doc, items.field("lo").to_numpy(), items.field("hi").to_numpy())
-        cols = {"text": strings(data, offs), "__lost": pa.array(lost.astype(np.int32))}
+        data, offs, n = cut_words(*flat(b.column("text")), doc, items.field("lo").to_numpy(), items.field("hi").to_numpy())
+        cols = {"text": strings(data, offs), lost: pa.array(n.astype(np.int32))}
         return pa.RecordBatch.from_arrays([cols[c] if c in cols else b.column(c) for c in names], names)
 
     return run
 
 
-def _without(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """docs with the cuts made and the number of words lost in __lost."""
-    cuts = repeated_passages(docs, length, k)
+def _without(docs: DataFrame, length: int, k: int, large: int) -> tuple[DataFrame, str]:
+    """docs with the cuts made and the number of words lost in one more column, whose name comes with it."""
+    ranges = repeated_passages(docs, length, k, large)
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    hit = cuts.select("doc_id")
-    names = [*docs.columns, "__lost"]
-    per_doc = cuts.select(F.col("doc_id").alias("__id"), F.col("cuts").alias("__cuts"))
-    changed = by_keys(docs, "doc_id", hit, True).join(per_doc.hint("shuffle_merge"), F.col("doc_id") == F.col("__id")).drop("__id")
-    schema = docs.withColumn("__lost", F.lit(0)).schema
-    rest = by_keys(docs, "doc_id", hit, False).withColumn("__lost", F.lit(0))
-    return map_text(changed, _apply(names), schema).unionByName(rest)
+    id_, cuts, lost = unused(docs, "cut_id", "cuts", "lost")
+    key = docs["doc_id"].try_cast("long")
+    hit = ranges.select("doc_id")
+    changed = by_keys(docs, [key], hit, True).join(ranges.toDF(id_, cuts).hint("shuffle_merge"), key == F.col(id_)).drop(id_)
+    schema = docs.withColumn(lost, F.lit(0)).schema
+    rest = by_keys(docs, [key], hit, False).withColumn(lost, F.lit(0))
+    return map_text(changed, _apply(schema.names, cuts, lost), schema).unionByName(rest), lost
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+@operator
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, large: int = LARGE) -> DataFrame:
     """docs, every row and column, with text cut where it repeats an earlier passage."""
-    out = _without(docs, length, k).drop("__lost")
+    out, lost = _without(docs, length, k, large)
+    out = out.drop(lost)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-def repeats_report(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+@operator
+def repeats_report(docs: DataFrame, length: int = LENGTH, k: int = K, large: int = LARGE) -> DataFrame:
     """doc_id, text after the cuts, and removed_words of every row."""
-    return _without(docs.select("doc_id", "text"), length, k).withColumnRenamed("__lost", "removed_words")
+    out, lost = _without(docs.select("doc_id", "text"), length, k, large)
+    return out.withColumnRenamed(lost, "removed_words")
 
 
 ORACLE = """

@@ -640,20 +640,30 @@ def brute_repeats(docs, length):
     return gone
 
 
-def small_run(docs, length, k):
+def small_run(docs, length, k, large):
     """The operator's steps on {id: words}, without Spark."""
     ids = sorted(docs)
     batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([" ".join(docs[i]) for i in ids])], ["doc_id", "text"])
     a = suffix_dedup._anchor_rows(length, k)(batch).to_pandas()
-    a = a[a.groupby("h").h.transform("size") > 1]
-    at = [[{"pos": p, "h": h} for p, h in a[a.doc_id == i][["pos", "h"]].itertuples(index=False)] for i in ids]
-    kind = pa.list_(pa.struct([("pos", pa.int32()), ("h", pa.int64())]))
-    ctx = suffix_dedup._contexts(length, k)(batch.append_column("at", pa.array(at, kind))).to_pandas().sort_values(["h", "doc_id", "pos"])
+    a["n"] = a.groupby("h").h.transform("size")
+    a = a[a.n > 1]
+    a["cell"] = np.where(a.n > large, (a.doc_id * 31 + a.pos * 7) % -(-a.n // large) + 1, 0)
+
+    def listed(rows, columns, kind):
+        at = [rows[rows.doc_id == i][columns].to_dict("records") for i in ids]
+        return batch.append_column("at", pa.array(at, pa.list_(pa.struct(kind))))
+
+    ctx = suffix_dedup._contexts(length, k)(listed(a, ["pos", "h", "cell"], [("pos", pa.int32()), ("h", pa.int64()), ("cell", pa.int32())])).to_pandas().sort_values(["h", "cell", "doc_id", "pos"])
     rows = pa.RecordBatch.from_pandas(ctx, preserve_index=False)
-    cuts = suffix_dedup._cuts(length, k)(rows.slice(x, 7) for x in range(0, rows.num_rows, 7))
+    cuts = pa.Table.from_batches(suffix_dedup._cuts(length, k)(rows.slice(x, 7) for x in range(0, rows.num_rows, 7))).to_pandas() if rows.num_rows else []
     gone = {i: set() for i in docs}
-    for c in cuts:
-        for i, lo, hi in zip(*(c.column(x).to_pylist() for x in ("doc_id", "lo", "hi"))):
+    if not len(cuts):
+        return gone
+    lead = cuts[cuts.h.notna()].rename(columns={"lo": "pos"})
+    words = suffix_dedup._run_words(length)(listed(lead, ["h", "l", "run", "pos"], [("h", pa.int64()), ("l", pa.int32()), ("run", pa.int64()), ("pos", pa.int32())])).to_pandas().sort_values(["h", "l", "run", "doc_id", "pos"])
+    later = [c.to_pandas() for c in suffix_dedup._later(length)([pa.RecordBatch.from_pandas(words, preserve_index=False)])] if len(words) else []
+    for c in [cuts[cuts.h.isna()], *later]:
+        for i, lo, hi in zip(c.doc_id, c.lo, c.hi):
             gone[i] |= set(range(lo, hi))
     return gone
 
@@ -664,22 +674,35 @@ def tangled(seed):
     return {i: list(itertools.chain(*(r.choice(pool) if r.random() < 0.6 else [r.choice("abcdefgh")] * r.randint(1, 3) for _ in range(r.randint(0, 8))))) for i in range(r.randint(1, 14))}
 
 
-@pytest.mark.parametrize("sizes", [(4000, 16000, 1000), (3, 5, 2), (1, 1, 1)])
-def test_repeats_against_brute_force(monkeypatch, sizes):
-    for name, v in zip(("STEP", "LARGE", "SLICE"), sizes):
-        monkeypatch.setattr(suffix_dedup, name, v)
+@pytest.mark.parametrize("step,large,slice_", [(4000, 16000, 1000), (3, 5, 2), (1, 1, 1)])
+def test_repeats_against_brute_force(monkeypatch, step, large, slice_):
+    monkeypatch.setattr(suffix_dedup, "STEP", step), monkeypatch.setattr(suffix_dedup, "SLICE", slice_)
     for seed in range(60):
         docs = tangled(seed)
-        assert small_run(docs, 6, 3) == brute_repeats(docs, 6), seed
+        assert small_run(docs, 6, 3, large) == brute_repeats(docs, 6), seed
 
 
-def test_colliding_hashes_cut_nothing_else(monkeypatch):
+@pytest.mark.parametrize("large", [16000, 4, 1])
+def test_colliding_hashes_cut_nothing_else(monkeypatch, large):
     real = suffix_dedup.span_hashes
     monkeypatch.setattr(suffix_dedup, "span_hashes", lambda *a: real(*a) & np.uint64(1))
     for seed in range(40):
         docs = tangled(seed)
         want = brute_repeats(docs, 6)
-        assert all(g <= want[i] for i, g in small_run(docs, 6, 3).items())
+        assert all(g <= want[i] for i, g in small_run(docs, 6, 3, large).items())
+
+
+def test_large_groups_are_spread_over_cells(spark):
+    """A passage in every document, in cells of a few occurrences."""
+    r = random.Random(8)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    shared, other = words(70), words(55)
+    docs = {i: words(r.randint(0, 30)) + shared + words(r.randint(0, 30)) + (other if i % 3 == 0 else []) for i in range(60)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").repartition(4)
+    want = brute_repeats(docs, 50)
+    for large in (7, 16000):
+        got = {x["doc_id"]: (x["text"].split(), x["removed_words"]) for x in suffix_dedup.repeats_report(df, large=large).collect()}
+        assert got == {i: ([x for k, x in enumerate(w) if k not in want[i]], len(want[i])) for i, w in docs.items()}
 
 
 def test_suffixes_are_sorted():
