@@ -4,35 +4,36 @@ Method: each shingle hash falls into one of 2**p buckets; per bucket the least r
 as its count of leading zeros and the r mantissa bits behind them, two bytes in all. Bands of these registers are
 the candidate keys. For candidates the share of equal registers, corrected by the number expected to collide by
 chance, estimates Jaccard similarity; candidates well below the threshold go, the rest are verified on the full
-shingle sets, and one document of each connected group stays (see pairs.py). First each document is compared with the
-smallest and the previous one of its bucket; then, within each bucket, all pairs that this left in different groups.
-
-Defined cases: a null or empty text, or one without words, is in no group, and is kept. A row with a null doc_id is
-kept and in no group. Rows that repeat a doc_id count as one document; one of them stays. The smallest doc_id of a
-group stays. An empty table gives an empty result. Further columns pass through.
+shingle sets, and one document of each connected group stays (see pairs.py). First each set is compared with the
+smallest one of each of its buckets; then, within each bucket, all pairs that this left in different groups. So two
+documents with a band in common whose similarity is verified are always in one group.
+
+A document is a doc_id with a text. Defined cases: a null or empty text, or one without words, is in no group, and is
+kept. A row with a null doc_id (or one that is no whole number) is kept and in no group. Different texts under one
+doc_id are different documents: each is compared, and stays or goes, by itself. Rows equal in doc_id and text are one
+document; the one whose columns, as JSON, come first stays. Of a group the smallest doc_id stays, and of its texts in the
+group the one of the smallest hash. An empty table gives an empty result. Further columns pass through, whatever their
+names are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.base import by_keys, discard, kept, long, map_arrow, map_text, saved, with_small
-from lexiforge.llm.pairs import band_edges, components, representatives, set_keys, verified
+from lexiforge.llm.base import BROADCAST_KEYS, by_keys, discard, kept, long, map_arrow, map_text, operator, saved, unused, with_small
+from lexiforge.llm.pairs import band_edges, band_pairs, check_keys, classes, components, set_keys, shared_bands, text_key, verified
 from lexiforge.llm.textops import flat, mix, shingle_sets
 
 SHINGLE, P, R, ROWS, THRESHOLD = 3, 7, 10, 4, 0.5
 #: Candidates whose estimate is so far below the threshold are dropped (six standard errors at 128 registers are 0.26).
 SLACK = 0.25
-#: Registers that are compared in one numpy step.
-ACROSS = 1 << 22
 
-SKETCH = "doc_id long, n_shingles int, set_key long, registers binary, bands array<long>"
+SKETCH = "doc_id long, text_key long, n_shingles int, set_key long, check_key long, registers binary, bands array<long>"
 
 
 def registers(h: np.ndarray, bounds: np.ndarray, p: int = P, r: int = R) -> np.ndarray:
@@ -95,7 +96,8 @@ def _sketch(k: int, p: int, r: int, rows: int):
         offs = np.concatenate(([0], np.cumsum(full.sum(axis=1)))).astype(np.int32)
         bands = pa.ListArray.from_arrays(pa.array(offs), pa.array(key[full]))
         raw = pa.array([x.tobytes() for x in reg], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(set_keys(h, at).view(np.int64)), raw, bands], ["doc_id", "n_shingles", "set_key", "registers", "bands"])
+        keys = (pa.array(f(h, at).view(np.int64)) for f in (set_keys, check_keys))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n.astype(np.int32)), *keys, raw, bands], ["doc_id", "text_key", "n_shingles", "set_key", "check_key", "registers", "bands"])
 
     return run
 
@@ -113,111 +115,75 @@ def _likely(least: float, p: int, r: int):
     return run
 
 
-def _across(least: float, width: int):
-    """Pairs of one bucket with different roots and at least this share of equal registers. Rows come by bucket."""
-
-    def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, root = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in ("set_key", "root"))
-        reg = np.concatenate([np.frombuffer(b"".join(r.column("codes").to_pylist()), np.uint8).reshape(-1, width) for r in rows])
-        full, step = (reg > 0).sum(axis=1), max(1, ACROSS // (len(reg) * width))
-        for i in range(0, len(reg), step):
-            x, rest = reg[i : i + step, None], reg[None, i:]
-            both = ((x > 0) & (rest > 0)).sum(axis=2)
-            equal = ((x == rest) & (x > 0)).sum(axis=2)
-            ok = (equal >= least * (full[i : i + step, None] + full[None, i:] - both)) & (root[i : i + step, None] != root[None, i:])
-            a, b = np.nonzero(np.triu(ok))
-            a, b = key[i + a], key[i + b]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            band = batch.column("band").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(band)) + 1).tolist(), len(band)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if hi > lo:
-                    if held and band[lo] != now:
-                        yield from pairs(held)
-                        held = []
-                    now = band[lo]
-                    held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from pairs(held)
-
-    return run
-
-
-def _codes(width: int):
-    """One byte a register, 0 where empty: equal registers have equal bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.frombuffer(b"".join(b.column("registers").to_pylist()), np.uint16).reshape(-1, width)
-            codes = np.where(x > 0, 1 + x % 255, 0).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column("set_key"), pa.array([c.tobytes() for c in codes], pa.binary())], ["set_key", "codes"])
-
-    return run
-
-
-def _between(sketches: DataFrame, bands: DataFrame, roots: DataFrame, least: float, p: int) -> DataFrame:
-    """Distinct pairs (a, b) of a common bucket that the links left in different components; a saved() table."""
-    w = Window.partitionBy("band")
-    rooted = with_small(bands.distinct(), "set_key", roots).withColumn("root", F.coalesce("root", "set_key"))
-    mixed = saved(rooted.withColumn("more", F.min("root").over(w) < F.max("root").over(w)).where("more").select("band", "set_key", "root"), "mixed")
-    nodes = saved(mixed.select("set_key").distinct(), "nodes")
-    codes = map_arrow(by_keys(sketches.select("set_key", "registers"), "set_key", nodes, True).dropDuplicates(["set_key"]), _codes(1 << p), "set_key long, codes binary")
-    rows = mixed.join(codes, "set_key").repartition("band").sortWithinPartitions("band")
-    out = saved(map_arrow(rows.select("band", "set_key", "root", "codes"), _across(least, 1 << p), "a long, b long").distinct(), "between")
-    discard(mixed), discard(nodes)
+def _candidates(edges: DataFrame, sketches: DataFrame, least: float, p: int, r: int) -> DataFrame:
+    """The edges, a saved() table, whose estimated similarity is at least `least`; a saved() table."""
+    nodes = saved(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
+    sk = kept(by_keys(sketches, "set_key", nodes, True).select("set_key", "n_shingles", "registers").dropDuplicates(["set_key"]))
+    pairs = edges.join(sk.toDF("a", "na", "ra"), "a").join(sk.toDF("b", "nb", "rb"), "b")
+    out = saved(map_arrow(pairs, _likely(least, p, r), "a long, b long"), "likely")
+    sk.unpersist()
+    discard(nodes)
     return out
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, p: int = P, r: int = R, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, group_id) of every document that has a near or exact copy; a saved() table, group_id the smallest id."""
-    docs = docs.select(long("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = kept(map_text(docs, _sketch(shingle, p, r, rows), SKETCH))
-    reps = saved(representatives(sketches), "reps")
+def _grouped(docs: DataFrame, shingle: int = SHINGLE, p: int = P, r: int = R, rows: int = ROWS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Saved() tables: doc_id, text_key, group_id and stays of every document with a near or exact copy; and doc_id and text_key that stand on several rows."""
+    docs = docs.select(long("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", text_key())
+    drawn = kept(map_text(docs, _sketch(shingle, p, r, rows), SKETCH))
+    sketches, reps = classes(drawn)
     bands = sketches.where("doc_id is not null and n_shingles > 0").select("set_key", F.explode("bands").alias("band"))
-    edges = saved(band_edges(bands), "edges")
-    nodes = saved(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
-    sk = by_keys(sketches, "set_key", nodes, True).select("set_key", "n_shingles", "registers").dropDuplicates(["set_key"])
-    pairs = edges.join(sk.toDF("a", "na", "ra"), "a").join(sk.toDF("b", "nb", "rb"), "b")
-    likely = saved(map_arrow(pairs, _likely(max(0.01, threshold - SLACK), p, r), "a long, b long"), "likely")
-    discard(nodes), discard(edges)
+    shared = shared_bands(bands)
+    least = max(0.01, threshold - SLACK)
+    edges = saved(band_edges(shared), "edges")
+    likely = _candidates(edges, sketches, least, p, r)
     near = verified(docs, reps, likely, shingle, threshold)
     roots = saved(components(near.select("a", "b")), "roots")
-    between = _between(sketches, bands, roots, max(0.01, threshold - SLACK), p)
-    sketches.unpersist()
-    more = verified(docs, reps, between, shingle, threshold).select("a", "b")
-    if not more.isEmpty():
-        roots = saved(components(roots.select(F.col("root").alias("a"), F.col("set_key").alias("b")).where("a < b").unionByName(more)), "roots")
-    return _groups(reps, roots)
-
-
-def _groups(reps: DataFrame, roots: DataFrame) -> DataFrame:
-    """(doc_id, group_id) from the ids of each shingle set and the root of each connected one."""
-    sets = with_small(reps, "set_key", roots).select(F.coalesce("root", "set_key").alias("root"), "members")
-    w = Window.partitionBy("root")
-    sets = sets.withColumn("group_id", F.min(F.col("members")[0]).over(w)).withColumn("n", F.sum(F.size("members")).over(w)).where("n > 1")
-    ids = sets.select(F.explode("members").alias("doc_id"), "group_id")
-    return saved(ids.groupBy("doc_id").agg(F.min("group_id").alias("group_id")), "groups")
-
-
+    discard(edges, likely, near)
+    between = band_pairs(shared, roots=roots)
+    likely = _candidates(between, sketches, least, p, r)
+    near = verified(docs, reps, likely, shingle, threshold)
+    if not near.isEmpty():
+        roots = saved(components(roots.select(F.col("root").alias("a"), F.col("set_key").alias("b")).where("a < b").unionByName(near.select("a", "b"))), "roots")
+    discard(between, likely, near, shared)
+    rooted = with_small(reps, "set_key", roots).withColumn("root", F.coalesce("root", "set_key"))
+    whole = rooted.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("members")).where("members > 1").select("root", "stays")
+    sets = saved(rooted.select("set_key", "root").join(whole, "root").select("set_key", "stays"), "sets")
+    ids = with_small(sketches.select("doc_id", "text_key", "n_shingles", "set_key").where("doc_id is not null and n_shingles > 0"), "set_key", sets, "inner")
+    stays = (F.col("doc_id") == F.col("stays.doc_id")) & (F.col("text_key") == F.col("stays.text_key"))
+    groups = saved(ids.select("doc_id", "text_key", F.col("stays.doc_id").alias("group_id"), stays.alias("stays")).distinct(), "groups")
+    twice = saved(sketches.where("doc_id is not null").groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "twice")
+    drawn.unpersist()
+    discard(reps, roots, sets)
+    return groups, twice
+
+
+@operator
+def near_duplicate_groups(docs: DataFrame, **params) -> DataFrame:
+    """(doc_id, group_id) of every document that has a near or exact copy; group_id is the smallest id of the group."""
+    return _grouped(docs, **params)[0].select("doc_id", "group_id")
+
+
+@operator
 def near_dedup(docs: DataFrame, **params) -> DataFrame:
-    """docs without all but the smallest doc_id of each near-duplicate group; the same columns."""
-    groups = near_duplicate_groups(docs, **params)
-    gone = saved(groups.where("doc_id <> group_id").select("doc_id"), "gone")
-    stay = by_keys(docs, "doc_id", gone, False)
-    twice = saved(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    """docs without all but the first document of each near-duplicate group; the same columns."""
+    groups, twice = _grouped(docs, **params)
+    gone = saved(groups.where("not stays").select("doc_id", "text_key"), "gone")
+    keys = lambda df: [df["doc_id"].try_cast("long"), F.xxhash64(df["text"].cast("string"))]
+    stay = by_keys(docs, keys(docs), gone, False)
+    discard(groups)
     if twice.isEmpty():
         return stay
-    return by_keys(stay, "doc_id", twice, False).unionByName(by_keys(stay, "doc_id", twice, True).dropDuplicates(["doc_id"]))
+    one, two = unused(docs, "one", "two")
+    several = by_keys(stay, keys(docs), twice, True).select("*", *(k.alias(n) for k, n in zip(keys(docs), (one, two))))
+    row = F.struct(*docs.columns)
+    first = several.groupBy(one, two).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return by_keys(stay, keys(docs), twice, False).unionByName(first)
 
 
+@operator
 def dedup_report(docs: DataFrame, **params) -> DataFrame:
-    """One row per document id: doc_id, group_id (itself where it has no copy) and kept (1 or 0)."""
-    groups = near_duplicate_groups(docs, **params)
-    ids = docs.select(long("doc_id")).distinct()
-    out = with_small(ids, "doc_id", groups)
-    return out.select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"), F.when(F.col("group_id") < F.col("doc_id"), 0).otherwise(1).alias("kept"))
+    """One row per document, that is, doc_id and text: doc_id, group_id (itself where it has no copy) and kept (1 or 0)."""
+    groups, _ = _grouped(docs, **params)
+    ids = docs.select(long("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key")).distinct()
+    out = ids.join(F.broadcast(groups) if groups.count() <= BROADCAST_KEYS // 3 else groups, ["doc_id", "text_key"], "left")
+    return out.select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"), F.when(F.col("stays") == F.lit(False), 0).otherwise(1).alias("kept"))

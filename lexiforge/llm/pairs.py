@@ -1,9 +1,8 @@
-"""What both near-duplicate operators share: candidate edges from band keys, exact verification, groups.
+"""What both near-duplicate operators share: classes of equal sets, candidates from band keys, verification, groups.
 
-A node is one shingle set, named by its set key: documents with one and the same set are one node. band_pairs pairs
-all nodes of a band bucket, which grows with the square of a group, as a list of pairs does. band_edges links a node
-only with the bucket's smallest and the next smaller one. Either counts only once its Jaccard similarity is
-verified on the full shingle sets. Groups are the connected components of the verified links.
+A node is one shingle set, named by its set key, 64 bits; documents with one and the same set are one class, so copies
+never become pairs. Two documents are candidates if their sets have a band in common; all pairs of a bucket are
+compared, in blocks of bounded size, and each counts only once its Jaccard similarity is verified on the full sets.
 """
 
 from __future__ import annotations
@@ -12,58 +11,115 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.base import by_keys, discard, map_arrow, map_text, saved, with_small
+from lexiforge.llm.base import BROADCAST_KEYS, discard, map_arrow, map_text, saved, with_small
 from lexiforge.llm.textops import flat, mix, shingle_sets
 
-#: Nodes that share a smallest neighbour and are verified in one block, about.
-BLOCK = 256
+#: Nodes that share a smallest neighbour and are verified in one block, about; members of one block of a bucket, about.
+BLOCK, BUCKET = 256, 512
 
 
 def set_keys(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """An order-free 64-bit key of each shingle set; only sets of equal key are compared as copies."""
-    m = mix(h + np.uint64(0x51ED2701))
+    """An order-free 64-bit key of each shingle set."""
+    return _keys(h, bounds, np.uint64(0x51ED2701))
+
+
+def check_keys(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A second, independent one: what has both equal, and so the same number of shingles, is one set."""
+    return _keys(h, bounds, np.uint64(0x7F4A7C15F39CC060))
+
+
+def _keys(h: np.ndarray, bounds: np.ndarray, salt: np.uint64) -> np.ndarray:
+    m = mix(mix(h + salt) ^ salt)
     pre = np.empty(len(m) + 1, np.uint64)
     pre[0] = 0
     np.cumsum(m, out=pre[1:])
     return mix(pre[bounds[1:]] - pre[bounds[:-1]]) ^ np.diff(bounds).astype(np.uint64)
 
 
-def representatives(sketches: DataFrame) -> DataFrame:
-    """(set_key, doc_id, members) of each shingle set: its smallest id and all its ids. Texts without shingles or with a null id are left out."""
-    sets = sketches.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("set_key").agg(F.sort_array(F.collect_set("doc_id")).alias("members"))
-    return sets.select("set_key", F.col("members")[0].alias("doc_id"), "members")
+def text_key():
+    """What tells the texts of one doc_id apart."""
+    return F.xxhash64("text").alias("text_key")
+
+
+def classes(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sketches, and a saved() table with one row of each shingle set: set_key, first (its smallest doc_id and text_key) and n.
+
+    A partial aggregation: no list of members is ever built. Texts without shingles or with a null id are left out.
+    Where sets that differ in their check key have one set key, they get new keys in both.
+    """
+    named = sketches.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    each = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("n"), F.min("check_key").alias("_a"), F.max("check_key").alias("_z"))
+    reps = saved(each, "reps")
+    two = reps.where("_a < _z").select("set_key", F.lit(True).alias("two"))
+    if two.isEmpty():
+        return sketches, reps.drop("_a", "_z")
+    key = F.when(F.col("two"), F.xxhash64("set_key", "check_key")).otherwise(F.col("set_key"))
+    return classes(with_small(sketches, "set_key", two).withColumn("set_key", key).drop("two").select(*sketches.columns))
+
+
+def shared_bands(bands: DataFrame) -> DataFrame:
+    """(band, set_key, n) of the bands, rows (set_key, band), that n > 1 different sets have; a saved() table.
+
+    Nearly all bands stand on one row only. They are found by counting, and only the rest is shuffled with its keys.
+    """
+    often = saved(bands.groupBy("band").agg(F.count("*").alias("rows")).where("rows > 1").select("band"), "often")
+    rows = saved(with_small(bands, "band", often, "inner").distinct(), "bands")
+    many = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    out = saved(rows.join(many.hint("shuffle_merge"), "band").select("band", "set_key", "n"), "shared")
+    discard(often, rows)
+    return out
+
+
+def band_pairs(shared: DataFrame, block: int = BUCKET, roots: DataFrame | None = None) -> DataFrame:
+    """Distinct candidate edges (a, b), a < b, from rows (band, set_key, n) of shared_bands(): all pairs of each bucket.
+
+    A bucket of more than about `block` members is split into blocks by hash; each pair of its blocks is a row, so that
+    no task holds a whole bucket. roots: a saved() table (set_key, root); only pairs of different roots are formed then.
+    """
+    if roots is not None:
+        rooted = with_small(shared.drop("n"), "set_key", roots).withColumn("root", F.coalesce("root", "set_key"))
+        mixed = rooted.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("_a"), F.max("root").alias("_z")).where("_a < _z")
+        shared = rooted.join(mixed.select("band", "n").hint("shuffle_merge"), "band")
+    item = F.struct("set_key", "root") if roots is not None else F.struct("set_key")
+    rows = shared.withColumn("nb", F.ceil(F.col("n") / F.lit(block)).cast("int")).withColumn("i", F.pmod(F.xxhash64("set_key"), F.col("nb")).cast("int"))
+    blocks = saved(rows.groupBy("band", "nb", "i").agg(F.sort_array(F.collect_list(item)).alias("m")), "blocks")
+    within = blocks.where(F.size("m") > 1).select("m", F.posexplode("m").alias("p", "x")).select("x", F.explode(F.slice("m", F.col("p") + 2, F.size("m"))).alias("y"))
+    split = blocks.where("nb > 1")
+    left = split.where("i + 1 < nb").select("band", "m", F.explode(F.sequence(F.col("i") + 1, F.col("nb") - 1)).alias("j"))
+    between = left.join(split.select("band", F.col("i").alias("j"), F.col("m").alias("other")), ["band", "j"]).select(F.explode("m").alias("x"), "other").select("x", F.explode("other").alias("y"))
+    both = within.unionByName(between)
+    if roots is not None:
+        both = both.where("x.root <> y.root")
+    out = saved(both.select(F.least("x.set_key", "y.set_key").alias("a"), F.greatest("x.set_key", "y.set_key").alias("b")).distinct(), "pairs")
+    discard(blocks)
+    return out
+
+
+def band_edges(shared: DataFrame) -> DataFrame:
+    """Distinct candidate edges (a, b), a < b, from the same rows: each set with the first of its bucket."""
+    hubs = shared.groupBy("band").agg(F.min("set_key").alias("a"))
+    return shared.join(hubs.hint("shuffle_merge"), "band").where(F.col("set_key") > F.col("a")).select("a", F.col("set_key").alias("b")).distinct()
 
 
-def band_pairs(bands: DataFrame) -> DataFrame:
-    """Distinct candidate edges (a, b), a < b, from rows (set_key, band): all pairs of each bucket."""
-    w = Window.partitionBy("band")
-    shared = bands.select("set_key", "band", (F.min("set_key").over(w) < F.max("set_key").over(w)).alias("more")).where("more")
-    buckets = shared.groupBy("band").agg(F.sort_array(F.collect_set("set_key")).alias("m"))
-    each = buckets.select("m", F.posexplode("m").alias("i", "a"))
-    return each.select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b")).distinct()
+def _pack(h: np.ndarray) -> bytes:
+    """44-bit numbers in 6 bytes each."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def band_edges(bands: DataFrame) -> DataFrame:
-    """Distinct candidate edges (a, b), a < b, from rows (set_key, band): each with the first and the previous of its bucket."""
-    w = Window.partitionBy("band").orderBy("set_key")
-    linked = bands.select("set_key", F.first("set_key").over(w).alias("hub"), F.lag("set_key").over(w).alias("prev"))
-    return (
-        linked.where(F.col("set_key") > F.col("hub"))
-        .select(F.explode(F.array("hub", "prev")).alias("a"), F.col("set_key").alias("b"))
-        .where(F.col("a") < F.col("b"))
-        .distinct()
-    )
+def _unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def _sets(k: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         h, at = shingle_sets(*flat(batch.column("text")), k)
-        low = (mix(h) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        parts = [np.sort(low[at[i] : at[i + 1]]).tobytes() for i in range(batch.num_rows)]
-        return pa.RecordBatch.from_arrays([pa.array(set_keys(h, at).view(np.int64)), pa.array(parts, pa.binary())], ["set_key", "words"])
+        parts = [_pack(h[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
+        return pa.RecordBatch.from_arrays([batch.column("set_key"), pa.array(parts, pa.binary())], ["set_key", "words"])
 
     return run
 
@@ -77,7 +133,7 @@ def _verify(least: float):
                 if cell != now:
                     now, sets = cell, {}
                 if y is None:
-                    sets[x] = np.frombuffer(raw.as_py(), np.uint32)
+                    sets[x] = _unpack(raw.as_py())
                     continue
                 one, two = sets[x], sets[y]
                 both = len(np.intersect1d(one, two, assume_unique=True))
@@ -92,40 +148,45 @@ def _verify(least: float):
 def verified(docs: DataFrame, reps: DataFrame, edges: DataFrame, k: int, least: float) -> DataFrame:
     """Edges (a, b, jaccard) whose exact Jaccard similarity over k-word shingles is at least `least`.
 
-    docs has (doc_id, text), reps is a saved() table of representatives(), edges one of set keys. Only documents whose
-    set an edge names are shingled again. Nodes fall into blocks of about BLOCK by their smallest neighbour; a set
-    is sent once to each pair of blocks with an edge of it, not once to each edge.
+    docs has (doc_id, text_key, text), reps is a saved() table of classes(), edges one of set keys. Only the first
+    document of each set that an edge names is shingled again. Nodes fall into blocks of about BLOCK by their smallest
+    neighbour; a set is sent once to each pair of blocks with an edge of it, not once to each edge.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    roots = both.groupBy("a").agg(F.min("b").alias("r")).select(F.col("a").alias("id"), F.least("a", "r").alias("root"))
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.count("*").over(Window.partitionBy("root")) / BLOCK))
-    nodes = saved(roots.select("id", F.xxhash64("root", part).alias("block")), "nodes")
+    roots = saved(both.groupBy("a").agg(F.min("b").alias("r")).select(F.col("a").alias("id"), F.least("a", "r").alias("root")), "roots")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("n", F.lit(1)) / F.lit(BLOCK)))
+    nodes = saved(roots.join(sizes, "root", "left").select("id", F.xxhash64("root", part).alias("block")), "nodes")
     one = with_small(edges, "a", nodes.toDF("a", "one"))
     two = with_small(one, "b", nodes.toDF("b", "two"))
     cells = saved(two.select("a", "b", F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("cell")), "cells")
-    ids = saved(reps.join(nodes, F.col("set_key") == F.col("id"), "left_semi").select("doc_id").distinct(), "ids")
-    sets = map_text(by_keys(docs.select("doc_id", "text"), "doc_id", ids, True), _sets(k), "set_key long, words binary").dropDuplicates(["set_key"])
+    ids = saved(reps.join(nodes, F.col("set_key") == F.col("id"), "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), "set_key"), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_KEYS // 3 else ids.hint("shuffle_merge")
+    texts = docs.join(ids, ["doc_id", "text_key"]).select("set_key", "text")
+    sets = map_text(texts, _sets(k), "set_key long, words binary").dropDuplicates(["set_key"])
     need = cells.select("cell", F.explode(F.array("a", "b")).alias("set_key")).distinct()
     full = need.join(sets, "set_key").select("cell", F.col("set_key").alias("a"), F.lit(None).cast("long").alias("b"), "words")
     rows = full.unionByName(cells.select("cell", "a", "b", F.lit(None).cast("binary").alias("words")))
     rows = rows.repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first())
     out = saved(map_arrow(rows, _verify(least), "a long, b long, jaccard double"), "verified")
-    discard(nodes), discard(cells), discard(ids)
+    discard(roots, nodes, cells)
     return out
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(set_key, root) of every node in the edges (a, b): root is the smallest one connected with it.
 
-    Alternating large-star and small-star steps; each is saved, and the loop ends when the edges no longer change.
+    Alternating large-star and small-star steps; each is saved, and the loop ends when the edges no longer change. The
+    minimum of a node's neighbours is a partial aggregation that is joined back, where AQE splits the keys of large stars.
     """
     now = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "star")
     mark = None
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        w = Window.partitionBy("u")
-        large = both.withColumn("m", F.least(F.min("v").over(w), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.withColumn("m", F.min("v").over(w)).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e"))
         new = saved(small.select(F.col("e.m").alias("a"), F.col("e.u").alias("b")).where("a < b").distinct(), "star")
         discard(now)
         now, last = new, mark

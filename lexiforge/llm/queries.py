@@ -17,6 +17,11 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of operator 2 between classes."""
+    return fingerprints.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(url_filter.page_captures(spark, sf_dir), url_filter.page_entries(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_near_dedup, op4_packing, op5_bpe, op6_token_rollup, op7_pii, op8_suffix_dedup, op9_topk, op10_url_filter, bpe_token_rollup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_near_dedup, op4_packing, op5_bpe, op6_token_rollup, op7_pii, op8_suffix_dedup, op9_topk, op10_url_filter, fingerprint_pairs, bpe_token_rollup)}
 
 ORACLE_SQL: dict[str, str] = {"op10_url_filter": url_filter.ORACLE, "op9_topk": topk.ORACLE, "op6_token_rollup": token_rollup.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE}

@@ -17,6 +17,7 @@ from oracle import assert_same
 from pyspark.sql import functions as F
 
 from lexiforge.llm import bpe, fingerprints, language_id, near_dedup, packing, pii, queries, suffix_dedup, token_rollup, topk, url_filter
+from lexiforge.llm import pairs as pairs_of
 from lexiforge.llm.base import by_keys, saved
 from lexiforge.llm.textops import flat, shingle_sets
 
@@ -110,12 +111,19 @@ def test_refuted_labels_are_rejected(spark):
 # -- 2 and 3
 
 
+def brute_sets(texts, k=3):
+    """The word shingles of each text, as tuples of words."""
+    out = {}
+    for i, t in texts.items():
+        w = [x.lower() for x in re.findall(rb"[A-Za-z0-9\x80-\xff]+", (t or "").encode())]
+        out[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    return out
+
+
 def brute_pairs(texts, least, k=3):
-    ids = sorted(texts)
-    h, at = shingle_sets(*flat(pa.array([texts[i] for i in ids])), k)
-    sets = {i: set(h[at[n] : at[n + 1]].tolist()) for n, i in enumerate(ids)}
+    sets = brute_sets(texts, k)
     users = defaultdict(list)
-    for i in ids:
+    for i in sorted(texts):
         for x in sets[i]:
             users[x].append(i)
     both = defaultdict(int)
@@ -125,7 +133,7 @@ def brute_pairs(texts, least, k=3):
     return {(a, b): j for (a, b), n in both.items() if (j := n / (len(sets[a]) + len(sets[b]) - n)) >= least}
 
 
-def brute_groups(texts, least):
+def brute_groups(texts, least, linked=lambda a, b: True):
     root = {i: i for i in texts}
 
     def find(i):
@@ -134,8 +142,9 @@ def brute_groups(texts, least):
         return i
 
     for a, b in brute_pairs(texts, least):
-        x, y = find(a), find(b)
-        root[max(x, y)] = min(x, y)
+        if linked(a, b):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
     return {i: find(i) for i in texts}
 
 
@@ -143,49 +152,89 @@ def test_shingles_are_those_of_the_words():
     t = ["One two, THREE four", "three FOUR one two three", "zwei", "", None, "é-x é"]
     h, at = shingle_sets(*flat(pa.array(t)), 3)
     sets = [set(h[at[i] : at[i + 1]].tolist()) for i in range(len(t))]
-    want = []
-    for x in t:
-        w = re.findall(r"[^\W_]+", (x or "").lower())
-        want.append({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set())
+    want = brute_sets(dict(enumerate(t)))
     for i, j in itertools.combinations_with_replacement(range(len(t)), 2):
         assert len(sets[i] & sets[j]) == len(want[i] & want[j])
 
 
-def test_fingerprints_find_the_near_copies(documents, texts):
-    pairs = brute_pairs(texts, fingerprints.THRESHOLD)
-    got = {r["doc_id"]: r for r in fingerprints.document_fingerprints(documents).collect()}
-    later = {b for _, b in pairs}
-    found = {i for i, r in got.items() if r["match_id"] is not None}
-    assert found <= later and len(found) >= 0.9 * len(later) > 0
-    for i in found:
-        assert got[i]["jaccard"] == pytest.approx(pairs[got[i]["match_id"], i])
-    sig = {i: np.array(r["signature"]) for i, r in got.items() if r["signature"]}
+def test_fingerprints_give_every_link(documents, texts):
+    """Classes, and all links between them, against sets of words; a link needs a band of the reported signatures in common."""
+    sets, pairs = brute_sets(texts), brute_pairs(texts, fingerprints.THRESHOLD)
+    rows = {r["doc_id"]: r for r in fingerprints.document_fingerprints(documents).collect()}
+    first = {}
+    for i in sorted(texts):
+        first.setdefault(frozenset(sets[i]), i)
+    name = {i: first[frozenset(sets[i])] for i in texts}
+    bands = {i: {(k, tuple(r["signature"][k : k + 4])) for k in range(0, 128, 4)} for i, r in rows.items() if r["signature"]}
+    different = {p: j for p, j in pairs.items() if name[p[0]] == p[0] and name[p[1]] == p[1]}
+    want = {p: j for p, j in different.items() if bands[p[0]] & bands[p[1]]}
+    got = {(r["class_a"], r["class_b"]): r["jaccard"] for r in fingerprints.fingerprint_pairs(documents).collect()}
+    assert got == pytest.approx(want) and len(got) >= 0.9 * len(different) > 0
+    assert all(p in got for p, j in different.items() if j >= 0.85)
+    for i, r in rows.items():
+        near = [(j, -a) for (a, b), j in want.items() if b == name[i]]
+        if not sets[i]:
+            assert (r["class_id"], r["n_copies"], r["n_links"], r["match_id"]) == (None, None, 0, None)
+            continue
+        assert r["class_id"] == name[i] and r["n_copies"] == sum(n == name[i] for n in name.values()) and r["n_shingles"] == len(sets[i])
+        assert r["n_links"] == sum(name[i] in p for p in want)
+        best = max(near, default=None)
+        assert (r["match_id"], r["jaccard"]) == ((name[i], 1.0) if name[i] != i else (None, None) if best is None else (-best[1], pytest.approx(best[0])))
+    sig = {i: np.array(r["signature"]) for i, r in rows.items() if r["signature"]}
     assert np.mean([abs((sig[a] == sig[b]).mean() - j) for (a, b), j in pairs.items()]) < 0.05
 
 
-def test_fingerprints_give_all_pairs(documents, texts):
-    pairs = brute_pairs(texts, fingerprints.THRESHOLD)
-    rows = fingerprints.document_fingerprints(documents).collect()
-    got = {(r["doc_id"], p["doc_id"]): p["jaccard"] for r in rows for p in r["partners"]}
-    assert len(got) == sum(len(r["partners"]) for r in rows) and all((b, a) in got for a, b in got)
-    found = {p: j for p, j in got.items() if p[0] < p[1]}
-    assert len(found) >= 0.9 * len(pairs) > 0 and all(j == pytest.approx(pairs[p]) for p, j in found.items())
-
-
-def test_copies_name_each_other(spark):
+def test_copies_are_one_class(spark):
     base = prose(3, 200)
     near = base + " and one more word"
-    rows = [(i, base) for i in range(1, 7)] + [(i, near) for i in range(7, 11)] + [(11, prose(4, 200)), (11, base)]
-    got = {(r["doc_id"], r["n_shingles"], tuple(p["doc_id"] for p in r["partners"])) for r in fingerprints.document_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {(i, ps) for i, _, ps in got} == {(i, tuple(j for j in range(1, 12) if j != i)) for i in range(1, 12)} | {(11, ())}
+    rows = [(i, base) for i in range(1, 7)] + [(i, near) for i in range(7, 11)] + [(11, prose(4, 200)), (11, base), (None, base)]
+    got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["n_copies"] or 0, r["n_links"], r["match_id"] or 0) for r in fingerprints.document_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(0, 0, 0, 0, 0), (1, 1, 7, 1, 0)] + [(i, 1, 7, 1, 1) for i in range(2, 7)] + [(7, 7, 4, 1, 1)] + [(i, 7, 4, 1, 7) for i in range(8, 11)] + [(11, 1, 7, 1, 1), (11, 11, 1, 0, 0)]
+    assert got == want
+
+
+def test_buckets_are_compared_in_blocks(spark):
+    rows = [(i, b) for b in range(3) for i in range(b, 40)] + [(99, 5)]
+    shared = pairs_of.shared_bands(spark.createDataFrame(rows + rows[:7], "set_key long, band long"))
+    assert {(r["band"], r["n"]) for r in shared.collect()} == {(0, 40), (1, 39), (2, 38)}
+    want = set(itertools.combinations(range(40), 2))
+    roots = saved(spark.createDataFrame([(i, i % 4) for i in range(40)], "set_key long, root long"))
+    for block in (1, 6, 512):
+        assert sorted((r["a"], r["b"]) for r in pairs_of.band_pairs(shared, block).collect()) == sorted(want)
+        assert sorted((r["a"], r["b"]) for r in pairs_of.band_pairs(shared, block, roots).collect()) == sorted((a, b) for a, b in want if a % 4 != b % 4)
+
+
+def test_sets_of_one_key_are_told_apart(spark):
+    rows = [(1, 10, 3, 7, 1), (2, 20, 3, 7, 2), (3, 30, 3, 7, 1), (4, 40, 3, 8, 1)]
+    sketches, reps = pairs_of.classes(spark.createDataFrame(rows, "doc_id long, text_key long, n_shingles int, set_key long, check_key long"))
+    assert {(r["first"]["doc_id"], r["n"]) for r in reps.collect()} == {(1, 2), (2, 1), (4, 1)}
+    key = {r["doc_id"]: r["set_key"] for r in sketches.collect()}
+    assert key[1] == key[3] != key[2] and key[4] == 8
 
 
 def test_near_duplicate_groups(documents, texts):
-    want = brute_groups(texts, near_dedup.THRESHOLD)
-    got = {r["doc_id"]: r["group_id"] for r in near_dedup.dedup_report(documents).collect()}
+    """Groups are the components of all verified links between sets with a band in common."""
+    ids = sorted(texts)
+    h, at = shingle_sets(*flat(pa.array([texts[i] for i in ids])), 3)
+    reg = {i: x for i, x in zip(ids, near_dedup.registers(h, at).reshape(len(ids), -1, near_dedup.ROWS))}
+    linked = lambda a, b: bool(((reg[a] == reg[b]).all(axis=1) & reg[a].any(axis=1)).any())
+    want = brute_groups(texts, near_dedup.THRESHOLD, linked)
+    got = {r["doc_id"]: (r["group_id"], r["kept"]) for r in near_dedup.dedup_report(documents).collect()}
+    assert got == {i: (g, int(i == g)) for i, g in want.items()}
     pairs = brute_pairs(texts, near_dedup.THRESHOLD)
-    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs) > 0
-    assert all(want[i] == want[g] for i, g in got.items())
+    assert sum(got[a][0] == got[b][0] for a, b in pairs) >= 0.9 * len(pairs) > 0 and all(got[a][0] == got[b][0] for (a, b), j in pairs.items() if j >= 0.85)
+
+
+def test_different_texts_of_one_id_stay(spark):
+    a, b, c = prose(1, 200), prose(2, 200), prose(3, 200)
+    rows = [(1, a, "x"), (1, b, "x"), (2, b + " more", "x"), (3, c, "x"), (3, c, "w"), (3, c + " more", "x"), (4, a, "x"), (5, "", "x"), (5, "", "x"), (5, None, "x"), (None, a, "x")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, one string")
+    got = sorted(map(str, map(tuple, near_dedup.near_dedup(df).collect())))
+    stays = [r for r in rows if r[0] in (1, 5, None)]
+    stays.remove((5, "", "x"))
+    third = [s for s in ([(3, c, "w")], [(3, c + " more", "x")]) if sorted(map(str, stays + s)) == got]
+    assert len(third) == 1  # of the two near texts of 3 the one of the smaller hash
+    assert near_dedup.near_dedup(df.withColumn("doc_id", F.col("doc_id").cast("string"))).count() == len(got)
 
 
 def test_near_copies_that_share_a_passage_with_others(spark):
