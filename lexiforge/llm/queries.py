@@ -56,7 +56,7 @@ def bpe_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(table(spark, sf_dir, "embeddings"), every=topk.EVERY)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Operator 10, URL filters by dated lists.
 
 Method: temporal list join. The dated entries of each (list, pattern) become validity intervals, each from an "add" to
-the next entry; they are gathered by pattern, in order of time. A capture is looked up under every pattern that its URL
-can match (each suffix of its host, alone and with the first path segment), and the as-of condition picks the interval
-that holds its fetch time. So every capture is judged by the entries active when it was fetched, whatever came later.
+the next entry. A capture is looked up under every pattern that its URL can match (each suffix of its host, alone and
+with the first path segment) and that the lists have. An as-of join then merges captures and intervals of a pattern in
+order of time: the last interval that began before the fetch is the one that can hold it. So every capture is judged by the
+entries active when it was fetched, whatever came later. A pattern with over `hot` captures is salted: its captures are
+spread over so many parts, to each of which its intervals go.
 
 Patterns: a host, which also covers its subdomains, or a host and first path segment ("example.org/en"). Hosts are
 compared in lower case, without user, port and final dot. The verdict is "allow" if an allow entry is active, else
@@ -19,10 +21,13 @@ verdict "none" throughout. Further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.base import BROADCAST_KEYS, saved, table
+from lexiforge.llm.base import BROADCAST_KEYS, by_keys, discard, kept, operator, saved, table, with_small
+
+#: Captures of one pattern that one task merges with its intervals, and rows that one task takes apart, about.
+HOT, ROWS = 200_000, 50_000
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+/([^/?#]+)"
@@ -33,39 +38,54 @@ def host(url) -> F.Column:
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """(pattern, spans): per pattern, in order of time, the spans list, since, until of its active intervals; until is exclusive.
+    """pattern, list, since and until of the active intervals; until is exclusive, null where it is open.
 
     entries: entry_id, list ("allow" or "block"), pattern, action ("add" or "remove"), at.
     """
     e = entries.select("entry_id", "list", F.lower("pattern").alias("pattern"), "action", F.col("at").cast("timestamp_ntz").alias("since"))
     e = e.where("list is not null and pattern is not null and since is not null and action in ('add', 'remove')")
     e = e.withColumn("until", F.expr("lead(since) over (partition by list, pattern order by since, entry_id)"))
-    active = e.where("action = 'add' and (until is null or until > since)")
-    return active.groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct("since", "list", "until"))).alias("spans"))
+    return e.where("action = 'add' and (until is null or until > since)").select("pattern", "list", "since", "until")
 
 
-def judged(captures: DataFrame, entries: DataFrame, limit: int = BROADCAST_KEYS // 20) -> DataFrame:
+@operator
+def judged(captures: DataFrame, entries: DataFrame, limit: int = BROADCAST_KEYS // 10, hot: int = HOT) -> DataFrame:
     """page_id, url, fetched_at, verdict, rule, since, n_block and n_allow (active matching patterns) of every capture.
 
-    The patterns are broadcast where there are at most `limit`, and joined by shuffling beyond.
+    The list of patterns is broadcast where there are at most `limit`, and joined by shuffling beyond.
     """
-    spans = saved(intervals(entries), "spans")
+    active = saved(intervals(entries), "intervals")
+    known = saved(active.select("pattern").distinct(), "patterns")
     rows = captures.select("page_id", F.col("url").cast("string").alias("url"), F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at")).distinct()
+    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "captures")
+    spread = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS))
     parts = F.split(host("url"), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     segment = F.regexp_extract("url", SEGMENT, 1)
     longer = F.when(segment != "", F.transform(suffixes, lambda s: F.concat(s, F.lit("/"), F.lower(segment)))).otherwise(F.array().cast("array<string>"))
-    keys = F.when(host("url") != "", F.concat(suffixes, longer)).otherwise(F.array().cast("array<string>"))
-    keyed = rows.withColumn("pattern", F.explode_outer(keys))
-    hits = keyed.join(F.broadcast(spans) if spans.count() <= limit else spans, "pattern", "left")
-    now = F.filter("spans", lambda x: (x["since"] <= F.col("fetched_at")) & (x["until"].isNull() | (F.col("fetched_at") < x["until"])))
-    hits = hits.withColumn("now", F.coalesce(now, F.array().cast("array<struct<since:timestamp_ntz,list:string,until:timestamp_ntz>>")))
-    pick = lambda kind: F.min(F.when(F.exists("now", lambda x: x["list"] == kind), F.struct((-F.length("pattern")).alias("n"), F.col("pattern").alias("rule"), F.filter("now", lambda x: x["list"] == kind)[0]["since"].alias("since"))))
-    number = lambda kind: F.count_if(F.exists("now", lambda x: x["list"] == kind))
-    out = hits.groupBy("page_id", "url", "fetched_at").agg(pick("allow").alias("a"), pick("block").alias("b"), number("block").alias("n_block"), number("allow").alias("n_allow"))
+    keys = F.concat(suffixes, longer)
+    # spread by number of rows: what follows is work, not bytes
+    keyed = rows.where((host("url") != "") & F.col("fetched_at").isNotNull()).repartition(spread).select("row", "fetched_at", F.explode(keys).alias("pattern"))
+    hits = kept(by_keys(keyed, "pattern", known, True, limit))
+    many = saved(hits.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("pattern", F.ceil(F.col("n") / F.lit(hot)).cast("int").alias("parts")), "hot")
+    n = F.coalesce("parts", F.lit(1))
+    no = F.lit(None)
+    ask = with_small(hits, "pattern", many).select("pattern", F.pmod(F.xxhash64("row"), n).cast("int").alias("salt"), F.col("fetched_at").alias("at"), F.lit(1).alias("kind"), "row", no.cast("string").alias("list"), no.cast("timestamp_ntz").alias("until"))
+    had = with_small(active, "pattern", many).select("pattern", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"), F.col("since").alias("at"), F.lit(0).alias("kind"), no.cast("long").alias("row"), "list", "until")
+    w = Window.partitionBy("pattern", "salt").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda kind: F.last(F.when(F.col("list") == kind, F.struct(F.col("at").alias("since"), "until")), True).over(w)
+    seen = ask.unionByName(had).select("pattern", "at", "kind", "row", last("allow").alias("allow"), last("block").alias("block")).where("kind = 1")
+    holds = lambda c: F.coalesce(F.col(c).isNotNull() & (F.col(f"{c}.until").isNull() | (F.col("at") < F.col(f"{c}.until"))), F.lit(False))
+    pick = lambda c: F.min(F.when(holds(c), F.struct((-F.length("pattern")).alias("n"), F.col("pattern").alias("rule"), F.col(f"{c}.since").alias("since"))))
+    found = seen.groupBy("row").agg(pick("allow").alias("a"), pick("block").alias("b"), F.count_if(holds("block")).alias("n_block"), F.count_if(holds("allow")).alias("n_allow"))
+    found = saved(found.where("a is not null or b is not null"), "found")
+    hits.unpersist()
+    discard(active, known, many)
+    out = rows.join(found, "row", "left")
     by = F.coalesce("a", "b")
     verdict = F.when(F.col("a").isNotNull(), "allow").when(F.col("b").isNotNull(), "block").otherwise("none")
-    return out.select("page_id", "url", "fetched_at", verdict.alias("verdict"), by["rule"].alias("rule"), by["since"].alias("since"), "n_block", "n_allow")
+    zero = F.lit(0).cast("long")
+    return out.select("page_id", "url", "fetched_at", verdict.alias("verdict"), by["rule"].alias("rule"), by["since"].alias("since"), F.coalesce("n_block", zero).alias("n_block"), F.coalesce("n_allow", zero).alias("n_allow"))
 
 
 #: How the tables give lists and captures: an event names the page whose id is its own modulo the number of pages; its type

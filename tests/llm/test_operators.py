@@ -767,8 +767,8 @@ def test_suffixes_are_sorted():
 # -- 9
 
 
-@pytest.mark.parametrize("kind", ["lengths", "unit", "close"])
-def test_top_k_is_exact(spark, kind):
+@pytest.mark.parametrize("kind,every", [("lengths", 1), ("unit", 1), ("close", 1), ("lengths", 20)])
+def test_top_k_is_exact(spark, kind, every):
     rng = np.random.default_rng(9)
     v = rng.normal(size=(400, 12))
     if kind == "lengths":
@@ -780,10 +780,11 @@ def test_top_k_is_exact(spark, kind):
     v[7], v[8], v[9] = v[6], v[6], 0.0
     rows = [(i, x.tolist()) for i, x in enumerate(v)]
     got = defaultdict(list)
-    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 64).orderBy("vec_id", "rank").collect():
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 64, every).orderBy("vec_id", "rank").collect():
         got[r["vec_id"]].append((r["match_id"], r["score"]))
     s = np.round(np.einsum("id,jd->ij", v, v), 9)
-    for i in range(400):
+    assert set(got) == set(range(0, 400, every))
+    for i in got:
         want = sorted((j for j in range(400) if j != i), key=lambda j: (-s[i, j], j))[:5]
         assert [m for m, _ in got[i]] == want
         assert [x for _, x in got[i]] == pytest.approx([s[i, j] for j in want], abs=2e-9)
@@ -817,8 +818,8 @@ def test_lists_as_of_each_fetch(spark):
     pages = [(1, "http://www.bad.com/a", 1), (2, "http://www.bad.com/a", 2), (3, "https://u:p@BAD.com.:80/", 5), (4, "http://bad.com", 8), (5, "http://a.ok.bad.com/", 4), (6, "http://x.org/EN/1", 2), (7, "http://x.org/de/1", 2), (8, None, 2), (9, "no url", 2), (10, "http://y.org/", 3), (11, "http://notbad.com/", 3), (None, "http://bad.com/", 3), (1, "http://www.bad.com/a", 1)]
     c = spark.createDataFrame(pages, "page_id long, url string, day int").withColumn("fetched_at", F.expr("timestamp'2024-01-01' + make_dt_interval(day - 1)")).withColumn("verdict", F.lit("?"))
     c = c.unionByName(c.where("page_id = 2").withColumn("page_id", F.lit(20).cast("long")).withColumn("fetched_at", F.lit(None).cast("timestamp")))
-    for limit in (100, 0):
-        got = {r["page_id"]: (r["verdict"], r["rule"], r["n_block"], r["n_allow"]) for r in url_filter.judged(c, e, limit).collect()}
+    for limit, hot in ((100, 100), (0, 1), (0, 2)):
+        got = {r["page_id"]: (r["verdict"], r["rule"], r["n_block"], r["n_allow"]) for r in url_filter.judged(c, e, limit, hot).collect()}
         none = ("none", None, 0, 0)
         assert got == {1: none, 2: ("block", "bad.com", 1, 0), 3: ("block", "bad.com", 1, 0), 4: none, 5: ("allow", "ok.bad.com", 1, 1), 6: ("block", "x.org/en", 1, 0), 7: none, 8: none, 9: none, 10: none, 11: none, None: ("block", "bad.com", 1, 0), 20: none}
     assert {r["verdict"] for r in url_filter.judged(c, e.where("false")).collect()} == {"none"}
