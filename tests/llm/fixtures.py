@@ -1,9 +1,32 @@
 """Documents with every oddity the operators have to stand."""
 
+import ast
+import os
+import re
+
 from pyspark.sql import types as T
 
+from lexiforge import llm
+
+REQUIRED = {"doc_id", "text", "lang", "source", "n_chars"}
+
+
+def inner_names() -> list[str]:
+    """Every name that stands in a string of the operators' sources, so all they could use for columns of their own."""
+    folder, found = os.path.dirname(llm.__file__), set()
+    for name in sorted(os.listdir(folder)):
+        if name.endswith(".py") and name not in ("queries.py", "__init__.py"):
+            with open(os.path.join(folder, name)) as f:
+                tree = ast.parse(f.read())
+            prose = {id(n.value) for n in ast.walk(tree) if isinstance(n, ast.Expr)}
+            for node in ast.walk(tree):
+                if isinstance(node, ast.Constant) and isinstance(node.value, str) and id(node) not in prose and re.fullmatch(r"[a-z_]\w*( \w+(<.*>)?(, \w+ .*)?)?", node.value):
+                    found |= {x.split()[0] for x in node.value.split(", ")}
+    return sorted({x.lower() for x in found if len(x) < 16} - REQUIRED)
+
+
 #: Names that the operators use inside, as further columns of their input.
-CLASHING = ["id", "a", "b", "h", "pos", "at", "n", "group_id", "kept", "band", "bands", "rep", "set_key", "signature", "match_id", "sizes", "shard", "tie", "tokens", "entities", "count", "removed_words", "decoded", "tokenizer_version", "docs"]
+CLASHING = inner_names()
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
     + [T.StructField(c, T.StringType()) for c in CLASHING]

@@ -1,18 +1,25 @@
 """Nulls, empty and long texts, repeated rows, ties, empty tables and clashing columns, for every operator on documents."""
 
+import os
+
 import pytest
 from fixtures import SCHEMA, frame, messy
 
 from lexiforge.llm import bpe, fingerprints, language_id, near_dedup, packing, pii, suffix_dedup, token_rollup
+from lexiforge.llm.base import clean
 from lexiforge.llm.queries import RANKS
 
 OPERATORS = {
     "language_report": language_id.language_report,
     "keep_identified": language_id.keep_identified,
     "fingerprints": fingerprints.document_fingerprints,
+    "fingerprint_pairs": fingerprints.fingerprint_pairs,
+    "identify": lambda d: language_id.identify(d, language_id.train(["the", "le"], ["en", "fr"])),
+    "bpe_rollup": lambda d: token_rollup.corpus_rollup(d, {"v": RANKS}),
+    "groups": near_dedup.near_duplicate_groups,
     "dedup_report": near_dedup.dedup_report,
     "near_dedup": near_dedup.near_dedup,
-    "pack": packing.pack,
+    "pack": lambda d: packing.pack(d, RANKS),
     "bpe": lambda d: bpe.bpe_encode(d, RANKS),
     "rollup": token_rollup.corpus_rollup,
     "pii_report": pii.pii_report,
@@ -31,6 +38,42 @@ def test_empty_table(spark, name):
         assert out.columns == SCHEMA.names
 
 
+@pytest.mark.parametrize("name", OPERATORS)
+def test_ids_that_are_no_numbers(spark, name):
+    rows = spark.createDataFrame([("a", "one two three", "en", "s"), ("7", "one two three", "en", "s"), (None, None, None, None)], "doc_id string, text string, lang string, source string")
+    out = OPERATORS[name](rows).collect()
+    if name in SAME_COLUMNS:
+        assert {r["doc_id"] for r in out} >= {"a", "7"}
+
+
+def test_the_session_stays_as_it_is(spark):
+    before = dict(spark.conf.getAll)
+    out = near_dedup.near_dedup(frame(spark, messy()[:2]))
+    assert out.sparkSession is spark and dict(spark.conf.getAll) == before
+    out.createOrReplaceTempView("kept_documents")
+    assert spark.sql("select count(*) from kept_documents").first()[0] == 1
+
+
+def test_what_is_saved_lies_in_the_shared_folder_and_goes(spark):
+    language_id.keep_identified(frame(spark, messy()[:2]))
+    packing.pack(frame(spark, messy()[:2]), RANKS).collect()
+    there = os.path.join(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), f"lexiforge-{spark.sparkContext.applicationId}")
+    assert os.listdir(there)
+    clean()
+    assert not os.path.exists(there)
+
+
+def test_decoding(spark):
+    rows = [(1, [40, 716], "x"), (2, None, "x"), (3, [], "x"), (4, [None, 40, -5, 10**9], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<int>, decoded string")
+    out = bpe.bpe_decode(df, RANKS)
+    assert out.columns == ["doc_id", "tokens", "decoded", "decoded_"]
+    got = {r["doc_id"]: r["decoded_"] for r in out.collect()}
+    assert got[1] == bpe.bpe_decode(df.drop("decoded"), RANKS).where("doc_id = 1").first()["decoded"] != ""
+    assert got[2] == got[3] == "" and got[4] == got[1][:1]
+    assert bpe.bpe_decode(df.where("false"), RANKS).collect() == []
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return frame(spark, messy()).repartition(3).persist()
@@ -51,12 +94,12 @@ def test_fingerprints(docs):
     rows = fingerprints.document_fingerprints(docs).collect()
     assert len(rows) == len(messy())
     by = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
-    assert by[2]["match_id"] == 1 and by[2]["jaccard"] == 1.0 and by[1]["match_id"] is None
-    assert by[3]["match_id"] == 1 and 0.5 <= by[3]["jaccard"] < 1
+    assert by[2]["match_id"] == 1 and by[2]["jaccard"] == 1.0 and by[1]["match_id"] is None and by[1]["n_copies"] == 3
+    assert by[3]["match_id"] == 1 and 0.5 <= by[3]["jaccard"] < 1 and by[3]["class_id"] == 3 and by[1]["n_links"] >= 1
     assert by[13]["match_id"] == 6 and by[14]["match_id"] == 6
     for i in (4, 5, 8, 9):
-        assert by[i]["n_shingles"] == 0 and by[i]["signature"] is None and by[i]["match_id"] is None
-    assert all(r["match_id"] is None for r in rows if r["doc_id"] is None)
+        assert by[i]["n_shingles"] == 0 and by[i]["signature"] is None and by[i]["match_id"] is None and by[i]["n_links"] == 0
+    assert all(r["match_id"] is None and r["class_id"] is None for r in rows if r["doc_id"] is None)
 
 
 def test_near_dedup(docs):
@@ -77,11 +120,10 @@ def test_one_of_repeated_rows_stays(spark):
 
 
 def test_packing(docs):
-    rows = packing.pack(docs).collect()
+    rows = packing.pack(docs, RANKS).collect()
     ids = [i for r in rows for i in r["doc_ids"]]
     assert {i for i in ids if i is not None} == {r[0] for r in messy() if r[0] is not None}
-    assert None in ids and all(r["shard"] is None for r in rows if r["first_doc"] is None)
-    assert all(r["tokens"] + r["padding"] == packing.CAPACITY for r in rows)
+    assert ids[0] is None and all(r["n_tokens"] + r["padding"] == packing.CAPACITY for r in rows)
 
 
 def test_bpe(docs):

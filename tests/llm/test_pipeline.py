@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import pyarrow as pa
-from test_operators import brute_groups, brute_repeats, check_packed
+from test_operators import brute_groups, brute_repeats, check_packed, coder  # noqa: F401
 
 from lexiforge.llm import language_id, near_dedup, pii
 from lexiforge.llm.textops import flat
@@ -12,7 +12,7 @@ def test_stages_are_named_functions():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "repeated_passages", "personal_data", "packing"]
 
 
-def test_every_stage_takes_effect(spark, data):
+def test_every_stage_takes_effect(spark, data, coder):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     columns = docs.columns
     rows = {r["doc_id"]: r.asDict() for r in docs.collect()}
@@ -55,4 +55,4 @@ def test_every_stage_takes_effect(spark, data):
     assert any(new[i] != got[i]["text"] for i in got)
     # packing, and all at once
     whole = corpus_pipeline.run(spark, data).collect()
-    check_packed(whole, new)
+    check_packed(whole, new, coder[1])
