@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lexiforge.llm.base import long, map_arrow, map_text, operator, unused
 from lexiforge.llm.textops import flat, ragged, span_hashes
 
-LONG, MEMO, CHUNK = 64, 300_000, 1 << 20
+LONG, MEMO, CHUNK = 64, 150_000, 1 << 19
 #: Words of up to so many bytes are rows of one matrix.
 WIDTHS = (2, 4, 6, 8, 11, 14, 18, 24, 32, 48, LONG)
 NONE = np.int64(1 << 40)

@@ -18,6 +18,7 @@ names are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.llm.base import BROADCAST_KEYS, by_keys, discard, kept, long, map_arrow, map_text, operator, saved, unused, with_small
-from lexiforge.llm.pairs import band_edges, band_pairs, check_keys, classes, components, set_keys, shared_bands, text_key, verified
+from lexiforge.llm.pairs import BUCKET, band_edges, check_keys, classes, components, set_keys, shared_bands, text_key, verified
 from lexiforge.llm.textops import flat, mix, shingle_sets
 
 SHINGLE, P, R, ROWS, THRESHOLD = 3, 7, 10, 4, 0.5
 #: Candidates whose estimate is so far below the threshold are dropped (six standard errors at 128 registers are 0.26).
 SLACK = 0.25
+#: Registers that are compared in one numpy step.
+ACROSS = 1 << 22
 
 SKETCH = "doc_id long, text_key long, n_shingles int, set_key long, check_key long, registers binary, bands array<long>"
 
@@ -115,6 +118,80 @@ def _likely(least: float, p: int, r: int):
     return run
 
 
+def _codes(width: int):
+    """One byte a register, 0 where empty: equal registers have equal bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column("registers").to_pylist()), np.uint16).reshape(-1, width)
+            codes = np.where(x > 0, 1 + x % 255, 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([b.column("set_key"), pa.array([c.tobytes() for c in codes], pa.binary())], ["set_key", "codes"])
+
+    return run
+
+
+def _across(least: float, width: int):
+    """Pairs (a, b) of two blocks of a bucket, or of one block with itself, that have different roots and at least this share of equal codes.
+
+    Rows (band, lo, hi, i, set_key, root, codes) come by cell: blocks lo and hi of the band; i is the row's own.
+    """
+
+    def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lo, hi, own, key, root = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in ("lo", "hi", "i", "set_key", "root"))
+        reg = np.concatenate([np.frombuffer(b"".join(r.column("codes").to_pylist()), np.uint8).reshape(-1, width) for r in rows])
+        x, y = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        full, step = (reg > 0).sum(axis=1), max(1, ACROSS // max(1, len(y) * width))
+        for at in range(0, len(x), step):
+            some = x[at : at + step]
+            one, two = reg[some, None], reg[None, y]
+            both = ((one > 0) & (two > 0)).sum(axis=2)
+            equal = ((one == two) & (one > 0)).sum(axis=2)
+            ok = (equal >= least * (full[some, None] + full[None, y] - both)) & (root[some, None] != root[None, y])
+            if lo[0] == hi[0]:
+                ok &= key[some, None] < key[None, y]
+            i, j = np.nonzero(ok)
+            a, b = key[some[i]], key[y[j]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            cell = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("band", "lo", "hi")])
+            cuts = [0, *(np.flatnonzero((np.diff(cell) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                if end > start:
+                    if held and tuple(cell[:, start]) != now:
+                        yield from pairs(held)
+                        held = []
+                    now = tuple(cell[:, start])
+                    held.append(batch.slice(start, end - start))
+        if held:
+            yield from pairs(held)
+
+    return run
+
+
+def across_pairs(shared: DataFrame, roots: DataFrame, sketches: DataFrame, least: float, p: int, block: int = BUCKET) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of a common bucket with different roots, whose registers may be alike; a saved() table.
+
+    A bucket of more than about `block` members is split into blocks by hash, and each pair of blocks is a cell, so that no
+    task holds a whole bucket. Registers are compared there, so that pairs that can't be similar are never written.
+    """
+    rooted = with_small(shared.drop("n"), "set_key", roots).withColumn("root", F.coalesce("root", "set_key"))
+    mixed = rooted.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("_a"), F.max("root").alias("_z")).where("_a < _z")
+    rows = saved(rooted.join(mixed.select("band", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("nb")).hint("shuffle_merge"), "band"), "mixed")
+    nodes = saved(rows.select("set_key").distinct(), "nodes")
+    codes = map_arrow(by_keys(sketches.select("set_key", "registers"), "set_key", nodes, True).dropDuplicates(["set_key"]), _codes(1 << p), "set_key long, codes binary")
+    own = F.pmod(F.xxhash64("set_key"), F.col("nb")).cast("int").alias("i")
+    cells = rows.join(codes, "set_key").select("band", "set_key", "root", "codes", own, F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    cells = cells.select("band", F.least("i", "o").alias("lo"), F.greatest("i", "o").alias("hi"), "i", "set_key", "root", "codes")
+    cells = cells.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    out = saved(map_arrow(cells, _across(least, 1 << p), "a long, b long").distinct(), "across")
+    discard(rows, nodes)
+    return out
+
+
 def _candidates(edges: DataFrame, sketches: DataFrame, least: float, p: int, r: int) -> DataFrame:
     """The edges, a saved() table, whose estimated similarity is at least `least`; a saved() table."""
     nodes = saved(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
@@ -139,7 +216,7 @@ def _grouped(docs: DataFrame, shingle: int = SHINGLE, p: int = P, r: int = R, ro
     near = verified(docs, reps, likely, shingle, threshold)
     roots = saved(components(near.select("a", "b")), "roots")
     discard(edges, likely, near)
-    between = band_pairs(shared, roots=roots)
+    between = across_pairs(shared, roots, sketches, least, p)
     likely = _candidates(between, sketches, least, p, r)
     near = verified(docs, reps, likely, shingle, threshold)
     if not near.isEmpty():

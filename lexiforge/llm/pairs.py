@@ -73,27 +73,20 @@ def shared_bands(bands: DataFrame) -> DataFrame:
     return out
 
 
-def band_pairs(shared: DataFrame, block: int = BUCKET, roots: DataFrame | None = None) -> DataFrame:
+def band_pairs(shared: DataFrame, block: int = BUCKET) -> DataFrame:
     """Distinct candidate edges (a, b), a < b, from rows (band, set_key, n) of shared_bands(): all pairs of each bucket.
 
     A bucket of more than about `block` members is split into blocks by hash; each pair of its blocks is a row, so that
-    no task holds a whole bucket. roots: a saved() table (set_key, root); only pairs of different roots are formed then.
+    no task holds a whole bucket. The result is a saved() table.
     """
-    if roots is not None:
-        rooted = with_small(shared.drop("n"), "set_key", roots).withColumn("root", F.coalesce("root", "set_key"))
-        mixed = rooted.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("_a"), F.max("root").alias("_z")).where("_a < _z")
-        shared = rooted.join(mixed.select("band", "n").hint("shuffle_merge"), "band")
-    item = F.struct("set_key", "root") if roots is not None else F.struct("set_key")
     rows = shared.withColumn("nb", F.ceil(F.col("n") / F.lit(block)).cast("int")).withColumn("i", F.pmod(F.xxhash64("set_key"), F.col("nb")).cast("int"))
-    blocks = saved(rows.groupBy("band", "nb", "i").agg(F.sort_array(F.collect_list(item)).alias("m")), "blocks")
+    blocks = saved(rows.groupBy("band", "nb", "i").agg(F.sort_array(F.collect_list("set_key")).alias("m")), "blocks")
     within = blocks.where(F.size("m") > 1).select("m", F.posexplode("m").alias("p", "x")).select("x", F.explode(F.slice("m", F.col("p") + 2, F.size("m"))).alias("y"))
     split = blocks.where("nb > 1")
     left = split.where("i + 1 < nb").select("band", "m", F.explode(F.sequence(F.col("i") + 1, F.col("nb") - 1)).alias("j"))
     between = left.join(split.select("band", F.col("i").alias("j"), F.col("m").alias("other")), ["band", "j"]).select(F.explode("m").alias("x"), "other").select("x", F.explode("other").alias("y"))
     both = within.unionByName(between)
-    if roots is not None:
-        both = both.where("x.root <> y.root")
-    out = saved(both.select(F.least("x.set_key", "y.set_key").alias("a"), F.greatest("x.set_key", "y.set_key").alias("b")).distinct(), "pairs")
+    out = saved(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
     discard(blocks)
     return out
 

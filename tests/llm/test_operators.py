@@ -199,9 +199,13 @@ def test_buckets_are_compared_in_blocks(spark):
     assert {(r["band"], r["n"]) for r in shared.collect()} == {(0, 40), (1, 39), (2, 38)}
     want = set(itertools.combinations(range(40), 2))
     roots = saved(spark.createDataFrame([(i, i % 4) for i in range(40)], "set_key long, root long"))
+    reg = np.arange(128, dtype=np.uint16) + 1
+    odd = np.where(np.arange(128) % 8 > 0, 5000 + np.arange(128, dtype=np.uint16), reg).astype(np.uint16)
+    sketches = spark.createDataFrame([(i, bytearray((odd if i == 7 else reg).tobytes())) for i in range(40)] * 2, "set_key long, registers binary")
     for block in (1, 6, 512):
         assert sorted((r["a"], r["b"]) for r in pairs_of.band_pairs(shared, block).collect()) == sorted(want)
-        assert sorted((r["a"], r["b"]) for r in pairs_of.band_pairs(shared, block, roots).collect()) == sorted((a, b) for a, b in want if a % 4 != b % 4)
+        across = near_dedup.across_pairs(shared, roots, sketches, 0.25, 7, block)
+        assert sorted((r["a"], r["b"]) for r in across.collect()) == sorted((a, b) for a, b in want if a % 4 != b % 4 and 7 not in (a, b))
 
 
 def test_sets_of_one_key_are_told_apart(spark):
