@@ -58,6 +58,9 @@ class Settings:
     memory_min_similarity: int = 60
     max_per_page: int = 100
     spelling_candidates: int = 300
+    merge_segments: int = 8  # changes of an index that wait before they are merged into it
+    keep_versions: int = 10  # versions of an index that readers may still have open
+    broadcast_rows: int = 500_000  # most rows of a side that is broadcast
     presets: dict[str, dict[str, Any]] = field(default_factory=lambda: dict(PRESETS))
 
     def with_(self, **changes: Any) -> Settings:

@@ -37,6 +37,11 @@ class NotSupported(SearchError):
     pass
 
 
+class IndexConflict(SearchError):
+    def __init__(self, corpus: str, version: int):
+        super().__init__(f"version {version} of the index of {corpus!r} is already there", corpus=corpus, version=version)
+
+
 class QuerySyntax(SearchError):
     """A boolean query that can't be read; reason is one of the class's constructors."""
 

@@ -1,38 +1,58 @@
 """What has no built-in counterpart: similarity by common substrings, Metaphone, English stems, weighted edit distance.
 
-Each is a plain function with an Arrow-batched UDF around it. Callers apply the UDFs to few rows: candidates after
-top-k, or the distinct vocabulary.
+Each has an Arrow-batched UDF. Metaphone and the weighted distance treat a whole batch at once in numpy, so that they can
+be applied to tables; similarity and stems are for few values: candidates after a top-k, or the distinct vocabulary.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of the longer text from which common substrings are searched row by row in numpy.
+LONG = 64
+
+
+def _longest(a: bytes, b: bytes) -> tuple[int, int, int]:
+    """Length and places of the longest common substring, the first in a and then in b."""
+    best, bi, bj = 0, 0, 0
+    if len(b) >= LONG:
+        y, run = np.frombuffer(b, np.uint8), np.zeros(len(b) + 1, np.int32)
+        for i in range(len(a) - 1, -1, -1):
+            # run[j]: common run that starts at (i, j); rows from the end, so that the earliest start wins
+            run[:-1] = np.where(y == a[i], run[1:] + 1, 0)
+            j = int(run.argmax())
+            if run[j] >= max(1, best):
+                best, bi, bj = int(run[j]), i, j
+        return best, bi, bj
+    row = [0] * (len(b) + 1)
+    for i in range(len(a) - 1, -1, -1):
+        new = [0] * (len(b) + 1)
+        x = a[i]
+        for j in range(len(b) - 1, -1, -1):
+            if b[j] == x:
+                new[j] = row[j + 1] + 1
+                if new[j] >= best:
+                    best, bi, bj = new[j], i, j
+        row = new
+    return best, bi, bj
+
 
 def _common(a: bytes, b: bytes) -> int:
-    """Length of the longest common substring, the first in a and then in b, and of those to its left and right."""
-    todo, total = [(0, len(a), 0, len(b))], 0
+    """Length of the longest common substring and, again, of those to its left and right."""
+    todo, total = [(a, b)], 0
     while todo:
-        al, ah, bl, bh = todo.pop()
-        if al >= ah or bl >= bh:
+        x, y = todo.pop()
+        if not x or not y:
             continue
-        best, bi, bj = 0, 0, 0
-        row = [0] * (bh - bl + 1)
-        # row[j]: common run that starts at (i, j); rows from the end, so that the earliest start wins with >=
-        for i in range(ah - 1, al - 1, -1):
-            new = [0] * (bh - bl + 1)
-            x = a[i]
-            for j in range(bh - bl - 1, -1, -1):
-                if b[bl + j] == x:
-                    new[j] = row[j + 1] + 1
-                    if new[j] >= best:
-                        best, bi, bj = new[j], i, bl + j
-            row = new
-        if best:
-            total += best
-            todo += [(al, bi, bl, bj), (bi + best, ah, bj + best, bh)]
+        n, i, j = _longest(x, y)
+        if n:
+            total += n
+            todo += [(x[:i], y[:j]), (x[i + n :], y[j + n :])]
     return total
 
 
@@ -42,123 +62,154 @@ def similar_text(a: str, b: str) -> float:
     return 200.0 * _common(x, y) / (len(x) + len(y)) if x or y else 0.0
 
 
-_V = set("AEIOU")
-_FRONT = set("EIY")
+def _flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and len+1 offsets; null counts as empty."""
+    arr = pa.array([], pa.string()) if not len(arr) else arr.cast(pa.string()).fill_null("")
+    offs = np.frombuffer(arr.buffers()[1], np.int32)[arr.offset : arr.offset + len(arr) + 1] if len(arr) else np.zeros(1, np.int32)
+    data = np.frombuffer(arr.buffers()[2] or b"", np.uint8)
+    return data[offs[0] : offs[-1]], (offs - offs[0]).astype(np.int64)
+
+
+#: No letter, so many times, between two words: rules look so far.
+_GAP = 5
+
+
+def metaphones(words: pa.Array) -> pa.Array:
+    """Metaphone codes of whole strings, all at once; what is no letter is passed over; null stays null."""
+    data, offs = _flat(pc.utf8_upper(pc.replace_substring(words.cast(pa.string()), "ß", "ss")))
+    keep = (data >= 65) & (data <= 90)
+    left = np.concatenate(([0], np.cumsum(keep)))[offs]
+    n, count = len(words), np.diff(left)
+    row = np.repeat(np.arange(n), count)
+    place = np.arange(len(row)) + _GAP * (row + 1)
+    w = np.zeros(len(row) + _GAP * (n + 1), np.uint8)
+    w[place] = data[keep]
+    at = lambda k: w[place + k]
+    isin = lambda k, letters: np.isin(at(k), np.frombuffer(letters.encode(), np.uint8))
+    c, before, nx, nx2, nx3 = at(0), at(-1), at(1), at(2), at(3)
+    is_ = lambda x, letter: x == ord(letter)
+    i = np.arange(len(row)) - left[:-1][row]  # place in the word
+    one, skip = np.zeros(len(row), np.uint8), np.zeros(len(row), np.int8)
+
+    def rule(when: np.ndarray, code: str = "", skips: int = 0) -> np.ndarray:
+        """Sets the code of letters that no rule before has taken."""
+        new = when & ~taken
+        one[new] = ord(code) if code else 0
+        skip[new] = skips
+        taken[new] = True
+        return new
+
+    # how a word begins
+    two = c.astype(np.int32) << 8 | nx
+    pair = lambda *x: np.isin(two, [ord(p[0]) << 8 | ord(p[1]) for p in x])
+    begins = i == 0
+    start = np.zeros(n, np.int64)
+    for when, first in ((begins & pair("AE", "WH"), 2), (begins & pair("GN", "KN", "PN", "WR"), 1), (begins & is_(c, "X"), 1)):
+        start[row[when]] = first
+    begin = start[row]
+    taken = i < begin
+    one[taken & begins & pair("AE")] = ord("E")
+    one[taken & begins & pair("WH")] = ord("W")
+    one[taken & begins & is_(c, "X")] = ord("S")
+
+    vowel, front, h = "AEIOU", isin(1, "EIY"), is_(nx, "H")
+    rule((c == before) & ~is_(c, "C") & (i > begin))
+    first = isin(0, vowel) & (i == begin) & (begin == 0)
+    one[first & ~taken] = c[first & ~taken]
+    taken |= isin(0, vowel)
+    rule(is_(c, "B") & is_(before, "M") & (nx == 0))
+    k = is_(c, "C")
+    rule(k & front & is_(nx, "I") & is_(nx2, "A"), "X")
+    rule(k & front & ~is_(before, "S"), "S")
+    rule(k & front)
+    rule(k & h & (is_(nx2, "R") | is_(before, "S")), "K", 1)
+    rule(k & h, "X", 1)
+    rule(k, "K")
+    rule(is_(c, "D") & is_(nx, "G") & isin(2, "EIY"), "J", 1)
+    rule(is_(c, "D"), "T")
+    k = is_(c, "G")
+    rule(k & h & (isin(-3, "BDH") | is_(at(-4), "H")))
+    rule(k & h, "F", 1)
+    rule(k & is_(nx, "N") & ((nx2 == 0) | is_(nx2, "E") & is_(nx3, "D") & (at(4) == 0)))
+    rule(k & is_(nx, "N"), "K")
+    rule(k & front & ~is_(before, "G"), "J")
+    rule(k, "K")
+    rule(is_(c, "H") & isin(1, vowel) & ~isin(-1, "CGPST"), "H")
+    rule(is_(c, "H"))
+    rule(is_(c, "K") & is_(before, "C"))
+    rule(is_(c, "P") & h, "F", 1)
+    rule(is_(c, "Q"), "K")
+    k = is_(c, "S")
+    rule(k & is_(nx, "I") & isin(2, "OA"), "X")
+    rule(k & h, "X", 1)
+    rule(k & is_(nx, "C") & is_(nx2, "H") & is_(nx3, "W"), "X", 2)
+    k = is_(c, "T")
+    rule(k & is_(nx, "I") & isin(2, "OA"), "X")
+    rule(k & h, "0", 1)
+    rule(k & is_(nx, "C") & is_(nx2, "H"))
+    rule(is_(c, "V"), "F")
+    rule(isin(0, "WY") & ~isin(1, vowel))
+    x = rule(is_(c, "X"), "K")
+    rule(is_(c, "Z"), "S")
+    one = np.where(taken, one, c)
+
+    # a letter that the one before has taken with it says nothing; it begins no rule that skips but those within that reach
+    gone = np.zeros(len(row), bool)
+    for by in (1, 2):
+        hit = np.flatnonzero(skip >= by) + by
+        gone[hit] = True
+    size = np.where((one > 0) & ~gone, 1 + x.astype(np.int64), 0)
+    total = np.concatenate(([0], np.cumsum(size)))
+    out = np.zeros(total[-1], np.uint8)
+    out[total[:-1][size > 0]] = one[size > 0]
+    out[total[:-1][size == 2] + 1] = ord("S")
+    text = pa.StringArray.from_buffers(n, pa.py_buffer(total[left].astype(np.int32)), pa.py_buffer(out))
+    return pc.if_else(words.is_valid(), text, pa.scalar(None, pa.string())) if words.null_count else text
 
 
 def metaphone(word: str) -> str:
-    """Metaphone code of a whole string; what is no letter is passed over."""
-    w = "".join(c for c in word.upper() if "A" <= c <= "Z")
-    n, out, i = len(w), [], 0
-    at = lambda k: w[k] if 0 <= k < n else ""
-    if w[:2] in ("AE", "GN", "KN", "PN", "WR"):
-        i = 1
-        if w[:2] == "AE":
-            out.append("E")
-            i = 2
-    elif w[:1] == "X":
-        out.append("S")
-        i = 1
-    elif w[:2] == "WH":
-        out.append("W")
-        i = 2
-    start = i
-    while i < n:
-        c, nx = w[i], at(i + 1)
-        if c == at(i - 1) and c != "C" and i > start:
-            i += 1
-            continue
-        skip = 0
-        if c in _V:
-            if i == start and not out:
-                out.append(c)
-        elif c == "B":
-            if not (at(i - 1) == "M" and i == n - 1):
-                out.append("B")
-        elif c == "C":
-            if nx and nx in _FRONT:
-                if nx == "I" and at(i + 2) == "A":
-                    out.append("X")
-                elif at(i - 1) != "S":
-                    out.append("S")
-            elif nx == "H":
-                out.append("K" if at(i + 2) == "R" or at(i - 1) == "S" else "X")
-                skip = 1
-            else:
-                out.append("K")
-        elif c == "D":
-            if nx == "G" and at(i + 2) and at(i + 2) in _FRONT:
-                out.append("J")
-                skip = 1
-            else:
-                out.append("T")
-        elif c == "G":
-            if nx == "H":
-                if not (at(i - 3) in ("B", "D", "H") or at(i - 4) == "H"):
-                    out.append("F")
-                    skip = 1
-            elif nx == "N":
-                if not (i + 2 >= n or at(i + 2) == "E" and at(i + 3) == "D" and i + 4 >= n):
-                    out.append("K")
-            elif nx and nx in _FRONT and at(i - 1) != "G":
-                out.append("J")
-            else:
-                out.append("K")
-        elif c == "H":
-            if nx in _V and at(i - 1) not in ("C", "G", "P", "S", "T"):
-                out.append("H")
-        elif c == "K":
-            if at(i - 1) != "C":
-                out.append("K")
-        elif c == "P":
-            out.append("F" if nx == "H" else "P")
-            skip = nx == "H"
-        elif c == "Q":
-            out.append("K")
-        elif c == "S":
-            if nx == "I" and at(i + 2) in ("O", "A"):
-                out.append("X")
-            elif nx == "H":
-                out.append("X")
-                skip = 1
-            elif nx == "C" and at(i + 2) == "H" and at(i + 3) == "W":
-                out.append("X")
-                skip = 2
-            else:
-                out.append("S")
-        elif c == "T":
-            if nx == "I" and at(i + 2) in ("O", "A"):
-                out.append("X")
-            elif nx == "H":
-                out.append("0")
-                skip = 1
-            elif not (nx == "C" and at(i + 2) == "H"):
-                out.append("T")
-        elif c == "V":
-            out.append("F")
-        elif c in "WY":
-            if nx in _V and nx:
-                out.append(c)
-        elif c == "X":
-            out.append("KS")
-        elif c == "Z":
-            out.append("S")
-        else:  # F, J, L, M, N, R
-            out.append(c)
-        i += 1 + int(skip)
-    return "".join(out)
+    return metaphones(pa.array([word], pa.string()))[0].as_py()
+
+
+#: Cells of the matrix of one step of weighted distances.
+_CELLS = 1 << 22
+
+
+def weighted_distances(a: pa.Array, b: pa.Array, insert: int = 1, replace: int = 1, delete: int = 1) -> pa.Array:
+    """Edit distances of lower-case UTF-8 bytes with costs for turning a into b; null where one is null.
+
+    All pairs go through one row of their matrices at a time; pairs of about one length share a step.
+    """
+    x, y = _flat(pc.utf8_lower(a.cast(pa.string()))), _flat(pc.utf8_lower(b.cast(pa.string())))
+    n, m = np.diff(x[1]), np.diff(y[1])
+    out, order, lo = np.zeros(len(n), np.int64), np.lexsort((n, m)), 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and (hi + 1 - lo) * (m[order[hi]] + 1) <= _CELLS and hi - lo < 4096:
+            hi += 1
+        rows = order[lo:hi]
+        wide, tall, each = int(m[rows].max()), int(n[rows].max()), np.arange(hi - lo)
+        cols = np.arange(wide)
+        right = np.where(cols < m[rows][:, None], y[0][np.minimum(y[1][:-1][rows][:, None] + cols, max(0, len(y[0]) - 1))], 0) if len(y[0]) else np.zeros((hi - lo, wide), np.uint8)
+        steps = np.arange(wide + 1) * insert
+        row = np.tile(steps, (hi - lo, 1))
+        best = row[each, m[rows]]
+        for i in range(tall):
+            c = x[0][np.minimum(x[1][:-1][rows] + i, len(x[0]) - 1)]
+            new = np.empty_like(row)
+            new[:, 0] = (i + 1) * delete
+            new[:, 1:] = np.minimum(row[:, :-1] + (right != c[:, None]) * replace, row[:, 1:] + delete)
+            # insertions run from left to right: the least so far, with their cost taken off
+            row = np.minimum.accumulate(new - steps, axis=1) + steps
+            best = np.where(n[rows] == i + 1, row[each, m[rows]], best)
+        out[rows] = best
+        lo = hi
+    some = a.is_valid().to_numpy(zero_copy_only=False) & b.is_valid().to_numpy(zero_copy_only=False)
+    return pa.array(out.astype(np.int32), mask=~some)
 
 
 def weighted_distance(a: str, b: str, insert: int = 1, replace: int = 1, delete: int = 1) -> int:
-    """Edit distance of lower-case UTF-8 bytes with costs for turning a into b."""
-    x, y = a.lower().encode(), b.lower().encode()
-    row = [j * insert for j in range(len(y) + 1)]
-    for i, c in enumerate(x, 1):
-        new = [i * delete]
-        for j, d in enumerate(y, 1):
-            new.append(min(row[j - 1] + (0 if c == d else replace), row[j] + delete, new[-1] + insert))
-        row = new
-    return row[-1]
+    return weighted_distances(pa.array([a]), pa.array([b]), insert, replace, delete)[0].as_py()
 
 
 # -- English stems, Porter's second algorithm
@@ -259,7 +310,7 @@ def similar_text_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def metaphone_udf(c: pd.Series) -> pd.Series:
-    return c.map(metaphone, na_action="ignore")
+    return pd.Series(metaphones(pa.array(c.tolist(), pa.string())).to_pylist(), dtype=object)
 
 
 @F.pandas_udf(T.StringType())
@@ -270,7 +321,7 @@ def porter2_udf(c: pd.Series) -> pd.Series:
 def weighted_distance_udf(insert: int, replace: int, delete: int):
     @F.pandas_udf(T.IntegerType())
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else weighted_distance(x, y, insert, replace, delete) for x, y in zip(a, b)], dtype="Int32")
+        return pd.Series(weighted_distances(pa.array(a.tolist(), pa.string()), pa.array(b.tolist(), pa.string()), insert, replace, delete).to_pylist(), dtype="Int32")
 
     return distance
 

@@ -2,8 +2,8 @@
 
     idf = ln((N - df + 0.5) / (df + 0.5) + 1);  tf = f (k1 + 1) / (f + k1 (1 - b + b length / average))
 
-The query's terms are literals, so the postings scan is pruned by them; their document counts come from the dictionary.
-One shuffle adds up the scores.
+The query's terms are literals, so the postings scan is pruned by them; their document counts come from the dictionary, and
+lengths stand in the postings, so that no table of documents is read. One shuffle adds up the scores.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def matches(index: Index, terms: Sequence[str], settings: Settings = DEFAULT, di
     if settings.max_postings is not None:
         postings = postings.orderBy(F.desc("frequency"), "model_id", "term").limit(settings.max_postings)
     counts = (dictionary if dictionary is not None else index.terms).where(wanted)
-    return postings.join(index.documents, "model_id").join(F.broadcast(counts), "term").crossJoin(F.broadcast(index.meta))
+    return postings.join(F.broadcast(counts), "term").crossJoin(F.broadcast(index.meta))
 
 
 def scores(index: Index, terms: Sequence[str], settings: Settings = DEFAULT, dictionary: DataFrame | None = None) -> DataFrame:
@@ -60,10 +60,15 @@ def count(index: Index, terms: Sequence[str]) -> int:
 def search_many(index: Index, queries: DataFrame, limit: int, settings: Settings = DEFAULT) -> DataFrame:
     """query_id, rank, model_id, score: many queries (query_id, term; one row a term) in one plan.
 
-    All share one scan of the postings and one shuffle; the number of queries isn't bounded by the driver.
+    All share one scan of the postings and one shuffle; the number of queries isn't bounded by the driver. Up to
+    settings.broadcast_rows terms of queries are broadcast to the postings, more are joined by shuffling.
     """
-    q = queries.select("query_id", "term").distinct().join(index.terms, "term")
-    m = q.join(index.postings, "term").join(index.documents, "model_id").crossJoin(F.broadcast(index.meta))
+    q = queries.select("query_id", "term").distinct()
+    small = q.limit(settings.broadcast_rows + 1).count() <= settings.broadcast_rows
+    words = q.select("term").distinct()
+    counts = index.terms.join(F.broadcast(words) if small else words, "term", "left_semi")
+    q = q.join(F.broadcast(counts) if small else counts, "term")
+    m = index.postings.join(F.broadcast(q) if small else q, "term").crossJoin(F.broadcast(index.meta))
     part = contribution(F.col("frequency"), F.col("doc_count"), F.col("total_docs"), F.col("doc_length"), _average(F.col("avg_doc_length")), settings.k1, settings.b)
     s = m.groupBy("query_id", "model_id").agg(F.round(F.sum(part), 6).alias("score"))
     return s.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, model_id)")).where(F.col("rank") <= limit).select("query_id", "rank", "model_id", "score")

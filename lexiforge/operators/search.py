@@ -491,7 +491,8 @@ class Search:
             return self.df.limit(0)
         best = scores.orderBy(F.desc("score"), "model_id").limit(most or (size + start) * 2)
         top = best.agg(F.max("score").alias("_top"))
-        rows = self.df.join(F.broadcast(best), F.col(self.key).cast("string") == F.col("model_id")).crossJoin(F.broadcast(top))
+        few = (most or (size + start) * 2) <= self.settings.broadcast_rows
+        rows = self.df.join(F.broadcast(best) if few else best, F.col(self.key).cast("string") == F.col("model_id")).crossJoin(F.broadcast(top))
         rows = rows.withColumn("_raw_score", F.col("score")).withColumn("_score", F.when(F.col("_top") > 0, F.round(F.col("score") / F.col("_top"), 6)).otherwise(F.col("score")))
         rows = rows.orderBy(F.desc("_raw_score"), "model_id").drop("model_id", "score", "_top")
         return (rows.offset(start) if start else rows).limit(size)

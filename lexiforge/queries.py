@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from lexiforge.config import DEFAULT, INDEX_STOP_WORDS
 from lexiforge.functions import expressions as X
-from lexiforge.functions import patterns as P
 from lexiforge.functions.phonetic import similar_text_udf
 from lexiforge.operators import bm25
 from lexiforge.operators import matching as M
-from lexiforge.operators.federate import Corpus, Federated, MemorySearch
-from lexiforge.operators.search import Search
+from lexiforge.operators.federate import Corpus, Federated, IndexEngine, MemorySearch
+from lexiforge.operators.search import Search, render_highlighted
 from lexiforge.sources import index as I
 from lexiforge.sources.shared import scratch, table
 from lexiforge.streaming.index_stream import index_stream
@@ -67,6 +66,31 @@ n as (select *, round(_raw_score / max(_raw_score) over (), 6) _score from s)
 select {show}, _raw_score, _score from n order by _score desc, _raw_score desc, {order or "recall desc"}, {key} limit {size} offset {start}"""
 
 
+def similar_sql(pairs: str) -> str:
+    """CTEs, to follow "with recursive": sim(a, b, percent) of the pairs (a, b) that a query gives.
+
+    The longest common substring, the first in a and then in b, and again of what lies to its left and to its right.
+    """
+    common = "len(list_filter(range(1, least(len(x) - i, len(y) - j) + 1), lambda l: substr(x, i + 1, l) = substr(y, j + 1, l)))"
+    m = f"list_max(flatten(list_transform(range(len(x)), lambda i: list_transform(range(len(y)), lambda j: {{'l': {common}, 'i': -i, 'j': -j}}))))"
+    return f"""sp as (select distinct a, b from ({pairs})),
+sr as (select a, b, a as x, b as y, {m} as m from sp
+  union all select a, b, x, y, {m} from (select a, b, u.x, u.y from (select a, b, unnest([{{'x': left(x, -m.i), 'y': left(y, -m.j)}}, {{'x': substr(x, m.l - m.i + 1), 'y': substr(y, m.l - m.j + 1)}}]) as u from sr where m.l > 0)) where x <> '' and y <> ''),
+sim as (select a, b, cast(200 as double) * coalesce(sum(m.l), 0) / (len(a) + len(b)) as percent from sr group by a, b)"""
+
+
+def similar_ranked_sql(term: str, weight: float, match: str, order: str, typos: int = 2, size: int = 15) -> str:
+    """A search of p_name with all tiers: equal, prefix, contained, and the better of similarity and edit distance."""
+    t, v = q(term.lower()), "lower(p_name)"
+    rest = f"greatest(percent / 100 * 50 * {weight}, case when levenshtein({v}, {t}) <= {typos} then greatest(0, 20 - 4 * levenshtein({v}, {t})) * {weight} else 0 end)"
+    raw = f"case when {v} = {t} then {100.0 * weight} when starts_with({v}, {t}) then {80.0 * weight} when contains({v}, {t}) then {60.0 * weight} else {rest} end"
+    return f"""with recursive {similar_sql(f"select {t} as a, lower(p_name) as b from part")},
+c as (select *, {order} as recall from part where {match} order by recall desc, p_partkey limit {DEFAULT.max_candidates}),
+s as (select *, round(cast({raw} as double), 2) as _raw_score from c join sim on b = lower(p_name)),
+n as (select *, round(_raw_score / max(_raw_score) over (), 6) as _score from s)
+select p_partkey, p_name, _raw_score, _score from n order by _score desc, _raw_score desc, recall desc, p_partkey limit {size}"""
+
+
 # -- matching
 
 _RING = {"p_name": 10}
@@ -87,30 +111,46 @@ def matches(spark: SparkSession, d: str, algorithm: str, term: str, **options) -
     return table(spark, d, "part").where(M.fuzzy_match("p_name", term, algorithm, **options)).select("p_partkey", "p_name")
 
 
-def _match_sql(patterns: list[str]) -> str:
-    return f"select p_partkey, p_name from part where {any_like('p_name', patterns)}"
+def _match_sql(patterns: str) -> str:
+    return f"select p_partkey, p_name from part where {any_like('p_name', patterns.split())}"
 
 
-@query(_match_sql(P.fuzzy_patterns("rnig", pruned=False)))
+#: The patterns of each algorithm, written out.
+RNIG = "%rnig% rnig% %nig% %r%ig% %rn%g% %rni% %_nig% %r_ig% %rn_g% %rni_% %nrig% %ring% %rngi% r%ig rn%g"
+WDGET = (
+    "%wdget% %dget% %wget% %wdet% %wdgt% %wdge% %_wdget% %w_dget% %wd_get% %wdg_et% %wdge_t% %wdget_% %_dget% %w_get% %wd_et% %wdg_t% %wdge_% "
+    "%get% %det% %dgt% %dge% %wet% %wgt% %wge% %wdt% %wde% %wdg% %dwget% %wgdet% %wdegt% %wdgte%"
+)
+PROMO = "%promo% promo% %romo% %p%omo% %pr%mo% %pro%o% %prom% %_romo% %p_omo% %pr_mo% %pro_o% %prom_% %rpomo% %pormo% %prmoo% %proom% p%mo pr%o"
+RING = "%ring% ring% %ing% %r%ng% %ri%g% %rin% %_ing% %r_ng% %ri_g% %rin_% %irng% %rnig% %rign% r%ng ri%g"
+SMAL = "%smal% smal% %mal% %s%al% %sm%l% %sma% %_mal% %s_al% %sm_l% %sma_% %msal% %saml% %smla% s%al sm%l"
+
+
+@query(_match_sql(RNIG))
 def fuzzy_patterns(spark, d):
     return matches(spark, d, "fuzzy", "rnig")
 
 
-@query(_match_sql(P.levenshtein_patterns("wdget", 2, pruned=False)))
+@query(_match_sql(WDGET))
 def levenshtein_patterns(spark, d):
     return matches(spark, d, "levenshtein", "wdget", max_distance=2)
 
 
-@query(_match_sql(P.trigram_patterns("gadget")))
+@query(_match_sql("%ggagadadgdgegetet% %g% %ga% %gad% %adg% %dge% %get% %et%"))
 def trigram_patterns(spark, d):
     return matches(spark, d, "trigram", "gadget")
 
 
-@query(_match_sql(P.soundex_patterns("redd")))
+@query(_match_sql("%redd% red% %rdd%"))
 def soundex_patterns(spark, d):
     return matches(spark, d, "soundex", "redd")
 
 
+@query(_match_sql(" ".join(RNIG.split()[:10])))
+def capped_patterns(spark, d):
+    return part(spark, d).search("rnig").search_in(["p_name"]).using("fuzzy").max_patterns(10).matched().select("p_partkey", "p_name")
+
+
 @query(f"select p_partkey, p_name from part where {has('p_name', 'small r')}")
 def similar_text_recall(spark, d):
     return matches(spark, d, "similar_text", " Small R ")
@@ -137,7 +177,17 @@ def levenshtein_bytes(spark, d):
     return table(spark, d, "customer").select("c_custkey", M.levenshtein_distance(X.text("c_name"), "Customer#00000001", in_bytes=True).alias("distance"))
 
 
-@query()
+def _costs_sql(a: str, b: str, insert: int, replace: int, delete: int) -> str:
+    """Row after row of the matrix; insertions as the least of all starts to the left."""
+    step = f"list_transform(range(len({b}) + 1), lambda j: case when j = 0 then row[1] + {delete} else least(row[j] + case when substr({a}, i, 1) = substr({b}, j, 1) then 0 else {replace} end, row[j + 1] + {delete}) end)"
+    least = f"list_transform(range(len({b}) + 1), lambda j: list_min(list_transform(range(j + 1), lambda k: t[k + 1] + (j - k) * {insert})))"
+    return f"""with recursive n as (select distinct {a} as a, {b} as b from part),
+r as (select a, b, 0 as i, list_transform(range(len(b) + 1), lambda j: j * {insert}) as row from n
+  union all select a, b, i, {least.replace(b, "b")} from (select a, b, i + 1 as i, row, {step.replace(a, "a").replace(b, "b").replace("substr(a, i,", "substr(a, i + 1,")} as t from r where i < len(a)))
+select a, row[len(b) + 1] as distance from r where i = len(a)"""
+
+
+@query(f"select p_name, cast(distance as integer) as distance from (select distinct p_name from part) join ({_costs_sql('lower(p_name)', q('ring'), 2, 1, 2)}) on a = lower(p_name)")
 def levenshtein_costs(spark, d):
     names = table(spark, d, "part").select("p_name").distinct()
     return names.select("p_name", M.levenshtein_distance(X.text("p_name"), "ring", insert=2, replace=1, delete=2).alias("distance"))
@@ -170,19 +220,32 @@ def soundex_native(spark, d):
     return matches(spark, d, "soundex", "smoll", native=True)
 
 
-@query()
+#: The sounds of the words of part names: silent vowels; W only before a vowel; J for DG, and for G, before E and I.
+_SOUNDS = """with w(word, sound) as (values ('blue', 'BL'), ('cold', 'KLT'), ('hot', 'HT'), ('large', 'LRJ'), ('new', 'N'), ('old', 'OLT'), ('red', 'RT'), ('small', 'SML'),
+ ('anvil', 'NFL'), ('bolt', 'BLT'), ('gear', 'JR'), ('gizmo', 'JSM'), ('plate', 'PLT'), ('ring', 'RNK'), ('rod', 'RT'), ('widget', 'WJT')),
+n as (select p_partkey, p_name, split_part(p_name, ' ', 1) as one, split_part(p_name, ' ', 2) as two from part),
+s as (select p_partkey, p_name, case when ends_with(one, 'd') and starts_with(two, 'g') then left(a.sound, -1) when one = 'new' and two = 'anvil' then 'NW' else a.sound end
+        || case when one = 'new' and two = 'widget' then 'JT' else b.sound end as p_name_metaphone from n join w a on a.word = one join w b on b.word = two)"""
+
+
+@query(f"{_SOUNDS} select * from s where p_name_metaphone = 'SMLRNK'")
 def metaphone_match(spark, d):
-    names = M.add_shadow_column(table(spark, d, "part").select("p_name").distinct(), "p_name")
-    return table(spark, d, "part").join(names, "p_name").where(M.fuzzy_match("p_name", "smal rink", "metaphone")).select("p_partkey", "p_name", "p_name_metaphone")
+    parts = M.add_shadow_column(table(spark, d, "part").select("p_partkey", "p_name"), "p_name")
+    return parts.where(M.fuzzy_match("p_name", "smal rink", "metaphone"))
 
 
-@query()
+@query(f"{_SOUNDS} select * from s")
+def shadow_column(spark, d):
+    return M.add_shadow_column(table(spark, d, "part").select("p_partkey", "p_name"), "p_name")
+
+
+@query(f"with recursive {similar_sql(f'select {q("smal rign")} as a, lower(p_name) as b from part')} select distinct p_name, round(percent, 6) as percent from part join sim on b = lower(p_name)")
 def similar_text_score(spark, d):
     names = table(spark, d, "part").select("p_name").distinct()
     return names.select("p_name", F.round(similar_text_udf(F.lit("smal rign"), F.lower("p_name")), 6).alias("percent"))
 
 
-@query()
+@query(similar_ranked_sql("smal rign", 10, f"({any_like('p_name', SMAL.split())} or {any_like('p_name', '%rign% rign% %ign% %r%gn% %ri%n% %rig% %_ign% %r_gn% %ri_n% %rig_% %irgn% %rgin% %ring% r%gn ri%n'.split())})", "0"))
 def fuzzy_ranked(spark, d):
     return named(part(spark, d).search("smal rign").search_in(_RING).using("fuzzy").tokenize())
 
@@ -190,7 +253,7 @@ def fuzzy_ranked(spark, d):
 # -- predicates
 
 
-@query(f"select p_partkey, p_name, p_type from part where {any_like('p_name', P.fuzzy_patterns('promo', False))} or {any_like('p_type', P.fuzzy_patterns('promo', False))}")
+@query(f"select p_partkey, p_name, p_type from part where {any_like('p_name', PROMO.split())} or {any_like('p_type', PROMO.split())}")
 def multi_column_or(spark, d):
     return table(spark, d, "part").transform(M.where_fuzzy_multiple(["p_name", "p_type"], "promo", "fuzzy")).select("p_partkey", "p_name", "p_type")
 
@@ -247,7 +310,7 @@ def facets(spark, d):
     return part(spark, d).search("ring").search_in(["p_name"]).using("simple").facet("p_type").facet("p_size").facet_counts()
 
 
-@query(f"select count(*) as n from part where {any_like('p_name', P.fuzzy_patterns('ring', False))}")
+@query(f"select count(*) as n from part where {any_like('p_name', RING.split())}")
 def match_count(spark, d):
     return part(spark, d).search("ring").search_in(["p_name"]).using("fuzzy").matched().agg(F.count("*").alias("n"))
 
@@ -291,6 +354,17 @@ def order_by_position(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_name", place.alias("place")).orderBy(F.desc("place"), "p_partkey").limit(20)
 
 
+@query("select instr(p_name, 'ring') as place from part order by place desc limit 50")
+def order_by_fuzzy(spark, d):
+    """The places of the first rows; which of equal ones come first is not determined."""
+    return table(spark, d, "part").transform(M.order_by_fuzzy("p_name", "ring", "desc")).limit(50).select(F.instr("p_name", "ring").cast("long").alias("place"))
+
+
+@query("select levenshtein(lower(p_name), 'blue gear') as distance from part order by distance limit 50")
+def sort_by_fuzzy(spark, d):
+    return table(spark, d, "part").transform(M.sort_by_fuzzy("p_name", "Blue Gear")).limit(50).select(F.levenshtein(F.lower("p_name"), F.lit("blue gear")).cast("long").alias("distance"))
+
+
 @query(ranked_sql("ring", {"p_name": 1}, has("p_name", "ring"), order="p_retailprice desc", size=10))
 def order_by_column(spark, d):
     return named(part(spark, d).search("ring").search_in(["p_name"]).using("simple").order_by("p_retailprice", "desc").take(10))
@@ -330,7 +404,7 @@ def ext_filtered(spark, d):
     return part(spark, d).search_in(["p_name"]).extended("'ring").filter("p_size", ">", 25).matched().select("p_partkey", "p_name", "p_size")
 
 
-@query()
+@query(similar_ranked_sql("ring | ^red", 10, f"({has('p_name', 'ring')} or starts_with(lower(p_name), 'red'))", "0"))
 def ext_ranked(spark, d):
     return named(part(spark, d).search_in(_RING).extended("ring | ^red"))
 
@@ -343,8 +417,8 @@ k as (select model_id, term from w where length(term) >= 2 and term not in ({_ST
 p as (select model_id, term, cast(count(*) as integer) as frequency from k group by 1, 2),
 dl as (select model_id, sum(frequency) as doc_length from p group by 1), t as (select term, count(*) as doc_count from p group by 1),
 me as (select count(*) as total_docs, sum(doc_length) as total_tokens, cast(sum(doc_length) as double) / count(*) as avg_doc_length from dl)"""
-#: Indexes of the tests' and the driver's scales have documents below this many distinct terms, so that SQL needs no cap.
-_ANALYZER = I.Analyzer(max_tokens=50_000)
+#: Whole documents; index_token_cap has the cap.
+_ANALYZER = I.Analyzer(max_tokens=None)
 
 
 def _index(spark: SparkSession, d: str) -> I.Index:
@@ -363,7 +437,7 @@ def index_terms(spark, d):
 
 @query(f"with {_WORDS} select model_id, term, frequency from p")
 def index_postings(spark, d):
-    return _index(spark, d).postings
+    return _index(spark, d).postings.drop("doc_length")
 
 
 @query(f"with {_WORDS} select model_id, cast(doc_length as bigint) as doc_length from dl")
@@ -398,7 +472,7 @@ def bm25_multi_term(spark, d):
 
 @query(f"with {_WORDS} select count(distinct model_id) as n from p where term in ({', '.join(map(q, _TERMS))})")
 def bm25_count(spark, d):
-    return _index(spark, d).postings.where(F.col("term").isin(*_TERMS)).agg(F.count_distinct("model_id").alias("n"))
+    return spark.range(1).select(F.lit(bm25.count(_index(spark, d), _TERMS)).cast("long").alias("n"))
 
 
 def _store(spark: SparkSession, d: str) -> I.IndexStore:
@@ -413,6 +487,25 @@ def bm25_paginate(spark, d):
     return s.orderBy(F.desc("score"), "model_id").offset(10).limit(10)
 
 
+@query(f"""with {_bm25_sql(['les', 'nicht', 'erst'])}, b as (select * from s order by score desc, model_id limit 20), z as (select * from b order by score desc, model_id limit 10 offset 10)
+select doc_id, score as _raw_score, round(score / (select max(score) from b), 6) as _score, (select count(*) from s) as total from z join documents on cast(doc_id as varchar) = model_id""")
+def indexed_page(spark, d):
+    s = Search(table(spark, d, "documents"), "doc_id").search("les nicht, erst!").search_in(["text"]).use_inverted_index("documents", _store(spark, d), _ANALYZER)
+    page = s.paginate(10, 2)
+    return page.items.select("doc_id", *SCORE, F.lit(page.total).cast("long").alias("total"))
+
+
+@query(f"""with {_bm25_sql(['les', 'nicht'])}, z as (select * from s order by score desc, model_id limit 8)
+select model_id, score, (select count(*) from s) as total from z""")
+def index_engine(spark, d):
+    docs = Corpus("documents", table(spark, d, "documents"), "doc_id", ["text"])
+    engine = IndexEngine(I.IndexStore(spark, scratch(spark, "engine")), _ANALYZER)
+    engine.update(docs)
+    page, total = engine.paginate("documents", "les nicht", 8, 1)
+    ids = engine.map_ids(engine.search("documents", "les nicht", 8))
+    return page.join(ids, "model_id").select("model_id", "score", F.lit(total).cast("long").alias("total"))
+
+
 @query(f"""with {_bm25_sql(['les', 'nicht', 'erst'])}, b as (select * from s order by score desc, model_id limit 30)
 select doc_id, lang, score as _raw_score, round(score / (select max(score) from b), 6) as _score from b join documents on cast(doc_id as varchar) = model_id order by score desc, model_id limit 15""")
 def bm25_hydrate(spark, d):
@@ -432,7 +525,7 @@ def bm25_many(spark, d):
 
 @query()
 def stemmed_bm25(spark, d):
-    a = I.Analyzer(stemmer="english", max_tokens=50_000)
+    a = I.Analyzer(stemmer="english", max_tokens=None)
     return bm25.search(I.build(table(spark, d, "documents"), "doc_id", ["text"], a), a.terms("things running onions"), 20)
 
 
@@ -444,7 +537,7 @@ n as (select *, row_number() over (partition by model_id order by fst) as i from
 l as (select model_id, fst as last from n where i = 40)
 select e.model_id, term, cast(count(*) as integer) as frequency from e left join l using (model_id) where last is null or pos <= last group by 1, 2""")
 def index_token_cap(spark, d):
-    return I.build(table(spark, d, "documents"), "doc_id", ["text"], I.Analyzer(max_tokens=40)).postings
+    return I.build(table(spark, d, "documents"), "doc_id", ["text"], I.Analyzer(max_tokens=40)).postings.drop("doc_length")
 
 
 @query(f"with {_WORDS} select term, count(*) as doc_count from p where model_id not in (select cast(doc_id as varchar) from labels where toxic = 1) group by term")
@@ -487,6 +580,36 @@ def stream_index_upsert(spark, d):
     return store.read("conversations").documents
 
 
+@query(f"with {_CONV.replace('from conversations', "from conversations where turn % 3 <> 1")} select term, doc_count from t")
+def stream_index_delete(spark, d):
+    """Every row is indexed, then all of them come again, every third as a deletion; the others are as they were."""
+    rows = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("k"), "text", "turn")
+    path = scratch(spark, "changes")
+    rows.select("k", "text", F.lit("upsert").alias("op"), F.lit(1).alias("seq")).coalesce(1).write.parquet(path)
+    store, state = I.IndexStore(spark, scratch(spark, "stream")), scratch(spark, "stream-state")
+    run = lambda: index_stream(spark.readStream.schema("k string, text string, op string, seq int").parquet(path), store, "conversations", "k", ["text"], state, _ANALYZER).awaitTermination()
+    run()
+    rows.select("k", "text", F.when(F.expr("turn % 3 = 1"), "delete").otherwise("upsert").alias("op"), F.lit(2).alias("seq")).coalesce(1).write.mode("append").parquet(path)
+    run()
+    return store.read("conversations").terms
+
+
+@query(f"with {_WORDS.replace('from documents', "from (select doc_id, case when doc_id % 10 = 0 then 'new words now' else text end as text from documents where doc_id % 7 <> 0)")} select total_docs, cast(total_tokens as bigint) as total_tokens, round(avg_doc_length, 6) as avg_doc_length, (select count(*) from t) as n_terms from me")
+def index_segments(spark, d):
+    """A base, and segments of changes and removals that aren't merged."""
+    store, docs = _store(spark, d), table(spark, d, "documents")
+    store.upsert("documents", docs.where("doc_id % 10 = 0").withColumn("text", F.lit("new words now")), "doc_id", ["text"], _ANALYZER)
+    store.remove("documents", docs.where("doc_id % 7 = 0").select("doc_id"))
+    return store.status().select("total_docs", "total_tokens", F.round("avg_doc_length", 6).alias("avg_doc_length"), "n_terms")
+
+
+@query("select cast(0 as bigint) as n")
+def index_clear(spark, d):
+    store = _store(spark, d)
+    store.clear()
+    return store.status().agg(F.count("*").alias("n"))
+
+
 # -- suggestions, highlighting, several tables, memory
 
 
@@ -539,12 +662,12 @@ def federated_counts(spark, d):
     return _federated(spark, d).counts()
 
 
-@query("""with s as (select n_nationkey, n_name, case when lower(n_name) = 'nation_1' then 100 when starts_with(lower(n_name), 'nation_1') then 60 else 30 end as r from nation where contains(lower(n_name), 'nation_1'))
-select n_nationkey, n_name, cast(r as integer) as _raw_score, round(r / (select max(r) from s), 6) as _score from s order by r desc, n_nationkey limit 8""")
+@query(f"""with recursive {similar_sql("select 'natoin_1' as a, lower(n_name) as b from nation")},
+s as (select n_nationkey, n_name, case when b = 'natoin_1' then 100 when starts_with(b, 'natoin_1') then 60 when contains(b, 'natoin_1') then 30 when percent >= 60 then floor(percent) else 0 end as r from nation join sim on b = lower(n_name))
+select n_nationkey, n_name, cast(r as integer) as _raw_score, round(r / (select max(r) from s), 6) as _score from s where r > 0 order by r desc, n_nationkey limit 20""")
 def in_memory(spark, d):
     rows = [r.asDict() for r in table(spark, d, "nation").orderBy("n_nationkey").collect()]
-    s = MemorySearch.on(spark, rows, DEFAULT.with_(memory_min_similarity=101)).search("NATION_1").search_in(["n_name"]).take(8)
-    return s.get().select("n_nationkey", "n_name", *SCORE)
+    return MemorySearch.on(spark, rows).search("NATOIN_1").search_in(["n_name"]).take(20).get().select("n_nationkey", "n_name", *SCORE)
 
 
 @query("select 'part' as model, cast(p_partkey as varchar) as model_id, trim(p_name || ' ' || p_brand) as content from part")
@@ -558,6 +681,101 @@ def fallback_algorithm(spark, d):
     return named(s.filter("p_size", ">", 40).fallback("simple"))
 
 
+# -- what the builder adds
+
+
+@query(f"select p_partkey, p_name, p_type from part where {any_like('p_name', PROMO.split())} or {any_like('p_type', PROMO.split())}")
+def any_column(spark, d):
+    return table(spark, d, "part").transform(M.where_any(["p_name", "p_type"], "promo")).select("p_partkey", "p_name", "p_type")
+
+
+@query(f"select 'levenshtein' as f, p_partkey from part where {any_like('p_name', WDGET.split())} union all select 'soundex', p_partkey from part where {any_like('p_name', ['%redd%', 'red%', '%rdd%'])} union all select 'similar', p_partkey from part where {has('p_name', 'small r')}")
+def scopes(spark, d):
+    p = table(spark, d, "part")
+    found = {"levenshtein": M.where_levenshtein(["p_name"], "wdget", 2), "soundex": M.where_soundex(["p_name"], "redd"), "similar": M.where_similar(["p_name"], "small r")}
+    parts = [p.transform(f).select(F.lit(n).alias("f"), "p_partkey") for n, f in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("select count(*) as n from part")
+def only_stop_words(spark, d):
+    return part(spark, d).search("the of and").search_in(["p_name"]).using("simple").ignore_stop_words(["the", "of", "and"]).matched().agg(F.count("*").alias("n"))
+
+
+@query("select p_partkey, p_name from part where levenshtein(p_name, 'small rng') <= 1")
+def typo_tolerance(spark, d):
+    return part(spark, d).search("small rng").search_in(["p_name"]).using("levenshtein").options(native=True).typo_tolerance(1).accent_insensitive(False).matched().select("p_partkey", "p_name")
+
+
+@query(f"""with n as (select p_partkey, p_name, {_tri_sql("p_name")} a, {_tri_sql("'small rng'")} b from part)
+select p_partkey, p_name from n where len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) > greatest(0.3, 1 - 5 / 9)""")
+def levenshtein_similar(spark, d):
+    return matches(spark, d, "levenshtein", "small rng", native="similar", max_distance=5)
+
+
+@query("select doc_id from documents where contains(lower(text), nfc_normalize('e' || chr(769) || 't'))")
+def unicode_normalize(spark, d):
+    s = Search(table(spark, d, "documents"), "doc_id").search("e\u0301t").search_in(["text"]).using("simple").accent_insensitive(False)
+    return s.unicode_normalize().matched().select("doc_id")
+
+
+@query("select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#039;') as html from documents")
+def html_escape(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.html(F.col("text")).alias("html"))
+
+
+@query(ranked_sql("ring", {"p_name": 1}, has("p_name", "ring"), size=1))
+def first_row(spark, d):
+    row = part(spark, d).search("ring").search_in(["p_name"]).using("simple").first()
+    return spark.createDataFrame([tuple(row[c] for c in ("p_partkey", "p_name", *SCORE))], "p_partkey long, p_name string, _raw_score double, _score double")
+
+
+@query(f"with p as ({ranked_sql('ring', {'p_name': 1}, has('p_name', 'ring'), size=5, start=5)}) select *, (select count(*) > 10 from part where {has('p_name', 'ring')}) as more from p")
+def simple_page(spark, d):
+    page = part(spark, d).search("ring").search_in(["p_name"]).using("simple").simple_paginate(5, 2)
+    return page.items.select("p_partkey", "p_name", *SCORE).withColumn("more", F.lit(page.has_more))
+
+
+@query(ranked_sql("ring", {"p_name": 1}, has("p_name", "ring"), size=3, show="p_partkey, replace(p_name, 'ring', '<b>ring</b>') as shown").replace(", _raw_score, _score from n order", " from n order"))
+def rendered(spark, d):
+    rows = part(spark, d).search("ring").search_in(["p_name"]).using("simple").highlight().take(3).get().collect()
+    return spark.createDataFrame([(r["p_partkey"], render_highlighted(r, "p_name", "b")) for r in rows], "p_partkey long, shown string")
+
+
+@query(ranked_sql("ring", {"p_name": 4}, has("p_name", "ring"), show="p_partkey, _raw_score as column_score, _score as final_score, 'ring' as term, 'simple' as algorithm"))
+def debug_score(spark, d):
+    rows = part(spark, d).search("ring").search_in({"p_name": 4}).using("simple").debug_score().get()
+    g = F.col("_debug")
+    return rows.select("p_partkey", g["column_scores"]["p_name"].alias("column_score"), g["final_score"].alias("final_score"), g["term"].alias("term"), g["algorithm"].alias("algorithm"), *SCORE)
+
+
+@query(ranked_sql("ring", {"p_name": 10, "p_type": 2}, f"({has('p_name', 'ring')} and {has('p_type', 'ring')} or {has('p_name', 'ring')})", keep="false"))
+def preset_without_hits(spark, d):
+    s = part(spark, d)
+    s = s._(settings=s.settings.with_(presets={"parts": {"columns": {"p_name": 10, "p_type": 2}, "algorithm": "simple", "typo_tolerance": 0}}))
+    return named(s.preset("parts").search("ring").filter("p_size", "<", 0))
+
+
+@query(ranked_sql("ring", {"p_name": 10}, has("p_name", "ring")))
+def preset(spark, d):
+    s = part(spark, d)
+    s = s._(settings=s.settings.with_(presets={"parts": {"columns": {"p_name": 10}, "algorithm": "simple", "typo_tolerance": 0}}))
+    return named(s.preset("parts").search("ring"))
+
+
+@query(ranked_sql("ring", {"p_name": 3}, has("p_name", "ring")))
+def cached_result(spark, d):
+    s = part(spark, d).search("ring").search_in({"p_name": 3}).using("simple").cache(5)
+    s.get().count()
+    return named(s)
+
+
+@query("select p_partkey, soundex_code as code from (select p_partkey, case when starts_with(p_name, 'red ') then 'R300' else '' end as soundex_code from part) where soundex_code <> ''")
+def own_algorithm(spark, d):
+    M.register_algorithm("sounds_like_red", lambda c, t, o: F.soundex(X.first_word(X.text(c))) == F.soundex(F.lit(t)))
+    return part(spark, d).search("reed").search_in(["p_name"]).using("sounds_like_red").matched().select("p_partkey", F.soundex(X.first_word(F.col("p_name"))).alias("code"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return simple_contains(spark, d)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lexiforge.sources.index import Analyzer, Index, IndexStore, build, merged, without
+from lexiforge.sources.index import Analyzer, IndexStore
 
 
 def latest(changes: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -20,15 +20,19 @@ def latest(changes: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 def apply_changes(store: IndexStore, model_type: str, changes: DataFrame, key: str, columns: Sequence[str], analyzer: Analyzer = Analyzer(), op: str = "op", order: Sequence[str] = ("seq",)) -> None:
     """Applies a batch of rows (key, columns, op, order): "delete" or all columns null removes, anything else indexes anew.
 
-    The state after a batch depends on the batch and the state before only, and applying a batch twice is the same as
-    once, so a redelivered micro-batch does no harm.
+    Rows whose columns are as they were when last indexed are passed over. The state after a batch depends on the batch and
+    the state before only, and applying a batch twice is the same as once, so a redelivered micro-batch does no harm.
+    What is written is the batch's own segment (see IndexStore).
     """
-    rows = latest(changes, key, order)
-    gone = (F.col(op) == "delete") | F.coalesce(*[F.col(c).cast("string") for c in columns]).isNull()
-    new = build(rows.where(~F.coalesce(gone, F.lit(False))), key, columns, analyzer)
-    drop = rows.where(gone).select(F.col(key).cast("string").alias("model_id"))
-    old = store.read(model_type)
-    store.write(model_type, merged(without(Index(old.postings, old.documents), drop), new) if old else new)
+    rows = latest(changes, key, order).persist()
+    gone = F.coalesce((F.col(op) == "delete") | F.coalesce(*[F.col(c).cast("string") for c in columns]).isNull(), F.lit(False))
+    new = rows.where(~gone)
+    removed = rows.where(gone).select(F.col(key).cast("string").alias("model_id"))
+    if not removed.isEmpty():
+        store.remove(model_type, removed)
+    if not new.isEmpty():
+        store.upsert(model_type, new, key, columns, analyzer, skip_unchanged=True)
+    rows.unpersist()
 
 
 def index_stream(changes: DataFrame, store: IndexStore, model_type: str, key: str, columns: Sequence[str], checkpoint: str, analyzer: Analyzer = Analyzer(), op: str = "op", order: Sequence[str] = ("seq",), **trigger) -> StreamingQuery:
