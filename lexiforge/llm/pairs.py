@@ -63,13 +63,13 @@ def classes(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
 def shared_bands(bands: DataFrame) -> DataFrame:
     """(band, set_key, n) of the bands, rows (set_key, band), that n > 1 different sets have; a saved() table.
 
-    Nearly all bands stand on one row only. They are found by counting, and only the rest is shuffled with its keys.
+    Nearly all bands stand on one row only; they go before the rest is made distinct and counted.
     """
-    often = saved(bands.groupBy("band").agg(F.count("*").alias("rows")).where("rows > 1").select("band"), "often")
-    rows = saved(with_small(bands, "band", often, "inner").distinct(), "bands")
+    often = bands.groupBy("band").agg(F.count("*").alias("rows")).where("rows > 1").select("band")
+    rows = saved(bands.join(often.hint("shuffle_merge"), "band").distinct(), "bands")
     many = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     out = saved(rows.join(many.hint("shuffle_merge"), "band").select("band", "set_key", "n"), "shared")
-    discard(often, rows)
+    discard(rows)
     return out
 
 
