@@ -46,7 +46,7 @@ def simple(column: str, term: str, o: dict[str, Any]) -> Column:
     return F.lower(X.text(column)).contains(term.lower())
 
 
-_lev_patterns = _patterns(lambda t, o: P.levenshtein_patterns(t, o.get("max_distance", DEFAULT.max_distance)))
+_lev_patterns = _patterns(lambda t, o: P.levenshtein_patterns(t, o.get("max_distance", DEFAULT.max_distance), False))
 _tri_patterns = _patterns(lambda t, o: P.trigram_patterns(t))
 _sound_patterns = _patterns(lambda t, o: P.soundex_patterns(t))
 
@@ -81,7 +81,7 @@ def by_metaphone(column: str, term: str, o: dict[str, Any]) -> Column:
 
 
 ALGORITHMS: dict[str, Algorithm] = {
-    "fuzzy": _patterns(lambda t, o: P.fuzzy_patterns(t)),
+    "fuzzy": _patterns(lambda t, o: P.fuzzy_patterns(t, False)),
     "levenshtein": levenshtein,
     "like": simple,
     "metaphone": by_metaphone,
