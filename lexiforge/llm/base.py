@@ -34,10 +34,7 @@ def operator(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         outer = frames[0].sparkSession
         if getattr(outer, "_lexiforge_inner", False):
             return fn(*args, **named)
-        inner = SparkSession(outer.sparkContext, outer._jsparkSession.cloneSession())
-        inner._lexiforge_inner, inner._lexiforge_dir = True, shared_dir(outer)
-        for key, most in BATCH.items():
-            inner.conf.set(key, most)
+        inner = _small_batches(outer)
         move = lambda x: _in_session(x, inner) if isinstance(x, DataFrame) else x
         out = fn(*map(move, args), **{k: move(x) for k, x in named.items()})
         return _in_session(out, outer)
@@ -45,6 +42,19 @@ def operator(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def _small_batches(outer: SparkSession) -> SparkSession:
+    inner = SparkSession(outer.sparkContext, outer._jsparkSession.cloneSession())
+    inner._lexiforge_inner, inner._lexiforge_dir = True, shared_dir(outer)
+    for key, most in BATCH.items():
+        inner.conf.set(key, most)
+    return inner
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df in a clone of its session that has BATCH set, and so all that operators make of it, their results included."""
+    return df if getattr(df.sparkSession, "_lexiforge_inner", False) else _in_session(df, _small_batches(df.sparkSession))
+
+
 def _in_session(df: DataFrame, session: SparkSession) -> DataFrame:
     plan = df._jdf.queryExecution().analyzed()
     return DataFrame(session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, plan), session)
