@@ -1,5 +1,7 @@
 import random
 
+import brute
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import expressions as X
 from lexiforge.functions import patterns as P
+from lexiforge.functions import phonetic
 from lexiforge.functions import terms as T
 from lexiforge.functions.phonetic import metaphone, porter2, register_sql, similar_text, weighted_distance
 from lexiforge.operators.matching import levenshtein_distance
@@ -136,3 +139,38 @@ def test_trigram_similarity(spark):
 def test_functions_in_sql(spark):
     register_sql(spark)
     assert tuple(spark.sql("select similar_text('World', 'Word'), metaphone('Steven'), porter2('running')").first()) == (pytest.approx(88.888889), "STFN", "run")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("ABCDEGHIKMNOPSTWXYZ éß-1", max_size=9), st.text("CDGHKMNPSTWX", max_size=6)), max_size=9))
+def test_metaphones_of_a_batch(words):
+    assert phonetic.metaphones(pa.array(words, pa.string())).to_pylist() == [None if w is None else brute.metaphone(w) for w in words]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.text("abcÉ", max_size=8)), st.text("abcé", max_size=8)), max_size=8), st.integers(1, 3), st.integers(1, 3), st.integers(1, 3))
+def test_weighted_distances_of_a_batch(pairs, i, r, d):
+    got = phonetic.weighted_distances(*(pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)), i, r, d).to_pylist()
+    assert got == [None if a is None else brute.weighted_distance(a, b, i, r, d) for a, b in pairs]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab c", max_size=12), st.text("ab c", min_size=65, max_size=90))
+def test_similarity_of_long_texts(a, b):
+    """Of 64 bytes or more the search is in numpy."""
+    plain = lambda x, y: _common_plain(x.encode(), y.encode())
+    assert phonetic._common(a.encode(), b.encode()) == plain(a, b) and phonetic._common(b.encode(), a.encode()) == plain(b, a)
+
+
+def _common_plain(a, b):
+    best = max(((n, -i, -j) for i in range(len(a)) for j in range(len(b)) for n in [next((k for k in range(min(len(a) - i, len(b) - j)) if a[i + k] != b[j + k]), min(len(a) - i, len(b) - j))] if n), default=None)
+    if best is None:
+        return 0
+    n, i, j = best[0], -best[1], -best[2]
+    return n + _common_plain(a[:i], b[:j]) + _common_plain(a[i + n :], b[j + n :])
+
+
+def test_udfs_take_nulls(spark):
+    df = spark.createDataFrame([("Steven", "abc"), (None, "x"), ("", None)], "a string, b string")
+    rows = df.select(phonetic.metaphone_udf("a").alias("m"), phonetic.weighted_distance_udf(2, 1, 2)("a", "b").alias("d")).collect()
+    assert [r["m"] for r in rows] == ["STFN", None, ""] and [r["d"] for r in rows][1:] == [None, None]

@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.cli import main
 from lexiforge.config import DEFAULT
+from lexiforge.errors import IndexConflict
 from lexiforge.operators import bm25
 from lexiforge.operators.federate import Corpus, IndexEngine
 from lexiforge.operators.search import Search
@@ -156,3 +158,60 @@ def test_content_column(spark):
     df = spark.createDataFrame([(1, "a", None), (2, None, "b")], "id long, x string, y string")
     assert [r["content"] for r in content_table(df, "m", "id", ["x", "y"]).orderBy("model_id").collect()] == ["a", "b"]
     assert content_table(df.withColumn("z", F.lit(3)), "m", "id", ["z"]).first()["content"] == "3"
+
+
+def test_changes_are_segments(spark, docs, tmp_path):
+    """What a change writes is its own size; readers keep the version they opened; merging changes nothing."""
+    store = IndexStore(spark, str(tmp_path / "s"), DEFAULT.with_(merge_segments=3, keep_versions=3))
+    store.rebuild("d", docs, "id", ["t"])
+    before = store.read("d")
+    new = lambda i, t: spark.createDataFrame([(i, t)], "id long, t string")
+    assert store.upsert("d", new(1, "mary smith"), "id", ["t"]) == 1
+    assert len(store._state("d")[1]["segments"]) == 2
+    assert {r["term"] for r in before.postings.collect()} == {"john", "smith", "jane", "doe"}  # as it was opened
+    now = store.read("d")
+    want = build(new(1, "mary smith").union(spark.createDataFrame([d for d in DOCS if d[0] != 1], "id long, t string")), "id", ["t"])
+    same = lambda a, b: sorted(map(tuple, a.select(*sorted(a.columns)).collect())) == sorted(map(tuple, b.select(*sorted(b.columns)).collect()))
+    assert same(now.postings, want.postings) and same(now.documents, want.documents) and same(now.terms, want.terms) and same(now.meta, want.meta)
+    store.remove("d", spark.createDataFrame([(3,), (99,)], "id long"))
+    assert counts(store) == {"john": 1, "smith": 1, "mary": 1} and store.read("d").meta.first()["total_docs"] == 2
+    for i in range(4):
+        store.upsert("d", new(10 + i, f"john w{i}x"), "id", ["t"])
+    assert len(store._state("d")[1]["segments"]) <= 4 and counts(store)["john"] == 5
+    assert store.merge("d") and not store.merge("d") and counts(store)["john"] == 5 and store.read("d").meta.first()["total_tokens"] == 13
+    assert len(store.files.names("versions/d")) == 3
+    used = {s["id"] for n in store.files.names("versions/d") for s in json.loads(store.files.read(f"versions/d/{n}"))["segments"]}
+    assert set(store.files.names("segments")) == used
+
+
+def test_two_writers(spark, docs, tmp_path, monkeypatch):
+    """The second of two writers that began with one version takes up the first one's; a rebuild says so."""
+    store, other = (IndexStore(spark, str(tmp_path / "w")) for _ in range(2))
+    store.rebuild("d", docs, "id", ["t"])
+    real = IndexStore._write
+
+    def between(self, *a):
+        monkeypatch.setattr(IndexStore, "_write", real)
+        other.upsert("d", spark.createDataFrame([(7, "zoe")], "id long, t string"), "id", ["t"])
+        return real(self, *a)
+
+    monkeypatch.setattr(IndexStore, "_write", between)
+    store.upsert("d", spark.createDataFrame([(8, "zoe yves")], "id long, t string"), "id", ["t"])
+    assert counts(store)["zoe"] == 2 and store.read("d").meta.first()["total_docs"] == 5
+    monkeypatch.setattr(IndexStore, "_write", between)
+    with pytest.raises(IndexConflict):
+        store.rebuild("d", docs, "id", ["t"])
+
+
+def test_unchanged_rows_are_passed_over(spark, store, docs):
+    store.rebuild("d", docs, "id", ["t"])
+    n = store._state("d")[0]
+    assert store.upsert("d", docs, "id", ["t"], skip_unchanged=True) == 0 and store._state("d")[0] == n
+    more = docs.union(spark.createDataFrame([(9, "new one")], "id long, t string"))
+    assert store.upsert("d", more, "id", ["t"], skip_unchanged=True) == 1 and counts(store)["john"] == 2
+
+
+def test_bm25_reads_no_documents(docs, store):
+    store.rebuild("d", docs, "id", ["t"])
+    plan = bm25.search(store.read("d"), ["john"], 5)._jdf.queryExecution().executedPlan().toString()
+    assert "/documents" not in plan and plan.count("Exchange hashpartitioning") == 1
