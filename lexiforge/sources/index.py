@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.config import DEFAULT, INDEX_STOP_WORDS, Settings
 from lexiforge.errors import IndexConflict
-from lexiforge.functions.phonetic import porter2, porter2_udf
+from lexiforge.functions.stems import STEMMERS, stem_udf
 from lexiforge.sources.shared import Files
 
 WORD = r"[\p{L}\p{N}]+"
@@ -42,7 +42,7 @@ def tokenize_term(s: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Analyzer:
-    """How texts become terms: tokenizer, stop words (compared before stemming), stemmer ("none" or "english")."""
+    """How texts become terms: tokenizer, stop words (compared before stemming), stemmer ("none" or one of STEMMERS)."""
 
     stop_words: tuple[str, ...] = INDEX_STOP_WORDS["en"]
     stemmer: str = "none"
@@ -51,13 +51,13 @@ class Analyzer:
     term_tokenizer: Callable[[str], list[str]] = tokenize_term
 
     def __post_init__(self):
-        if self.stemmer not in ("none", "english"):
-            raise ValueError(f"no stemmer {self.stemmer!r}; there are 'none' and 'english'")
+        if self.stemmer != "none" and self.stemmer not in STEMMERS:
+            raise ValueError(f"no stemmer {self.stemmer!r}; there are none, {', '.join(STEMMERS)}")
 
     def terms(self, text: str) -> list[str]:
         """The distinct terms of a query."""
         words = [t for t in self.term_tokenizer(text) if t not in self.stop_words]
-        return list(dict.fromkeys(map(porter2, words) if self.stemmer == "english" else words))
+        return list(dict.fromkeys(words if self.stemmer == "none" else map(STEMMERS[self.stemmer], words)))
 
 
 @dataclass(frozen=True)
@@ -110,7 +110,7 @@ def _until(words: Column, most: int | None) -> Column:
 def _stemmed_rows(rows: DataFrame, analyzer: Analyzer) -> DataFrame:
     """model_id and term of the stems; each distinct word is stemmed once, so that words are joined with their stems."""
     words = rows.select("model_id", F.posexplode("words").alias("pos", "word"))
-    stems = words.select("word").distinct().withColumn("term", porter2_udf("word"))
+    stems = words.select("word").distinct().withColumn("term", stem_udf(analyzer.stemmer)("word"))
     stemmed = words.join(stems, "word").where(F.octet_length("term") <= 255)
     if analyzer.max_tokens is None:
         return stemmed.select("model_id", "term")

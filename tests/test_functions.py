@@ -12,8 +12,9 @@ from lexiforge.functions import patterns as P
 from lexiforge.functions import phonetic
 from lexiforge.functions import terms as T
 from lexiforge.functions.phonetic import metaphone, porter2, register_sql, similar_text, weighted_distance
+from lexiforge.functions.stems import STEMMERS
 from lexiforge.operators.matching import levenshtein_distance
-from lexiforge.sources.index import Analyzer, tokenize_term
+from lexiforge.sources.index import Analyzer, build, tokenize_term
 
 
 def matches(pattern: str, value: str) -> bool:
@@ -174,3 +175,27 @@ def test_udfs_take_nulls(spark):
     df = spark.createDataFrame([("Steven", "abc"), (None, "x"), ("", None)], "a string, b string")
     rows = df.select(phonetic.metaphone_udf("a").alias("m"), phonetic.weighted_distance_udf(2, 1, 2)("a", "b").alias("d")).collect()
     assert [r["m"] for r in rows] == ["STFN", None, ""] and [r["d"] for r in rows][1:] == [None, None]
+
+
+STEMS = {
+    "german": "aufeinander aufeinand aufeinanderfolge aufeinanderfolg kategorischer kategor kaufleute kaufleut aufkeimenden aufkeim häuser haus bedürfnissen bedurfnis auffällig auffall freundlichkeit freundlich straßen strass jährlich jahrlich",
+    "swedish": "jaktkarlarne jaktkarl jaktkarl jaktkarl klostergården klostergård klo klo friskt frisk flickornas flick kristligt krist",
+    "danish": "undersøgelse undersøg undersøgelserne undersøg indtage indtag indtagelse indtag underkastelse underkast",
+    "norwegian": "havnedistriktene havnedistrikt opning opning opningar opning havnemyndighetene havnemynd",
+    "english": "running run jumps jump",
+}
+
+
+@pytest.mark.parametrize("language", STEMS)
+def test_stems_of_languages(language):
+    words = STEMS[language].split()
+    assert [STEMMERS[language](w) for w in words[::2]] == words[1::2] and all(STEMMERS[language](w) == w for w in ("", "a"))
+
+
+def test_stemmed_index(spark):
+    df = spark.createDataFrame([(1, "Häuser und ein Haus"), (2, "freundlichkeit")], "id long, t string")
+    a = Analyzer(stemmer="german", stop_words=("und", "ein"))
+    assert {(r["model_id"], r["term"], r["frequency"]) for r in build(df, "id", ["t"], a).postings.collect()} == {("1", "haus", 2), ("2", "freundlich", 1)}
+    assert a.terms("Häusern") == ["haus"]
+    with pytest.raises(ValueError, match="swedish"):
+        Analyzer(stemmer="latin")
