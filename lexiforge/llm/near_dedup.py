@@ -214,13 +214,13 @@ def _grouped(docs: DataFrame, shingle: int = SHINGLE, p: int = P, r: int = R, ro
     edges = saved(band_edges(shared), "edges")
     likely = _candidates(edges, sketches, least, p, r)
     near = verified(docs, reps, likely, shingle, threshold)
-    roots = saved(components(near.select("a", "b")), "roots")
+    roots = components(near.select("a", "b"))
     discard(edges, likely, near)
     between = across_pairs(shared, roots, sketches, least, p)
     likely = _candidates(between, sketches, least, p, r)
     near = verified(docs, reps, likely, shingle, threshold)
     if not near.isEmpty():
-        roots = saved(components(roots.select(F.col("root").alias("a"), F.col("set_key").alias("b")).where("a < b").unionByName(near.select("a", "b"))), "roots")
+        roots = components(roots.select(F.col("root").alias("a"), F.col("set_key").alias("b")).where("a < b").unionByName(near.select("a", "b")))
     discard(between, likely, near, shared)
     rooted = with_small(reps, "set_key", roots).withColumn("root", F.coalesce("root", "set_key"))
     whole = rooted.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("members")).where("members > 1").select("root", "stays")

@@ -19,6 +19,8 @@ from lexiforge.llm.textops import flat, mix, shingle_sets
 
 #: Nodes that share a smallest neighbour and are verified in one block, about; members of one block of a bucket, about.
 BLOCK, BUCKET = 256, 512
+#: Edges, of 16 bytes each, that one task joins to components.
+FEW = 1_000_000
 
 
 def set_keys(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -146,33 +148,59 @@ def verified(docs: DataFrame, reps: DataFrame, edges: DataFrame, k: int, least:
     neighbour; a set is sent once to each pair of blocks with an edge of it, not once to each edge.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    roots = saved(both.groupBy("a").agg(F.min("b").alias("r")).select(F.col("a").alias("id"), F.least("a", "r").alias("root")), "roots")
+    roots = both.groupBy("a").agg(F.min("b").alias("r")).select(F.col("a").alias("id"), F.least("a", "r").alias("root"))
     sizes = roots.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     part = F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("n", F.lit(1)) / F.lit(BLOCK)))
     nodes = saved(roots.join(sizes, "root", "left").select("id", F.xxhash64("root", part).alias("block")), "nodes")
-    one = with_small(edges, "a", nodes.toDF("a", "one"))
-    two = with_small(one, "b", nodes.toDF("b", "two"))
+    few = nodes.count() <= BROADCAST_KEYS // 3
+    small = lambda df: F.broadcast(df) if few else df.hint("shuffle_merge")
+    two = edges.join(small(nodes.toDF("a", "one")), "a").join(small(nodes.toDF("b", "two")), "b")
     cells = saved(two.select("a", "b", F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("cell")), "cells")
-    ids = saved(reps.join(nodes, F.col("set_key") == F.col("id"), "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), "set_key"), "ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_KEYS // 3 else ids.hint("shuffle_merge")
-    texts = docs.join(ids, ["doc_id", "text_key"]).select("set_key", "text")
+    ids = reps.join(small(nodes), F.col("set_key") == F.col("id"), "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), "set_key")
+    texts = docs.join(small(ids), ["doc_id", "text_key"]).select("set_key", "text")
     sets = map_text(texts, _sets(k), "set_key long, words binary").dropDuplicates(["set_key"])
     need = cells.select("cell", F.explode(F.array("a", "b")).alias("set_key")).distinct()
     full = need.join(sets, "set_key").select("cell", F.col("set_key").alias("a"), F.lit(None).cast("long").alias("b"), "words")
     rows = full.unionByName(cells.select("cell", "a", "b", F.lit(None).cast("binary").alias("words")))
     rows = rows.repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first())
     out = saved(map_arrow(rows, _verify(least), "a long, b long, jaccard double"), "verified")
-    discard(roots, nodes, cells)
+    discard(nodes, cells)
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(set_key, root) of every node in the edges (a, b): root is the smallest one connected with it.
-
-    Alternating large-star and small-star steps; each is saved, and the loop ends when the edges no longer change. The
-    minimum of a node's neighbours is a partial aggregation that is joined back, where AQE splits the keys of large stars.
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of all edges (a, b), every node and the smallest one connected with it."""
+    parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts))
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            break
+        least = np.minimum(x, y)
+        np.minimum.at(root, x, least)
+        np.minimum.at(root, y, least)
+        while (root != root[root]).any():
+            root = root[root]
+    for lo in range(0, len(ids), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + (1 << 16)]), pa.array(ids[root[lo : lo + (1 << 16)]])], ["set_key", "root"])
+
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
+    """(set_key, root) of every node in the edges (a, b), a saved() table: root is the smallest one connected with it.
+
+    Up to `few` edges are joined by one task. More go through alternating large-star and small-star steps; each is saved, and
+    the loop ends when the edges no longer change. The minimum of a node's neighbours is a partial aggregation that is
+    joined back, where AQE splits the keys of large stars.
     """
     now = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "star")
+    if now.count() <= few:
+        out = saved(map_arrow(now.repartition(1), _joined, "set_key long, root long"), "roots")
+        discard(now)
+        return out
     mark = None
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))

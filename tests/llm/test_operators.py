@@ -208,6 +208,20 @@ def test_buckets_are_compared_in_blocks(spark):
         assert sorted((r["a"], r["b"]) for r in across.collect()) == sorted((a, b) for a, b in want if a % 4 != b % 4 and 7 not in (a, b))
 
 
+def test_components_by_both_ways(spark):
+    r = random.Random(9)
+    edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(20)] + [(200, 200 + i) for i in range(1, 9)]
+    root = {i: i for e in edges for i in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {i: x for i, x in root.items() if any(i in e and e[0] != e[1] for e in edges)}
+    df = spark.createDataFrame([(b, a) for a, b in edges] + edges, "a long, b long")
+    for few in (1000, 0):
+        assert {x["set_key"]: x["root"] for x in pairs_of.components(df, few).collect()} == want
+    assert pairs_of.components(df.where("false")).collect() == []
+
+
 def test_sets_of_one_key_are_told_apart(spark):
     rows = [(1, 10, 3, 7, 1), (2, 20, 3, 7, 2), (3, 30, 3, 7, 1), (4, 40, 3, 8, 1)]
     sketches, reps = pairs_of.classes(spark.createDataFrame(rows, "doc_id long, text_key long, n_shingles int, set_key long, check_key long"))
