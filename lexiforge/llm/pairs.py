@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.base import BROADCAST_KEYS, discard, map_arrow, map_text, saved, with_small
+from lexiforge.llm.base import BROADCAST_KEYS, discard, map_arrow, saved, text_chunks, with_small
 from lexiforge.llm.textops import flat, mix, shingle_sets
 
 #: Nodes that share a smallest neighbour and are verified in one block, about; members of one block of a bucket, about.
 BLOCK, BUCKET = 256, 512
+#: Cells that are named beside one text, about; a set with more of them is shingled again for each so many.
+CELLS = 1024
 #: Edges, of 16 bytes each, that one task joins to components.
 FEW = 1_000_000
 
@@ -111,10 +113,18 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def _sets(k: int):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        h, at = shingle_sets(*flat(batch.column("text")), k)
-        parts = [_pack(h[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
-        return pa.RecordBatch.from_arrays([batch.column("set_key"), pa.array(parts, pa.binary())], ["set_key", "words"])
+    """The shingle set of each text, once a task for each part of the set's cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for b in text_chunks(batches):
+            at = [i for i, x in enumerate(zip(b.column("set_key").to_pylist(), b.column("part").to_pylist())) if not (x in seen or seen.add(x))]
+            if not at:
+                continue
+            b = b.take(pa.array(at))
+            h, cut = shingle_sets(*flat(b.column("text")), k)
+            words = [_pack(h[cut[i] : cut[i + 1]]) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column("cells"), b.column("set_key"), pa.array(words, pa.binary())], ["cells", "a", "words"])
 
     return run
 
@@ -145,7 +155,8 @@ def verified(docs: DataFrame, reps: DataFrame, edges: DataFrame, k: int, least:
 
     docs has (doc_id, text_key, text), reps is a saved() table of classes(), edges one of set keys. Only the first
     document of each set that an edge names is shingled again. Nodes fall into blocks of about BLOCK by their smallest
-    neighbour; a set is sent once to each pair of blocks with an edge of it, not once to each edge.
+    neighbour; a set is sent once to each pair of blocks with an edge of it, not once to each edge, and straight from the
+    text: what cells it goes to is joined to its document's id. Repeated rows of one document are shingled once a task.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     roots = both.groupBy("a").agg(F.min("b").alias("r")).select(F.col("a").alias("id"), F.least("a", "r").alias("root"))
@@ -156,15 +167,19 @@ def verified(docs: DataFrame, reps: DataFrame, edges: DataFrame, k: int, least:
     small = lambda df: F.broadcast(df) if few else df.hint("shuffle_merge")
     two = edges.join(small(nodes.toDF("a", "one")), "a").join(small(nodes.toDF("b", "two")), "b")
     cells = saved(two.select("a", "b", F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("cell")), "cells")
-    ids = reps.join(small(nodes), F.col("set_key") == F.col("id"), "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), "set_key")
-    texts = docs.join(small(ids), ["doc_id", "text_key"]).select("set_key", "text")
-    sets = map_text(texts, _sets(k), "set_key long, words binary").dropDuplicates(["set_key"])
-    need = cells.select("cell", F.explode(F.array("a", "b")).alias("set_key")).distinct()
-    full = need.join(sets, "set_key").select("cell", F.col("set_key").alias("a"), F.lit(None).cast("long").alias("b"), "words")
+    need = saved(cells.select("cell", F.explode(F.array("a", "b")).alias("set_key")).distinct(), "need")
+    parts = need.groupBy("set_key").agg(F.ceil(F.count("*") / F.lit(CELLS)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("cell"), F.col("parts")).cast("int").alias("part")
+    lists = need.join(parts, "set_key").groupBy("set_key", part).agg(F.collect_list("cell").alias("cells"))
+    small = F.broadcast if need.count() <= BROADCAST_KEYS // 3 else lambda df: df.hint("shuffle_merge")
+    ids = reps.join(small(lists), "set_key").select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), "set_key", "part", "cells")
+    texts = docs.join(small(ids), ["doc_id", "text_key"]).select("set_key", "part", "cells", "text")
+    sets = map_arrow(texts, _sets(k), "cells array<long>, a long, words binary")
+    full = sets.select(F.explode("cells").alias("cell"), "a", F.lit(None).cast("long").alias("b"), "words")
     rows = full.unionByName(cells.select("cell", "a", "b", F.lit(None).cast("binary").alias("words")))
     rows = rows.repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first())
     out = saved(map_arrow(rows, _verify(least), "a long, b long, jaccard double"), "verified")
-    discard(nodes, cells)
+    discard(nodes, cells, need)
     return out
 
 

@@ -208,6 +208,24 @@ def test_buckets_are_compared_in_blocks(spark):
         assert sorted((r["a"], r["b"]) for r in across.collect()) == sorted((a, b) for a, b in want if a % 4 != b % 4 and 7 not in (a, b))
 
 
+@pytest.mark.parametrize("block,cells", [(256, 1024), (2, 1), (1, 3)])
+def test_verification_by_brute_force(spark, monkeypatch, block, cells):
+    """All pairs of 30 texts, of which some rows are repeated, in blocks and lists of any size."""
+    monkeypatch.setattr(pairs_of, "BLOCK", block)
+    monkeypatch.setattr(pairs_of, "CELLS", cells)
+    rng = np.random.default_rng(5)
+    words = [[f"w{x}" for x in rng.integers(0, 4000, 40)] for _ in range(6)]
+    texts = {i: " ".join(w if rng.random() > 0.02 * (i % 5) else "other" + str(i) for w in words[i // 5]) + f" end{i}" for i in range(30)}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(i, texts[i]) for i in (0, 1, 1, 7)], "doc_id long, text string").withColumn("text_key", pairs_of.text_key())
+    reps = spark.createDataFrame([(i + 100, i) for i in texts], "set_key long, i long").join(docs.distinct().withColumnRenamed("doc_id", "i"), "i")
+    reps = reps.select("set_key", F.struct(F.col("i").alias("doc_id"), "text_key").alias("first"))
+    edges = spark.createDataFrame([(a + 100, b + 100) for a in texts for b in texts if a < b], "a long, b long")
+    got = {(x["a"] - 100, x["b"] - 100): x["jaccard"] for x in pairs_of.verified(docs, reps, edges, 3, 0.3).collect()}
+    want = brute_pairs(texts, 0.3)
+    assert got.keys() == want.keys() and len(want) > 20
+    assert all(abs(got[p] - want[p]) < 1e-12 for p in want)
+
+
 def test_components_by_both_ways(spark):
     r = random.Random(9)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(20)] + [(200, 200 + i) for i in range(1, 9)]
