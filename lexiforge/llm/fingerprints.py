@@ -61,7 +61,7 @@ def _sketch(k: int, permutations: int):
 
 
 def _linked(docs: DataFrame, shingle: int, permutations: int, rows: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Saved() tables: the sketches, the classes, and the verified links (a, b, jaccard) between these."""
+    """Saved() tables: the sketches, the classes, and the verified links (a, b, jaccard, id_a, id_b) between these."""
     docs = docs.select(long("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", text_key())
     sketches, reps = classes(saved(map_text(docs, _sketch(shingle, permutations), SKETCH), "sketch"))
     keys = [F.xxhash64(F.lit(i), F.slice("signature", 1 + i * rows, rows)) for i in range(permutations // rows)]
@@ -80,10 +80,8 @@ def fingerprint_pairs(docs: DataFrame, shingle: int = SHINGLE, permutations: int
 
     All pairs of classes with a band in common whose Jaccard similarity is at least `threshold`, each once.
     """
-    _, reps, near = _linked(docs, shingle, permutations, rows, threshold)
-    name = lambda side: reps.select(F.col("set_key").alias(side), F.col("first.doc_id").alias(f"class_{side}"))
-    both = near.join(name("a"), "a").join(name("b"), "b")
-    return both.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "jaccard")
+    near = _linked(docs, shingle, permutations, rows, threshold)[2]
+    return near.select(F.least("id_a", "id_b").alias("class_a"), F.greatest("id_a", "id_b").alias("class_b"), "jaccard")
 
 
 @operator
@@ -95,10 +93,8 @@ def document_fingerprints(docs: DataFrame, shingle: int = SHINGLE, permutations:
     class's first, class_id; of the first, the most similar linked class of smaller id; null without such.
     """
     sketches, reps, near = _linked(docs, shingle, permutations, rows, threshold)
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
-    id_ = reps.select(F.col("set_key").alias("b"), F.col("first.doc_id").alias("id_b"))
-    mine = reps.select(F.col("set_key").alias("a"), F.col("first.doc_id").alias("id_a"))
-    linked = both.join(id_, "b").join(mine, "a")
+    ends = F.array(F.struct("a", "id_a", "id_b"), F.struct(F.col("b").alias("a"), F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
+    linked = near.select("jaccard", F.explode(ends).alias("e")).select("jaccard", "e.*")
     smaller = F.when(F.col("id_b") < F.col("id_a"), F.struct("jaccard", (-F.col("id_b")).alias("id")))
     links = linked.groupBy("a").agg(F.count("*").alias("n_links"), F.max(smaller).alias("m"))
     info = saved(reps.join(links, F.col("set_key") == F.col("a"), "left").select("set_key", "first", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"), "m"), "info")

@@ -124,7 +124,7 @@ def _sets(k: int):
             b = b.take(pa.array(at))
             h, cut = shingle_sets(*flat(b.column("text")), k)
             words = [_pack(h[cut[i] : cut[i + 1]]) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column("cells"), b.column("set_key"), pa.array(words, pa.binary())], ["cells", "a", "words"])
+            yield pa.RecordBatch.from_arrays([b.column("cells"), b.column("set_key"), b.column("doc_id"), pa.array(words, pa.binary())], ["cells", "a", "doc_id", "words"])
 
     return run
 
@@ -133,25 +133,26 @@ def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sets = None, {}
         for batch in batches:
-            a, b, j = [], [], []
-            for cell, x, y, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+            a, b, j, id_a, id_b = [], [], [], [], []
+            for cell, x, y, doc, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
                 if cell != now:
                     now, sets = cell, {}
                 if y is None:
-                    sets[x] = _unpack(raw.as_py())
+                    sets[x] = doc, _unpack(raw.as_py())
                     continue
-                one, two = sets[x], sets[y]
+                (doc, one), (other, two) = sets[x], sets[y]
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 sim = both / max(1, len(one) + len(two) - both)
                 if sim >= least:
-                    a.append(x), b.append(y), j.append(sim)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64())], ["a", "b", "jaccard"])
+                    a.append(x), b.append(y), j.append(sim), id_a.append(doc), id_b.append(other)
+            whole = (pa.array(v, pa.int64()) for v in (id_a, id_b))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64()), *whole], ["a", "b", "jaccard", "id_a", "id_b"])
 
     return run
 
 
 def verified(docs: DataFrame, reps: DataFrame, edges: DataFrame, k: int, least: float) -> DataFrame:
-    """Edges (a, b, jaccard) whose exact Jaccard similarity over k-word shingles is at least `least`.
+    """Edges (a, b, jaccard, id_a, id_b) whose exact Jaccard similarity over k-word shingles is at least `least`, with the first doc_id of each set.
 
     docs has (doc_id, text_key, text), reps is a saved() table of classes(), edges one of set keys. Only the first
     document of each set that an edge names is shingled again. Nodes fall into blocks of about BLOCK by their smallest
@@ -173,12 +174,12 @@ def verified(docs: DataFrame, reps: DataFrame, edges: DataFrame, k: int, least:
     lists = need.join(parts, "set_key").groupBy("set_key", part).agg(F.collect_list("cell").alias("cells"))
     small = F.broadcast if need.count() <= BROADCAST_KEYS // 3 else lambda df: df.hint("shuffle_merge")
     ids = reps.join(small(lists), "set_key").select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), "set_key", "part", "cells")
-    texts = docs.join(small(ids), ["doc_id", "text_key"]).select("set_key", "part", "cells", "text")
-    sets = map_arrow(texts, _sets(k), "cells array<long>, a long, words binary")
-    full = sets.select(F.explode("cells").alias("cell"), "a", F.lit(None).cast("long").alias("b"), "words")
-    rows = full.unionByName(cells.select("cell", "a", "b", F.lit(None).cast("binary").alias("words")))
+    texts = docs.join(small(ids), ["doc_id", "text_key"]).select("set_key", "part", "cells", "doc_id", "text")
+    sets = map_arrow(texts, _sets(k), "cells array<long>, a long, doc_id long, words binary")
+    full = sets.select(F.explode("cells").alias("cell"), "a", F.lit(None).cast("long").alias("b"), "doc_id", "words")
+    rows = full.unionByName(cells.select("cell", "a", "b", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("words")))
     rows = rows.repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first())
-    out = saved(map_arrow(rows, _verify(least), "a long, b long, jaccard double"), "verified")
+    out = saved(map_arrow(rows, _verify(least), "a long, b long, jaccard double, id_a long, id_b long"), "verified")
     discard(nodes, cells, need)
     return out
 
