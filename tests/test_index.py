@@ -1,12 +1,16 @@
 import json
 import math
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexiforge.cli import main
 from lexiforge.config import DEFAULT
 from lexiforge.errors import IndexConflict
+from lexiforge.functions import counting
+from lexiforge.functions.stems import STEMMERS
 from lexiforge.operators import bm25
 from lexiforge.operators.federate import Corpus, IndexEngine
 from lexiforge.operators.search import Search
@@ -216,3 +220,54 @@ def test_bm25_reads_no_documents(docs, store):
     store.rebuild("d", docs, "id", ["t"])
     plan = bm25.search(store.read("d"), ["john"], 5)._jdf.queryExecution().executedPlan().toString()
     assert "/documents" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_build_holds_no_table_of_terms(spark, docs):
+    """What a task of the build holds is the texts that it sorts: it has no hash table or window of its share's terms, and takes texts apart once."""
+    for analyzer in (Analyzer(), Analyzer(stemmer="english")):
+        plan = build(docs, "id", ["t"], analyzer).postings._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and "Window" not in plan and "Join" not in plan
+        assert plan.count("Exchange") == 1 and plan.count("regexp_extract_all") == 1
+
+
+WORDS = ["aa", "bb", "running", "runs", "run", "the", "x", "Ünï", "y" * 256, "é" * 127, "é" * 128, "things", "thing"]
+
+
+@pytest.mark.parametrize("stemmer", ["none", "english"])
+@pytest.mark.parametrize("most", [None, 1, 3])
+def test_build_by_brute_force(spark, stemmer, most):
+    """Rows of one id are one document, each cut for itself; nulls, empty texts, stop words and long words."""
+    r = random.Random(7)
+    rows = [(r.choice([None, *range(12)]), r.choice([None, "", "0", *[" ".join(r.choices(WORDS, k=r.randrange(1, 9))) for _ in range(6)]]), r.choice([None, "bb run"])) for _ in range(60)]
+    want = {}
+    for key, *texts in rows:
+        words = [w for t in texts if t not in (None, "", "0") for w in t.lower().split() if len(w) >= 2 and w != "the"]
+        terms = [t for t in (words if stemmer == "none" else map(STEMMERS[stemmer], words)) if len(t.encode()) <= 255]
+        for t in terms if most is None else [t for i, t in enumerate(terms) if len(set(terms[:i])) < most]:
+            if key is not None:
+                want[str(key), t] = want.get((str(key), t), 0) + 1
+    index = build(spark.createDataFrame(rows, "id long, a string, b string"), "id", ["a", "b"], Analyzer(stemmer=stemmer, max_tokens=most))
+    got = index.postings.collect()
+    assert len(got) == len(want) and {(p["model_id"], p["term"]): p["frequency"] for p in got} == want
+    total = lambda key: sum(n for (k, _), n in want.items() if k == key)
+    assert all(p["doc_length"] == total(p["model_id"]) for p in got)
+    assert {d["model_id"]: d["doc_length"] for d in index.documents.collect()} == {k: total(k) for k, _ in want}
+
+
+def test_counting_across_batches(monkeypatch):
+    """Documents go on over steps and batches of any size."""
+    r = random.Random(3)
+    rows = [(d, [r.choice(["aa", "bb", "cc", None]) for _ in range(r.randrange(5))]) for d in "abcd" for _ in range(r.randrange(1, 9))] + [("e", None), ("f", ["aa"])]
+    want = {}
+    for d, words in rows:
+        for w in words or []:
+            if w:
+                want[d, w] = want.get((d, w), 0) + 1
+    schema = pa.schema([("model_id", pa.string()), ("words", pa.list_(pa.string()))])
+    for step in (1, 3, 1000):
+        monkeypatch.setattr(counting, "STEP_WORDS", step)
+        for size in (1, 4, 100):
+            batches = pa.Table.from_arrays([pa.array([d for d, _ in rows]), pa.array([w for _, w in rows], schema.field(1).type)], schema=schema).to_batches(max_chunksize=size)
+            got = [x for b in counting.postings(batches, (), None, None) for x in b.to_pylist()]
+            assert len(got) == len(want) and {(x["model_id"], x["term"]): x["frequency"] for x in got} == want
+            assert all(x["doc_length"] == sum(n for (d, _), n in want.items() if d == x["model_id"]) for x in got)
