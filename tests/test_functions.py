@@ -199,3 +199,9 @@ def test_stemmed_index(spark):
     assert a.terms("Häusern") == ["haus"]
     with pytest.raises(ValueError, match="swedish"):
         Analyzer(stemmer="latin")
+
+
+def test_stems_of_words_that_no_rule_ends():
+    from lexiforge.functions.phonetic import porter2
+
+    assert [porter2(w) for w in ("x2y7", "run42", "banana", "'''", "'abc9", "shampoo")] == ["x2y7", "run42", "banana", "", "abc9", "shampoo"]
