@@ -2,10 +2,10 @@
 
 Method: contiguous rank arrays. A word is its byte parts and the ranks of its adjacent pairs, side by side in arrays;
 the least rank is searched by scanning, the boundary there is deleted, and the ranks to its left and right are
-refreshed, until no pair has a rank. Words of about one length are rows of one matrix, so that each step treats all of
-them in numpy; with every step each row that goes on has one part less, so that the matrix stays rectangular. Only the
-distinct words of a chunk are encoded, and each worker remembers up to MEMO of them. A word of over LONG bytes is merged with a heap instead, to the same result,
-since scanning it would take quadratic time.
+refreshed, until no pair has a rank. The words stand one after the other in the arrays, so that each step treats all of
+them in numpy, and those that are done leave. Only the distinct words of a chunk are encoded, and each worker remembers
+up to MEMO of them. A word of over LONG bytes is merged with a heap instead, to the same result, since scanning it would
+take quadratic time.
 
 Texts are first split as by the public pattern of the rank files
 ('s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+), which is evaluated from the
@@ -25,7 +25,6 @@ import heapq
 import os
 import sys
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +36,8 @@ from lexiforge.llm.base import long, map_arrow, map_text, operator, unused
 from lexiforge.llm.textops import flat, ragged, span_hashes
 
 LONG, MEMO, CHUNK = 64, 150_000, 1 << 19
-#: Words of up to so many bytes are rows of one matrix.
-WIDTHS = (2, 4, 6, 8, 11, 14, 18, 24, 32, 48, LONG)
-NONE = np.int64(1 << 40)
+#: The rank of a pair that doesn't merge.
+NONE = np.int32(2**31 - 1)
 #: The rank file that queries and the pipeline use; LEXIFORGE_RANKS names another.
 RANKS = os.environ.get("LEXIFORGE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
@@ -68,7 +66,7 @@ class Vocabulary:
                     pairs[a << 32 | b] = rank
         self.bits = max(4, (4 * len(pairs)).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.ranks = np.full(1 << self.bits, NONE, np.int64)
+        self.ranks = np.full(1 << self.bits, NONE, np.int32)
         key, rank = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64)
         slot = self._slot(key)
         while len(key):
@@ -79,6 +77,9 @@ class Vocabulary:
             rest = np.ones(len(key), bool)
             rest[put] = False
             key, rank, slot = key[rest], rank[rest], (slot[rest] + 1) & (len(self.keys) - 1)
+        self.bytes = self.bytes.astype(np.int32)
+        #: Ranks of the pairs of bytes, which every word starts with.
+        self.byte_pairs = self.pair(np.repeat(self.bytes, 256), np.tile(self.bytes, 256))
         self.size = size = max(ranks.values()) + 1
         words = [b""] * size
         for token, r in ranks.items():
@@ -91,7 +92,7 @@ class Vocabulary:
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of the pairs (a, b); NONE where they don't merge."""
-        key = a << 32 | b
+        key = a.astype(np.int64) << 32 | b
         slot = self._slot(key)
         there = self.keys[slot]
         out = np.where(there == key, self.ranks[slot], NONE)
@@ -107,37 +108,33 @@ class Vocabulary:
         return out
 
 
-def merge_rows(v: Vocabulary, parts: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Encodes rows of byte parts, of which each row has its first `size`: row numbers, token matrix and sizes, of rows that end together."""
-    rows, done = np.arange(len(parts)), []
-    if parts.shape[1] < 2:
-        return [(rows, parts, size)]
-    ranks = v.pair(parts[:, :-1].ravel(), parts[:, 1:].ravel()).reshape(len(parts), -1)
-    ranks[np.arange(parts.shape[1] - 1) >= (size - 1)[:, None]] = NONE
-    while True:
-        at = ranks.argmin(axis=1)
-        each = np.arange(len(rows))
-        least = ranks[each, at]
-        go = least < NONE
+def merge_short(v: Vocabulary, text: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Encodes words of at least a byte, which stand one after the other in `text`: their numbers, tokens and token counts, of words that end together.
+
+    A step merges the leftmost pair of the least rank of every word that has one.
+    """
+    parts, words, done = v.bytes[text], np.arange(len(size)), []
+    ranks = np.full(len(text), NONE, np.int32)  # of each part with the next one of its word
+    ranks[:-1] = v.byte_pairs[text[:-1].astype(np.int32) << 8 | text[1:]]
+    ends = np.cumsum(size)
+    ranks[ends - 1] = NONE
+    while len(words):
+        least = np.minimum.reduceat(ranks.astype(np.int64) << 32 | np.arange(len(ranks)), ends - size)
+        go = least < np.int64(NONE) << 32
+        keep = np.repeat(go, size)
         if not go.all():
-            done.append((rows[~go], parts[~go], size[~go]))
-            rows, parts, ranks, size, at, least = rows[go], parts[go], ranks[go], size[go], at[go], least[go]
-            each = np.arange(len(rows))
-        if not len(rows):
-            return done
-        width = parts.shape[1]
-        parts[each, at] = least
-        cols = np.arange(width)
-        parts = parts[cols != (at + 1)[:, None]].reshape(len(rows), width - 1)
-        size = size - 1
-        if width == 2:
-            done.append((rows, parts, size))
-            return done
-        ranks = ranks[cols[:-1] != at[:, None]].reshape(len(rows), width - 2)
-        left = np.flatnonzero(at > 0)
-        ranks[left, at[left] - 1] = v.pair(parts[left, at[left] - 1], parts[left, at[left]])
-        right = np.flatnonzero(at < size - 1)
-        ranks[right, at[right]] = v.pair(parts[right, at[right]], parts[right, at[right] + 1])
+            done.append((words[~go], parts[~keep], size[~go]))
+        words, least = words[go], least[go]
+        at, first, last = least & 0xFFFFFFFF, (ends - size)[go], ends[go] - 1
+        parts[at] = least >> 32
+        keep[at + 1] = False
+        left, right = at[at > first] - 1, at[at + 1 < last]
+        ranks[at] = NONE
+        fresh = v.pair(parts[np.concatenate((left, right))], parts[np.concatenate((left + 1, right + 2))])
+        ranks[left], ranks[right] = fresh[: len(left)], fresh[len(left) :]
+        parts, ranks, size = parts[keep], ranks[keep], size[go] - 1
+        ends = np.cumsum(size)
+    return done
 
 
 def merge_long(v: Vocabulary, word: np.ndarray) -> np.ndarray:
@@ -233,15 +230,54 @@ def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Memo:
-    """Tokens of words by their hash, for all chunks of one worker; it starts anew when it holds over `most` words."""
+    """Tokens of words by their hash, for all chunks of one worker; it starts anew when it holds over `most` words.
+
+    A table of open addressing, over arrays that are at most half full, gives the number of a word.
+    """
 
     def __init__(self, most: int = MEMO):
-        self.most, self.rows, self.parts, self.size = most, {}, [np.zeros(0, np.int64)], 0
+        self.most, self.keys, self.parts, self.size = most, np.zeros(0, np.uint64), [np.zeros(0, np.int32)], 0
         self.start, self.count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self._table(12)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def _table(self, bits: int) -> None:
+        self.bits, self.slots = bits, np.full(1 << bits, -1, np.int32)
+        self._place(np.arange(len(self.keys)))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def _place(self, rows: np.ndarray) -> None:
+        slot = self._slot(self.keys[rows])
+        while len(rows):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            self.slots[slot[free]] = rows[free]  # of several that want a slot, one gets it
+            rest = self.slots[slot] != rows
+            rows, slot = rows[rest], (slot[rest] + 1) & (len(self.slots) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of words, -1 of those that aren't there."""
+        slot = self._slot(keys)
+        out = self.slots[slot].astype(np.int64)
+        if not len(self.keys):
+            return out
+        on = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        while len(on):
+            slot[on] = (slot[on] + 1) & (len(self.slots) - 1)
+            out[on] = self.slots[slot[on]]
+            on = on[(out[on] >= 0) & (self.keys[out[on]] != keys[on])]
+        return out
 
     def add(self, keys: np.ndarray, tokens: np.ndarray, count: np.ndarray) -> None:
-        n = len(self.rows)
-        self.rows.update(zip(keys.tolist(), range(n, n + len(keys))))
+        """Words that aren't there yet, each once."""
+        n, self.keys = len(self.keys), np.concatenate((self.keys, keys))
+        if 2 * len(self.keys) > len(self.slots):
+            self._table((2 * len(self.keys)).bit_length())
+        else:
+            self._place(np.arange(n, len(self.keys)))
         self.start.append(self.size + np.cumsum(count) - count)
         self.count.append(count)
         self.parts.append(tokens)
@@ -257,24 +293,18 @@ class Memo:
 
 def merge_words(v: Vocabulary, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of words, one after the other, and how many each has."""
-    count = np.ones(len(start), np.int64)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for low, high in zip((0, *WIDTHS), WIDTHS):
-        rows = np.flatnonzero((size > low) & (size <= high))
-        if len(rows):
-            at = np.minimum(start[rows][:, None] + np.arange(size[rows].max()), len(data) - 1)
-            found += [(rows[r], p, n) for r, p, n in merge_rows(v, v.bytes[data[at]], size[rows])]
+    rows = np.flatnonzero(size <= LONG)
+    found = [(rows[r], p, n) for r, p, n in merge_short(v, data[ragged(start[rows], size[rows])], size[rows])] if len(rows) else []
     for r in np.flatnonzero(size > LONG).tolist():
         word = merge_long(v, data[start[r] : start[r] + size[r]])
-        found.append((np.array([r]), word[None, :], np.array([len(word)])))
+        found.append((np.array([r]), word, np.array([len(word)])))
+    count = np.zeros(len(start), np.int64)
     for rows, _, n in found:
         count[rows] = n
-    to = np.concatenate(([0], np.cumsum(count)))
-    tokens = np.empty(to[-1], np.int64)
+    begin = np.cumsum(count) - count
+    tokens = np.empty(int(count.sum()), np.int32)
     for rows, p, n in found:
-        cols = np.arange(p.shape[1])
-        real = cols < n[:, None]
-        tokens[(to[rows][:, None] + cols)[real]] = p[real]
+        tokens[ragged(begin[rows], n)] = p
     return tokens, count
 
 
@@ -284,15 +314,18 @@ def encode_pieces(v: Vocabulary, data: np.ndarray, offs: np.ndarray, memo: Memo
     if not len(start):
         return np.zeros(0, np.int64), start, np.zeros(1, np.int64), at
     end = np.append(start[1:], len(data))
-    keys, first, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+    words = pa.array(span_hashes(data, start, end)).dictionary_encode()
+    keys, which = words.dictionary.to_numpy(), words.indices.to_numpy()
     memo = Memo() if memo is None else memo
-    if len(memo.rows) > memo.most:
+    if len(memo) > memo.most:
         memo.__init__(memo.most)
-    row = np.fromiter(map(memo.rows.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
+    row = memo.find(keys)
     new = np.flatnonzero(row < 0)
     if len(new):
-        row[new] = len(memo.rows) + np.arange(len(new))
-        memo.add(keys[new], *merge_words(v, data, start[first[new]], (end - start)[first[new]]))
+        row[new] = len(memo) + np.arange(len(new))
+        one = np.empty(len(keys), np.int64)
+        one[which] = np.arange(len(which))  # some place of each word
+        memo.add(keys[new], *merge_words(v, data, start[one[new]], (end - start)[one[new]]))
     tokens, begin, count = memo.flat()
     row = row[which]
     return tokens[ragged(begin[row], count[row])], start, np.concatenate(([0], np.cumsum(count[row]))), at

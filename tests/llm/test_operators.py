@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lexiforge.llm import bpe, fingerprints, language_id, near_dedup, packing, pii, queries, suffix_dedup, token_rollup, topk, url_filter
 from lexiforge.llm import pairs as pairs_of
 from lexiforge.llm.base import by_keys, saved
-from lexiforge.llm.textops import flat, shingle_sets
+from lexiforge.llm.textops import flat, mix, shingle_sets
 
 
 @pytest.fixture(scope="module")
@@ -412,6 +412,36 @@ def check_packed(rows, texts, enc, shard=packing.SHARD):
         assert cost_of(cuts, *args) == packing.best_cuts(*args)[1]
 
 
+def test_words_of_all_lengths_are_merged_in_the_same_steps(coder, monkeypatch):
+    """As many lookups of pairs as the longest word has merges, whatever lengths there are beside it."""
+    v, public = coder
+    r = random.Random(5)
+    words = ["".join(r.choice("etaoin shrdlu") for _ in range(n)).encode() for n in range(1, 200) for _ in range(3)] + ["é😀ü".encode() * 3, b"a", b"the" * 21]
+    start = np.cumsum([0, *map(len, words)])[:-1]
+    size, calls, pair = np.array([*map(len, words)]), [], bpe.Vocabulary.pair
+    monkeypatch.setattr(bpe.Vocabulary, "pair", lambda *x: calls.append(0) or pair(*x))
+    short = size <= bpe.LONG
+    tokens, count = bpe.merge_words(v, np.frombuffer(b"".join(words), np.uint8), start[short], size[short])
+    assert len(calls) <= bpe.LONG
+    tokens, count = bpe.merge_words(v, np.frombuffer(b"".join(words), np.uint8), start, size)
+    ends = np.cumsum(count)
+    for w, n, end in zip(words, count, ends):
+        assert tokens[end - n : end].tolist() == public._encode_single_piece(w)
+
+
+def test_memo_of_words_finds_what_it_has_and_no_more():
+    memo = bpe.Memo()
+    keys = np.arange(1, 30_001, dtype=np.uint64) * np.uint64(7)  # all want the same slot of the table
+    keys[::2] = mix(keys[::2].copy())
+    for lo in range(0, 3_000, 500):
+        some = keys[lo : lo + 500]
+        assert (memo.find(some) == -1).all()
+        memo.add(some, np.repeat(np.arange(lo, lo + 500), 2), np.full(500, 2))
+    assert memo.find(keys[:3_500]).tolist() == [*range(3_000), *[-1] * 500] and len(memo) == 3_000
+    tokens, begin, count = memo.flat()
+    assert (tokens[begin] == np.arange(3_000)).all() and (count == 2).all()
+
+
 @pytest.mark.parametrize("shard,limit", [(packing.SHARD, 9), (10_000, 1000), (10_000, 0)])
 def test_packing_of_the_documents(documents, texts, coder, shard, limit):
     rows = packing.pack(documents, queries.RANKS, shard=shard, limit=limit).collect()
