@@ -23,17 +23,21 @@ IS_BREAK = np.ones(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
     IS_BREAK[_a:_b] = False
 
+#: Most powers that are kept for later calls, and bytes that are hashed in one step (one longer span is a step of its own).
+KEPT, BLOCK = 1 << 21, 1 << 20
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _tables = {BASE: np.ones(1, np.uint64), INVERSE: np.ones(1, np.uint64)}
 
 
 def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept for later calls."""
+    """base**0 .. base**(n-1) modulo 2**64; up to KEPT of them are kept for later calls."""
     had = _tables[base]
     if len(had) < n:
-        grown = np.full(max(n, 2 * len(had), 1 << 16), base)
+        grown = np.full(max(n, min(2 * len(had), KEPT), 1 << 16), base)
         grown[0] = 1
-        had = _tables[base] = np.multiply.accumulate(grown)
+        had = np.multiply.accumulate(grown)
+        if len(had) <= KEPT:
+            _tables[base] = had
     return had[:n]
 
 
@@ -82,10 +86,18 @@ def runs(data: np.ndarray, offs: np.ndarray, breaks: np.ndarray) -> tuple[np.nda
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
-    """64-bit hashes of the byte spans."""
+    """64-bit hashes of the byte spans, which come in order."""
     n = len(data)
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if n > BLOCK and len(starts) > 1:
+        out, at = np.empty(len(starts), np.uint64), 0
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, "right")))
+            low = starts[at]
+            out[at:to] = span_hashes(data[low : ends[to - 1]], starts[at:to] - low, ends[at:to] - low, values)
+            at = to
+        return out
     pw = powers(n + 1)
     pre = np.empty(n + 1, np.uint64)
     pre[0] = 0

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from oracle import assert_same
 from pyspark.sql import functions as F
 
-from lexiforge.llm import bpe, fingerprints, language_id, near_dedup, packing, pii, queries, suffix_dedup, token_rollup, topk, url_filter
+from lexiforge.llm import bpe, fingerprints, language_id, near_dedup, packing, pii, queries, suffix_dedup, textops, token_rollup, topk, url_filter
 from lexiforge.llm import pairs as pairs_of
 from lexiforge.llm.base import by_keys, saved
 from lexiforge.llm.textops import flat, mix, shingle_sets
@@ -429,6 +429,21 @@ def test_words_of_all_lengths_are_merged_in_the_same_steps(coder, monkeypatch):
         assert tokens[end - n : end].tolist() == public._encode_single_piece(w)
 
 
+def test_hashes_of_much_text_leave_small_tables(monkeypatch):
+    monkeypatch.setattr(textops, "_tables", {b: np.ones(1, np.uint64) for b in (textops.BASE, textops.INVERSE)})
+    r = np.random.default_rng(3)
+    size = r.integers(0, 900, 12_000)
+    size[5_000] = 3 * textops.BLOCK
+    ends = np.cumsum(size)
+    data = r.integers(0, 256, ends[-1]).astype(np.uint8)
+    assert len(data) > 2 * textops.KEPT
+    got = textops.span_hashes(data, ends - size, ends)
+    assert all(len(t) <= textops.KEPT for t in textops._tables.values())
+    for i in [*range(0, 12_000, 500), 4_999, 5_001]:
+        assert got[i] == textops.span_hashes(data[ends[i] - size[i] : ends[i]], np.array([0]), size[i : i + 1])[0]
+    assert textops.run_hash(textops.word_prefix(got), np.arange(3), 2).tolist() == [textops.run_hash(textops.word_prefix(got[i : i + 2]), np.zeros(1, int), 2)[0] for i in range(3)]
+
+
 def test_memo_of_words_finds_what_it_has_and_no_more():
     memo = bpe.Memo()
     keys = np.arange(1, 30_001, dtype=np.uint64) * np.uint64(7)  # all want the same slot of the table
